@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from biomeframe.functions.scores import ratio
 from biomeframe.operators.keyed import attach, group_median
 from biomeframe.operators.normalize import taxon_moments
+from biomeframe.session import listed
 
 
 def class_prevalence(samples: DataFrame, label: str = "HC_subCST", by: list[str] | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def class_weights(
     """Inverse prevalence, 1 for the largest class; a listed but absent class gets 0."""
     counted = class_prevalence(samples, label).select(label, "n")
     if labels is not None:
-        names = samples.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string")
+        names = listed(samples.sparkSession, **{label: list(labels)})
         counted = names.join(counted, label, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     largest = F.max("n").over(Window.partitionBy(F.lit(0)))
     weight = F.when(F.col("n") > 0, largest / F.col("n")).otherwise(F.lit(0.0))

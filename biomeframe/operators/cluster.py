@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from biomeframe.functions.scores import ratio
 from biomeframe.operators.keyed import attach
 from biomeframe.operators.normalize import PSEUDO, relative_abundance
-from biomeframe.operators.vectors import arrays, taxa_list, with_vector
+from biomeframe.operators.vectors import arrays, index_labels, taxa_list, with_vector
+from biomeframe.session import concurrently
 
 BLOCK_ROWS = 2048
 
@@ -58,32 +59,27 @@ def centers(model: KMeansModel, taxa: list[str], spark) -> DataFrame:
 def elbow(rows: DataFrame, ks: range = range(1, 10), seed: int = 0) -> DataFrame:
     """Inertia per number of clusters; one cluster's inertia is the total squared deviation."""
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    out = []
-    for k in ks:
-        if k == 1:
-            stats = rows.select(Summarizer.metrics("variance", "count").summary(F.col("vector")).alias("s"))
-            s = stats.select("s.variance", "s.count").first()
-            inertia = float(s["variance"].toArray().sum() * (s["count"] - 1))
-        else:
-            inertia = fit_kmeans(rows, k, seed).summary.trainingCost
-        out.append((k, inertia))
+
+    def inertia(k: int) -> tuple[int, float]:
+        if k > 1:
+            return k, fit_kmeans(rows, k, seed).summary.trainingCost
+        stats = rows.select(Summarizer.metrics("variance", "count").summary(F.col("vector")).alias("s"))
+        s = stats.select("s.variance", "s.count").first()
+        return k, float(s["variance"].toArray().sum() * (s["count"] - 1))
+
+    out = concurrently(inertia, ks)
     spark = rows.sparkSession
     rows.unpersist()
     return spark.createDataFrame(out, "k int, inertia double")
 
 
-def _pair_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums of one block's samples to each cluster of the other block."""
-    columns = ["sampleID", "cluster", "other", "s"]
-    if left.empty or right.empty:
-        return pd.DataFrame({c: [] for c in columns})
+def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Distance sums per sample and cluster between two blocks (or inside one)."""
+    first, last = pdf["block"].min(), pdf["block"].max()
+    left, right = pdf[pdf["block"] == first], pdf[pdf["block"] == last]
     a, b = np.stack(left["features"].to_numpy()), np.stack(right["features"].to_numpy())
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     dist = np.sqrt(np.maximum(square, 0.0))
-    same = bool((left["block"].iloc[0] == right["block"].iloc[0]))
-    if same:
-        position = {s: i for i, s in enumerate(right["sampleID"])}
-        dist[np.arange(len(left)), [position[s] for s in left["sampleID"]]] = 0.0
 
     def sums(d: np.ndarray, rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         codes, names = pd.factorize(others["cluster"])
@@ -97,10 +93,12 @@ def _pair_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             }
         )
 
-    parts = [sums(dist, left, right)]
-    if not same:
-        parts.append(sums(dist.T, right, left))
-    return pd.concat(parts)[columns]
+    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        np.fill_diagonal(dist, 0.0)
+        return sums(dist, left, left)
+    if first == last:  # the other block is empty
+        return pd.DataFrame({"sampleID": [], "cluster": [], "other": [], "s": []})
+    return pd.concat([sums(dist, left, right), sums(dist.T, right, left)])
 
 
 def silhouette_samples(rows: DataFrame, cluster: str = "HC_subCST", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -119,12 +117,12 @@ def silhouette_samples(rows: DataFrame, cluster: str = "HC_subCST", block_rows:
         "features",
         F.pmod(F.xxhash64("sampleID"), F.lit(blocks)).cast("int").alias("block"),
     )
-    left = keyed.withColumn("i", F.col("block")).withColumn(
-        "j", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    paired = keyed.withColumn("_o", other).select(
+        "*", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j")
     )
-    right = keyed.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block"))))
-    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
-        lambda a, b: _pair_sums(a, b), f"sampleID {id_type}, cluster string, other string, s double"
+    parts = paired.drop("_o").groupBy("i", "j").applyInPandas(
+        _pair_sums, f"sampleID {id_type}, cluster string, other string, s double"
     )
     sizes = keyed.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("size"))
     sums = parts.groupBy("sampleID", "cluster", "other").agg(F.sum("s").alias("s"))
@@ -149,8 +147,6 @@ def mean_silhouette(rows: DataFrame, cluster: str = "HC_subCST", exact: bool = T
     """Mean silhouette of a labelling; ``exact=False`` uses squared distances in linear work."""
     if exact:
         return silhouette_samples(rows, cluster).agg(F.avg("silhouette").alias("silhouette"))
-    from biomeframe.operators.vectors import index_labels
-
     data = index_labels(with_vector(rows), label=cluster)
     evaluator = ClusteringEvaluator(featuresCol="vector", predictionCol="label_idx")
     return rows.sparkSession.createDataFrame([(float(evaluator.evaluate(data)),)], "silhouette double")
@@ -159,11 +155,14 @@ def mean_silhouette(rows: DataFrame, cluster: str = "HC_subCST", exact: bool = T
 def silhouette(rows: DataFrame, ks: range = range(2, 10), exact: bool = True, seed: int = 0) -> DataFrame:
     """Mean silhouette per number of clusters."""
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    out = []
-    for k in ks:
+
+    def mean(k: int) -> tuple[int, float]:
         found = fit_kmeans(rows, k, seed).transform(rows).drop("vector").persist()
-        out.append((k, mean_silhouette(found, "cluster", exact).first()[0]))
+        value = mean_silhouette(found, "cluster", exact).first()[0]
         found.unpersist()
+        return k, value
+
+    out = concurrently(mean, ks)
     spark = rows.sparkSession
     rows.unpersist()
     return spark.createDataFrame(out, "k int, silhouette double")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import logging
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biomeframe.functions.names import drop_leading_blanks, drop_trailing_blank, norm_taxon
-from biomeframe.operators.keyed import attach, with_position
+from biomeframe.operators.keyed import attach, attach_listed, with_position
+from biomeframe.session import listed
 
 log = logging.getLogger(__name__)
 
@@ -38,18 +40,15 @@ def drop_columns(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.drop(*names)
 
 
-def _name_table(df: DataFrame, names: list[str], column: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
-
-
 def drop_taxa(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows of taxa not in ``names``."""
-    return attach(df, _name_table(df, names, "taxon"), "taxon", "left_anti")
+    return attach_listed(df, "left_anti", "taxon", taxon=list(names))
 
 
 def keep_taxa(df: DataFrame, names: list[str], strict: bool = True) -> DataFrame:
     """Rows of exactly these taxa, compared by normalised name; ``strict`` raises on absent ones."""
-    wanted = _name_table(df, names, "taxon").select(norm_taxon("taxon").alias("_norm")).distinct()
+    given = listed(df.sparkSession, taxon=list(names))
+    wanted = given.select(norm_taxon("taxon").alias("_norm")).distinct()
     if strict:
         have = df.select(norm_taxon("taxon").alias("_norm")).distinct()
         absent = [r[0] for r in wanted.join(have, "_norm", "left_anti").limit(20).collect()]
@@ -67,9 +66,9 @@ def drop_taxa_regex(df: DataFrame, patterns: list[str]) -> DataFrame:
 
 def project_taxa(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows of the named (normalised) taxa with their position in the list as ``idx``."""
-    rows = [(n, i) for i, n in enumerate(names)]
-    order = df.sparkSession.createDataFrame(rows, "taxon string, idx int")
-    return attach(df.withColumn("taxon", norm_taxon("taxon")), order, "taxon")
+    named = df.withColumn("taxon", norm_taxon("taxon"))
+    order = pa.array(range(len(names)), pa.int32())
+    return attach_listed(named, "inner", "taxon", taxon=list(names), idx=order)
 
 
 def canonicalise(

@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biomeframe.session import listed, materialise
+
 BROADCAST_ROWS = 200_000
 SALTS = 64
 
@@ -33,6 +35,14 @@ def attach(
     return salted_join(rows, table, keys, how)
 
 
+def attach_listed(rows: DataFrame, how: str, on: str, **columns: list) -> DataFrame:
+    """Join driver-side lists to many rows; longer lists than the bound are not broadcast."""
+    table = listed(rows.sparkSession, **columns)
+    if len(columns[on]) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    return salted_join(rows, table, [on], how)
+
+
 def salted_join(
     rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
@@ -59,8 +69,6 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "position") ->
     written once, so both uses see the same partitions. End ``order_by`` with
     a unique key to split long runs of equal values.
     """
-    from biomeframe.session import materialise
-
     part = F.spark_partition_id()
     row_in_part = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
     ranged = materialise(

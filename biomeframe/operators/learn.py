@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biomeframe.operators.aggregate import class_weights
+from biomeframe.operators.frames import drop_taxa_regex
 from biomeframe.operators.keyed import attach, hash_order
 from biomeframe.operators.metrics import accuracy
 from biomeframe.operators.similarity import class_list, score_columns
 from biomeframe.operators.vectors import features, index_labels, taxa_list, with_vector
+from biomeframe.session import concurrently
 
 VERSION = "1"
 KINDS = {
@@ -85,8 +87,6 @@ def fit_table(
     regex_remove: list[str] = (),
 ) -> tuple[DataFrame, list[str], list[str]]:
     """Training rows ``sampleID, HC_subCST, features, vector, label_idx`` with taxa and labels."""
-    from biomeframe.operators.frames import drop_taxa_regex
-
     if taxa is None:
         taxa = taxa_list(drop_taxa_regex(counts, list(regex_remove)))
     labels = class_list(samples) if labels is None else labels
@@ -125,11 +125,14 @@ def fit_rows(
             estimator = RandomForestClassifier(seed=seed, **common, **params)
     else:
         raise ValueError(f"unknown classifier {kind!r}")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # Each iteration reads the rows again; the caller may have cached them already.
+    cached = data.storageLevel.useMemory or data.storageLevel.useDisk
+    data = data if cached else data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = estimator.fit(data)
     finally:
-        data.unpersist()
+        if not cached:
+            data.unpersist()
     stored = {**params, "seed": seed, "class_weighted": class_weighted}
     if kind == "mlp":
         stored["hidden"] = hidden
@@ -190,9 +193,11 @@ def fit_best(
 ) -> tuple[Classifier, DataFrame]:
     """One fit per seed; the first with the highest held-out accuracy, and all results."""
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    models = [fit_rows(train, taxa, labels, seed=s, **options) for s in seeds]
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    models = concurrently(lambda s: fit_rows(train, taxa, labels, seed=s, **options), seeds)
     scores = [held_out_accuracy(m, test) for m in models]
     test.unpersist()
+    train.unpersist()
     best = scores.index(max(scores))
     rows = [(i, s, a, i == best) for i, (s, a) in enumerate(zip(seeds, scores, strict=True))]
     results = train.sparkSession.createDataFrame(
@@ -217,12 +222,16 @@ def grid_search(
         rows, taxa, labels = fit_table(train_counts, train, norm=norm)
         held, _, _ = fit_table(test_counts, test, taxa, labels, norm)
         rows, held = rows.persist(), held.persist()
-        for cell in grid:
-            scores = [
-                held_out_accuracy(fit_rows(rows, taxa, labels, kind, norm, seed=s, **cell), held)
-                for s in range(repeats)
-            ]
-            results.append((len(results), norm, json.dumps(cell, sort_keys=True), sum(scores) / repeats))
+
+        def score(job: tuple[dict[str, Any], int]) -> float:
+            cell, s = job
+            return held_out_accuracy(fit_rows(rows, taxa, labels, kind, norm, seed=s, **cell), held)
+
+        jobs = [(cell, s) for cell in grid for s in range(repeats)]
+        scores = concurrently(score, jobs)
+        for i, cell in enumerate(grid):
+            mean = sum(scores[i * repeats : (i + 1) * repeats]) / repeats
+            results.append((len(results), norm, json.dumps(cell, sort_keys=True), mean))
         rows.unpersist()
         held.unpersist()
     schema = "position int, norm string, params string, accuracy double"

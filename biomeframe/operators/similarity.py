@@ -28,6 +28,7 @@ def classify_centroid(
     brings its centroid values as one array, so a sample's rows are neither repeated
     per class nor shuffled again after the per-sample normalisation.
     """
+    centroids = centroids.persist()  # classes x taxa, read three times
     labels = class_list(centroids, label) if labels is None else labels
     entries = F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("value"))))
     per_taxon = centroids.groupBy("taxon").agg(entries.alias("m")).select(

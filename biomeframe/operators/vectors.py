@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from biomeframe.functions.names import norm_taxon
 from biomeframe.operators.frames import drop_taxa_regex
-from biomeframe.operators.keyed import attach
+from biomeframe.operators.keyed import attach_listed
 from biomeframe.operators.normalize import relative_abundance, scale
 from biomeframe.operators.similarity import class_list
 
@@ -26,9 +27,9 @@ def taxa_list(df: DataFrame) -> list[str]:
 
 def arrays(values: DataFrame, taxa: list[str], samples: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
     """``features``: one array per sample in the order of ``taxa``; absent taxa get ``fill``."""
-    rows = [(t, i) for i, t in enumerate(taxa)]
-    index = values.sparkSession.createDataFrame(rows, "taxon string, idx int")
-    indexed = attach(values.withColumn("taxon", norm_taxon("taxon")), index, "taxon")
+    named = values.withColumn("taxon", norm_taxon("taxon"))
+    order = pa.array(range(len(taxa)), pa.int32())
+    indexed = attach_listed(named, "inner", "taxon", taxon=taxa, idx=order)
     # At most one entry per taxon and sample.
     packed = indexed.groupBy("sampleID").agg(F.collect_list(F.struct("idx", "value")).alias("have"))
     if samples is not None:
@@ -49,11 +50,8 @@ def features(
 ) -> DataFrame:
     """Selected taxa, then shares among them, then scaling, as arrays for every sample."""
     kept = drop_taxa_regex(counts, list(regex_remove)) if regex_remove else counts
-    rows = counts.sparkSession.createDataFrame([(t,) for t in taxa], "_norm string")
-    named = kept.withColumn("_norm", norm_taxon("taxon"))
-    chosen = attach(named, rows, "_norm", "left_semi").select(
-        "sampleID", F.col("_norm").alias("taxon"), "count"
-    )
+    named = kept.select("sampleID", norm_taxon("taxon").alias("taxon"), "count")
+    chosen = attach_listed(named, "left_semi", "taxon", taxon=taxa)
     shares = scale(relative_abundance(chosen), norm, samples=samples)
     return arrays(shares, taxa, samples)
 

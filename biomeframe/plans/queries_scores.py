@@ -165,14 +165,14 @@ def common_taxa(spark, sf):
 @query(
     "common_taxa_two",
     sql(
-        """SELECT lower(taxon) AS taxon FROM counts WHERE count > 300
-           INTERSECT SELECT lower(p_brand) FROM part WHERE p_size > 40 ORDER BY 1""",
+        """SELECT lower(taxon) AS taxon FROM counts WHERE count > 80
+           INTERSECT SELECT lower(p_brand) FROM part WHERE p_size > 45 ORDER BY 1""",
         "counts",
     ),
 )
 def common_taxa_two(spark, sf):
-    ordered = tb.counts_long(spark, sf).filter(F.col("count") > 300)
-    large = tb.table(spark, sf, "part").filter(F.col("p_size") > 40).select(F.col("p_brand").alias("taxon"))
+    ordered = tb.counts_long(spark, sf).filter(F.col("count") > 80)
+    large = tb.table(spark, sf, "part").filter(F.col("p_size") > 45).select(F.col("p_brand").alias("taxon"))
     return st.common_taxa(ordered, large)
 
 

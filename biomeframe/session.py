@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +56,18 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/biomeframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def concurrently(fn: Callable[[Any], Any], items: Iterable[Any], threads: int = 4) -> list[Any]:
+    """Results of ``fn`` in order, with a few Spark jobs in flight at a time."""
+    items = list(items)
+    pool = ThreadPool(max(1, min(threads, len(items))))
+    try:
+        return pool.map(inheritable_thread_target(SparkSession.active())(fn), items)
+    finally:
+        pool.close()
+
+
+def listed(spark: SparkSession, **columns: list[Any]) -> DataFrame:
+    """A table from driver-side lists, planned as a local relation."""
+    return spark.createDataFrame(pa.table(columns))
