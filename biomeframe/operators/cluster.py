@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -19,7 +18,7 @@ from biomeframe.functions.scores import ratio
 from biomeframe.operators.keyed import attach
 from biomeframe.operators.normalize import PSEUDO, relative_abundance
 from biomeframe.operators.vectors import arrays, index_labels, taxa_list, with_vector
-from biomeframe.session import concurrently
+from biomeframe.session import concurrently, materialise
 
 BLOCK_ROWS = 2048
 
@@ -37,7 +36,7 @@ def fit_kmeans(rows: DataFrame, k: int, seed: int = 0) -> KMeansModel:
 
 def cluster(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Add ``HC_subCST``: CST0 is the largest cluster, CST1 the next, and so on."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(rows)
     found = fit_kmeans(rows, k, seed).transform(rows)
     # At most k rows.
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -58,7 +57,7 @@ def centers(model: KMeansModel, taxa: list[str], spark) -> DataFrame:
 
 def elbow(rows: DataFrame, ks: range = range(1, 10), seed: int = 0) -> DataFrame:
     """Inertia per number of clusters; one cluster's inertia is the total squared deviation."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(rows)
 
     def inertia(k: int) -> tuple[int, float]:
         if k > 1:
@@ -67,10 +66,7 @@ def elbow(rows: DataFrame, ks: range = range(1, 10), seed: int = 0) -> DataFrame
         s = stats.select("s.variance", "s.count").first()
         return k, float(s["variance"].toArray().sum() * (s["count"] - 1))
 
-    out = concurrently(inertia, ks)
-    spark = rows.sparkSession
-    rows.unpersist()
-    return spark.createDataFrame(out, "k int, inertia double")
+    return rows.sparkSession.createDataFrame(concurrently(inertia, ks), "k int, inertia double")
 
 
 def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,7 +150,7 @@ def mean_silhouette(rows: DataFrame, cluster: str = "HC_subCST", exact: bool = T
 
 def silhouette(rows: DataFrame, ks: range = range(2, 10), exact: bool = True, seed: int = 0) -> DataFrame:
     """Mean silhouette per number of clusters."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(rows)
 
     def mean(k: int) -> tuple[int, float]:
         found = fit_kmeans(rows, k, seed).transform(rows).drop("vector").persist()
@@ -162,15 +158,12 @@ def silhouette(rows: DataFrame, ks: range = range(2, 10), exact: bool = True, se
         found.unpersist()
         return k, value
 
-    out = concurrently(mean, ks)
-    spark = rows.sparkSession
-    rows.unpersist()
-    return spark.createDataFrame(out, "k int, silhouette double")
+    return rows.sparkSession.createDataFrame(concurrently(mean, ks), "k int, silhouette double")
 
 
 def coords(rows: DataFrame, keep: list[str] = ("sampleID",)) -> DataFrame:
     """First two principal components ``x, y``; each axis points to its largest loading."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(rows)
     model = PCA(k=2, inputCol="vector", outputCol="pc").fit(rows)
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[np.argmax(np.abs(loadings[:, i])), i] >= 0 else -1.0 for i in (0, 1)]

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from biomeframe.operators.keyed import hash_order, with_position
 from biomeframe.operators.learn import Classifier, predict
 from biomeframe.operators.metrics import cells, per_class_metrics, weighted_metrics
 from biomeframe.operators.vectors import with_vector
+from biomeframe.session import materialise
 
 METRICS = ("f1", "recall", "precision", "accuracy")
 
@@ -71,8 +71,8 @@ def perturbation(
     model: Classifier, rows: DataFrame, metrics: tuple[str, ...] = METRICS, by_class: bool = False, seed: int = 0
 ) -> DataFrame:
     """Metric loss when a taxon is permuted: ``taxon, [HC_subCST,] metric, effect``."""
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    base = cells(predict(model, rows.select("sampleID", "HC_subCST", "features", "vector")))
+    rows = materialise(rows.select("sampleID", "HC_subCST", "features", "vector"))
+    base = cells(predict(model, rows))
     moved = _perturbed_cells(model, rows, seed)
     score = per_class_metrics if by_class else weighted_metrics
     key = ["HC_subCST"] if by_class else []

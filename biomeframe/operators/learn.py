@@ -10,7 +10,6 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -30,7 +29,7 @@ from biomeframe.operators.keyed import attach, hash_order
 from biomeframe.operators.metrics import accuracy
 from biomeframe.operators.similarity import class_list, score_columns
 from biomeframe.operators.vectors import features, index_labels, taxa_list, with_vector
-from biomeframe.session import concurrently
+from biomeframe.session import concurrently, materialise
 
 VERSION = "1"
 KINDS = {
@@ -106,7 +105,11 @@ def fit_rows(
     hidden: int | None = None,
     **params: Any,
 ) -> Classifier:
-    """Fit one classifier on prepared rows; ``params`` go to the Spark estimator."""
+    """Fit one classifier on prepared rows; ``params`` go to the Spark estimator.
+
+    Pass stored rather than cached rows: the estimators keep their own compact
+    copy between iterations, but only of a table that is not cached already.
+    """
     common = {"featuresCol": "vector", "labelCol": "label_idx"}
     if kind == "mlp":
         hidden = hidden or hidden_size(len(taxa), len(labels))
@@ -125,14 +128,7 @@ def fit_rows(
             estimator = RandomForestClassifier(seed=seed, **common, **params)
     else:
         raise ValueError(f"unknown classifier {kind!r}")
-    # Each iteration reads the rows again; the caller may have cached them already.
-    cached = data.storageLevel.useMemory or data.storageLevel.useDisk
-    data = data if cached else data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = estimator.fit(data)
-    finally:
-        if not cached:
-            data.unpersist()
+    model = estimator.fit(data)
     stored = {**params, "seed": seed, "class_weighted": class_weighted}
     if kind == "mlp":
         stored["hidden"] = hidden
@@ -151,7 +147,7 @@ def fit(
 ) -> Classifier:
     """Counts and labelled samples to a fitted classifier."""
     rows, taxa, labels = fit_table(counts, samples, taxa, labels, norm, regex_remove)
-    return fit_rows(rows, taxa, labels, kind, norm, regex_remove, **options)
+    return fit_rows(materialise(rows), taxa, labels, kind, norm, regex_remove, **options)
 
 
 def predict(model: Classifier, rows: DataFrame) -> DataFrame:
@@ -192,12 +188,9 @@ def fit_best(
     train: DataFrame, test: DataFrame, taxa: list[str], labels: list[str], seeds: list[int], **options: Any
 ) -> tuple[Classifier, DataFrame]:
     """One fit per seed; the first with the highest held-out accuracy, and all results."""
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = materialise(train), materialise(test)
     models = concurrently(lambda s: fit_rows(train, taxa, labels, seed=s, **options), seeds)
     scores = [held_out_accuracy(m, test) for m in models]
-    test.unpersist()
-    train.unpersist()
     best = scores.index(max(scores))
     rows = [(i, s, a, i == best) for i, (s, a) in enumerate(zip(seeds, scores, strict=True))]
     results = train.sparkSession.createDataFrame(
@@ -221,7 +214,7 @@ def grid_search(
     for norm in norms:
         rows, taxa, labels = fit_table(train_counts, train, norm=norm)
         held, _, _ = fit_table(test_counts, test, taxa, labels, norm)
-        rows, held = rows.persist(), held.persist()
+        rows, held = materialise(rows), materialise(held)
 
         def score(job: tuple[dict[str, Any], int]) -> float:
             cell, s = job
@@ -232,8 +225,6 @@ def grid_search(
         for i, cell in enumerate(grid):
             mean = sum(scores[i * repeats : (i + 1) * repeats]) / repeats
             results.append((len(results), norm, json.dumps(cell, sort_keys=True), mean))
-        rows.unpersist()
-        held.unpersist()
     schema = "position int, norm string, params string, accuracy double"
     return train.sparkSession.createDataFrame(results, schema)
 

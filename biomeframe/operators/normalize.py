@@ -8,6 +8,7 @@ every sample.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,7 @@ def relative_abundance(df: DataFrame, zero_policy: str = "zero") -> DataFrame:
     null, ``'pseudocount'`` gives 1e-5, which also replaces exact zeros after
     the division (shares then no longer add up to 1).
     """
-    total = F.sum("count").over(Window.partitionBy("sampleID"))
-    share = F.when(total != 0, F.col("count") / total)
+    share = F.when(F.col("_total") != 0, F.col("count") / F.col("_total"))
     if zero_policy == "zero":
         value = F.coalesce(share, F.lit(0.0))
     elif zero_policy == "pseudocount":
@@ -41,7 +41,8 @@ def relative_abundance(df: DataFrame, zero_policy: str = "zero") -> DataFrame:
         value = share
     else:
         raise ValueError(f"unknown zero_policy {zero_policy!r}")
-    return df.withColumn("value", value).drop("count")
+    total = F.sum("count").over(Window.partitionBy("sampleID"))
+    return df.withColumn("_total", total).withColumn("value", value).drop("count", "_total")
 
 
 def _complete(have: DataFrame, taxa: DataFrame, fill: float) -> DataFrame:
@@ -202,6 +203,7 @@ def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> Dat
 
     The reference sample has its upper quartile, relative to its total, nearest
     to the mean one; ties go to the smallest id. Factors have geometric mean 1.
+    The values are read several times: pass a stored or cached table.
     """
     taxa = df.filter(F.col("value") > 0).select("taxon").distinct()
     width = taxa.agg(F.count(F.lit(1))).scalar()
@@ -227,6 +229,7 @@ def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> Dat
             "lib",
             ((F.col("a") + (F.col("b") - F.col("a")) * (at - low)) / F.col("lib")).alias("f75"),
         )
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     centre = quart.agg(F.avg("f75")).scalar()
     chosen = (
@@ -262,8 +265,11 @@ def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> Dat
     log_factor = kept.groupBy("sampleID").agg(
         (F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("lf")
     )
-    every = quart.select("sampleID").join(log_factor, "sampleID", "left").select(
-        "sampleID", F.coalesce("lf", F.lit(0.0)).alias("lf")
+    every = (
+        quart.select("sampleID")
+        .join(log_factor, "sampleID", "left")
+        .select("sampleID", F.coalesce("lf", F.lit(0.0)).alias("lf"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     centre_lf = every.agg(F.avg("lf")).scalar()
     return every.select("sampleID", F.pow(F.lit(2.0), F.col("lf") - centre_lf).alias("factor"))

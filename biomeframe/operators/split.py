@@ -198,7 +198,7 @@ def permute(df: DataFrame, value: str = "value", seed: int = 0) -> DataFrame:
     p in hash order.
     """
     by_id = with_position(df, ["sampleID"])
-    hashed = df.select(F.col(value).alias("permuted"), "sampleID").withColumn(
+    hashed = by_id.select(F.col(value).alias("permuted"), "sampleID").withColumn(
         "_h", hash_order(seed, "sampleID")
     )
     by_hash = with_position(hashed, ["_h", "sampleID"]).select("position", "permuted")

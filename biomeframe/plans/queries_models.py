@@ -13,7 +13,7 @@ from biomeframe.operators.split import stratified_split
 from biomeframe.operators.vectors import with_vector
 from biomeframe.plans import workflows as wf
 from biomeframe.plans.registry import query, r6, sql
-from biomeframe.session import shared_dir
+from biomeframe.session import materialise, shared_dir
 from biomeframe.sources import tables as tb
 
 MLP = {"maxIter": 40}
@@ -24,6 +24,11 @@ def vector_rows(spark, sf):
     return with_vector(tb.dense(spark, sf))
 
 
+def stored_counts(spark, sf):
+    """Counts written once: fitting and scoring read them several times."""
+    return materialise(tb.counts_long(spark, sf))
+
+
 def splits(spark, sf):
     """Labelled samples of the order cohort, 80 % for training."""
     both = stratified_split(tb.sample_labels(spark, sf), 80, seed=7)
@@ -32,7 +37,7 @@ def splits(spark, sf):
 
 def model_and_rows(spark, sf, kind="forest", **options):
     """A classifier fitted on the training split and the prepared held-out rows."""
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     train, test = splits(spark, sf)
     model = le.fit(counts, train, kind, **(options or FOREST))
     return model, le.fit_table(counts, test, model.taxa, model.labels)[0]
@@ -43,13 +48,13 @@ def model_and_rows(spark, sf, kind="forest", **options):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
-    rows, _ = cl.cluster_rows(tb.counts_long(spark, sf))
+    rows, _ = cl.cluster_rows(stored_counts(spark, sf))
     return cl.cluster(rows, 3).select("sampleID", "HC_subCST")
 
 
 @query("cluster_centers")
 def cluster_centers(spark, sf):
-    rows, taxa = cl.cluster_rows(tb.counts_long(spark, sf))
+    rows, taxa = cl.cluster_rows(stored_counts(spark, sf))
     return cl.centers(cl.fit_kmeans(rows.persist(), 3), taxa, spark)
 
 
@@ -112,7 +117,7 @@ def silhouette_mean(spark, sf):
 @query("pca_coords")
 def pca_coords(spark, sf):
     """Coordinates of two stacked cohorts: orders by segment, in one share space."""
-    rows, _ = cl.cluster_rows(tb.counts_long(spark, sf))
+    rows, _ = cl.cluster_rows(stored_counts(spark, sf))
     cohorts = tb.sample_cohorts(spark, sf).withColumn("dataset", F.concat(F.lit("region "), F.col("cohort")))
     tagged = rows.join(tb.sample_labels(spark, sf), "sampleID").join(cohorts, "sampleID")
     return cl.coords(tagged, ["sampleID", F.col("HC_subCST").alias("class"), "dataset"])
@@ -123,7 +128,7 @@ def pca_coords(spark, sf):
 
 def _classify(kind, options):
     def run(spark, sf):
-        counts = tb.counts_long(spark, sf)
+        counts = stored_counts(spark, sf)
         train, test = splits(spark, sf)
         model = le.fit(counts, train, kind, **options)
         mine = counts.join(test.select("sampleID"), "sampleID", "left_semi")
@@ -147,7 +152,7 @@ def mlp_weighted(spark, sf):
 
 @query("evaluate_model")
 def evaluate_model(spark, sf):
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     train, test = splits(spark, sf)
     report = wf.evaluate(le.fit(counts, train, "forest", **FOREST), counts, test)
     return report["weighted"]
@@ -177,7 +182,7 @@ def perturbation_table(spark, sf):
 
 @query("simplified_model")
 def simplified_model(spark, sf):
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     train, test = splits(spark, sf)
     model = le.fit(counts, train, "forest", **FOREST)
     small, _ = wf.fit_simplified(model, counts, train, (counts, test), threshold=0.0, **FOREST)
@@ -186,7 +191,7 @@ def simplified_model(spark, sf):
 
 @query("focus_model")
 def focus_model(spark, sf):
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     train, test = splits(spark, sf)
     model = wf.fit_focus(counts, train, ["brand#1", "brand#2", "brand#3", "brand#4"], **MLP)
     return le.classify(model, counts, test.select("sampleID")).select("sampleID", "subCST")
@@ -194,7 +199,7 @@ def focus_model(spark, sf):
 
 @query("best_of_n")
 def best_of_n(spark, sf):
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     train, test = splits(spark, sf)
     rows, taxa, labels = le.fit_table(counts, train)
     held, _, _ = le.fit_table(counts, test, taxa, labels)
@@ -203,7 +208,7 @@ def best_of_n(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     train, test = splits(spark, sf)
     grid = [{"hidden": h, "maxIter": 20, "solver": s} for h in (8, 16) for s in ("l-bfgs", "gd")]
     return le.grid_search(counts, train, counts, test, grid, norms=["none", "zscore"])
@@ -239,7 +244,7 @@ def training_history(spark, sf):
 @query("label_transfer")
 def label_transfer(spark, sf):
     """Segment labels of one set of regions carried over to the others."""
-    counts = tb.counts_long(spark, sf)
+    counts = stored_counts(spark, sf)
     cohorts = tb.sample_cohorts(spark, sf)
     ref = cohorts.filter(F.col("cohort") < 2).select("sampleID")
     new = cohorts.filter(F.col("cohort") >= 2).select("sampleID")
@@ -257,22 +262,22 @@ def label_transfer(spark, sf):
 def bakeoff(spark, sf):
     train, test = splits(spark, sf)
     kinds = {"mlp": {"kind": "mlp", **MLP}, "forest": {"kind": "forest", **FOREST}}
-    return wf.bakeoff(tb.counts_long(spark, sf), train, test, kinds)[0]
+    return wf.bakeoff(stored_counts(spark, sf), train, test, kinds)[0]
 
 
 @query("bakeoff_difference")
 def bakeoff_difference(spark, sf):
     train, test = splits(spark, sf)
     kinds = {"linear": {"kind": "linear", "maxIter": 20}}
-    return wf.bakeoff(tb.counts_long(spark, sf), train, test, kinds)[1]
+    return wf.bakeoff(stored_counts(spark, sf), train, test, kinds)[1]
 
 
 @query("discover_classes")
 def discover_classes(spark, sf):
-    _, _, panel = wf.discover_classes(tb.counts_long(spark, sf), kind="linear", maxIter=20)
+    _, _, panel = wf.discover_classes(stored_counts(spark, sf), kind="linear", maxIter=20)
     return panel
 
 
 @query("discovered_gates")
 def discovered_gates(spark, sf):
-    return wf.discover_classes(tb.counts_long(spark, sf), kind="linear", maxIter=20)[1]
+    return wf.discover_classes(stored_counts(spark, sf), kind="linear", maxIter=20)[1]

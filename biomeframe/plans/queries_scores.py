@@ -14,7 +14,7 @@ from biomeframe.operators import stats as ss
 from biomeframe.operators.keyed import hash_order, with_position
 from biomeframe.operators.normalize import effort_z, relative_abundance
 from biomeframe.operators.similarity import classify_centroid, class_list, score_columns
-from biomeframe.plans.queries_tables import depths, event_types, shares
+from biomeframe.plans.queries_tables import depths, event_types, shares, stored_shares
 from biomeframe.plans.registry import query, r6, sql
 from biomeframe.sources import tables as tb
 from biomeframe.sources import writers as wr
@@ -22,15 +22,16 @@ from biomeframe.sources import writers as wr
 SEED = 7
 
 
-def scored(spark, sf, method="mean"):
+def scored(spark, sf, method="mean", x=None):
     """Nearest-centroid scores of every sample."""
-    x, samples = shares(spark, sf), tb.sample_labels(spark, sf)
+    x = stored_shares(spark, sf) if x is None else x
+    samples = tb.sample_labels(spark, sf)
     centre = ag.centroids(x, samples, method)
     return classify_centroid(x, centre, labels=class_list(samples))
 
 
-def pairs(spark, sf, method="mean"):
-    return me.align(tb.sample_labels(spark, sf), scored(spark, sf, method))
+def pairs(spark, sf, method="mean", x=None):
+    return me.align(tb.sample_labels(spark, sf), scored(spark, sf, method, x))
 
 
 def three_way(spark, sf):
@@ -333,7 +334,8 @@ def confusion_wide(spark, sf):
     ),
 )
 def confusion_diff(spark, sf):
-    return me.confusion_diff(pairs(spark, sf), pairs(spark, sf, "median"))
+    x = stored_shares(spark, sf)
+    return me.confusion_diff(pairs(spark, sf, x=x), pairs(spark, sf, "median", x))
 
 
 WEIGHTED = """SELECT SUM(support)::BIGINT AS n, ROUND(SUM(support * p) / SUM(support), 6) AS precision,
@@ -407,7 +409,8 @@ FROM (SELECT c, SUM(s) AS support, CASE WHEN SUM(g) > 0 THEN SUM(h) / SUM(g)::DO
     ),
 )
 def method_panel(spark, sf):
-    return me.compare_methods({"mean": pairs(spark, sf), "median": pairs(spark, sf, "median")})
+    x = stored_shares(spark, sf)
+    return me.compare_methods({m: pairs(spark, sf, m, x) for m in ("mean", "median")})
 
 
 def _hits(mode):

@@ -12,7 +12,7 @@ from biomeframe.operators import normalize as no
 from biomeframe.operators import ranking as rk
 from biomeframe.operators.vectors import index_labels
 from biomeframe.plans.registry import query, r6, sql
-from biomeframe.session import shared_dir
+from biomeframe.session import materialise, shared_dir
 from biomeframe.sources import readers as rd
 from biomeframe.sources import tables as tb
 from biomeframe.sources import writers as wr
@@ -24,6 +24,11 @@ def shares(spark, sf):
     return no.relative_abundance(tb.counts_long(spark, sf))
 
 
+def stored_shares(spark, sf):
+    """Shares written once, for operators that read them several times."""
+    return materialise(shares(spark, sf))
+
+
 def depths(spark, sf):
     return ag.read_counts(tb.counts_long(spark, sf))
 
@@ -258,7 +263,7 @@ def _scaled(method, expr):
                      FROM full_shares GROUP BY 1) t ON t.taxon = v.taxon"""
 
     def run(spark, sf):
-        scaled = no.scale(shares(spark, sf), method, samples=tb.sample_labels(spark, sf))
+        scaled = no.scale(stored_shares(spark, sf), method, samples=tb.sample_labels(spark, sf))
         return scaled.withColumn("value", r6("value"))
 
     return sql(body, "full_shares"), run
@@ -284,7 +289,7 @@ for _name, _method, _expr in (
     ),
 )
 def zscore_sample_topn(spark, sf):
-    z = no.zscore_taxa(shares(spark, sf), top_n=10, samples=tb.sample_labels(spark, sf))
+    z = no.zscore_taxa(stored_shares(spark, sf), top_n=10, samples=tb.sample_labels(spark, sf))
     return z.withColumn("z", r6("z"))
 
 
@@ -338,7 +343,7 @@ factors AS (SELECT sampleID, pow(2.0::DOUBLE, lf - (SELECT AVG(lf) FROM every))
 
 @query("tmm_factors", sql(TMM + "SELECT sampleID, ROUND(factor, 6) AS factor FROM factors", "shares"))
 def tmm_factors(spark, sf):
-    return no.tmm_factors(shares(spark, sf)).withColumn("factor", r6("factor"))
+    return no.tmm_factors(stored_shares(spark, sf)).withColumn("factor", r6("factor"))
 
 
 @query(
@@ -350,7 +355,7 @@ def tmm_factors(spark, sf):
     ),
 )
 def tmm(spark, sf):
-    return no.scale(shares(spark, sf), "tmm").withColumn("value", r6("value"))
+    return no.scale(stored_shares(spark, sf), "tmm").withColumn("value", r6("value"))
 
 
 @query(
@@ -403,7 +408,7 @@ def centroid_mean(spark, sf):
     sql("SELECT HC_subCST, taxon, ROUND(value, 6) AS value FROM median_centroid", "median_centroid"),
 )
 def centroid_median(spark, sf):
-    out = ag.centroids(shares(spark, sf), tb.sample_labels(spark, sf), "median")
+    out = ag.centroids(stored_shares(spark, sf), tb.sample_labels(spark, sf), "median")
     return out.withColumn("value", r6("value"))
 
 
@@ -453,7 +458,7 @@ for _by in ("mean", "prevalence", "max"):
     ),
 )
 def keep_top_taxa(spark, sf):
-    out = rk.keep_top(shares(spark, sf), 5, "mean", tb.sample_labels(spark, sf))
+    out = rk.keep_top(stored_shares(spark, sf), 5, "mean", tb.sample_labels(spark, sf))
     return out.withColumn("value", r6("value"))
 
 

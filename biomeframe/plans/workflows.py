@@ -33,12 +33,14 @@ from biomeframe.operators.normalize import relative_abundance
 from biomeframe.operators.sets import common_taxa
 from biomeframe.operators.similarity import classify_centroid
 from biomeframe.operators.split import check_split, stratified_split
+from biomeframe.session import materialise
 
 
 def evaluate(model: Classifier, counts: DataFrame, samples: DataFrame, seed: int = 0) -> dict[str, DataFrame]:
     """Accuracy, confusion, weighted scores, guess ranks and per-class perturbation of a labelled table."""
-    rows, _, _ = fit_table(counts, samples, model.taxa, model.labels, model.norm, model.regex_remove)
-    scored = predict(model, rows).persist()
+    table = fit_table(counts, samples, model.taxa, model.labels, model.norm, model.regex_remove)[0]
+    rows = materialise(table)
+    scored = predict(model, rows)
     return {
         "accuracy": accuracy(scored),
         "confusion": confusion(scored),
@@ -84,7 +86,7 @@ def fit_simplified(
 ) -> tuple[Classifier, DataFrame]:
     """Refit on the taxa whose permutation costs at least ``threshold`` percent points."""
     held = fit_table(*test, model.taxa, model.labels, model.norm, model.regex_remove)[0]
-    importance = permutation_importance(model, held, seed).persist()
+    importance = permutation_importance(model, held, seed).persist()  # one row per taxon
     taxa = important_taxa(importance, threshold)
     if not taxa:
         raise ValueError("no taxon reaches the importance threshold")
@@ -117,8 +119,8 @@ def bakeoff(
     that of nearest centroid.
     """
     rows, taxa, labels = fit_table(counts, train)
-    held = fit_table(counts, test, taxa, labels)[0].persist()
-    rows = rows.persist()
+    held = materialise(fit_table(counts, test, taxa, labels)[0])
+    rows = materialise(rows)
     pairs = {
         name: predict(fit_rows(rows, taxa, labels, **options), held) for name, options in kinds.items()
     }
@@ -141,10 +143,12 @@ def discover_classes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cluster labels, their split gates, and a model panel per training share."""
     rows, _ = cluster_rows(counts)
-    found = cluster(rows, k, seed).select("sampleID", "HC_subCST").persist()
+    found = cluster(rows, k, seed).select("sampleID", "HC_subCST")
+    found = materialise(found)
     gates, pairs = [], {}
     for share in shares:
-        splits = stratified_split(found, share, validation=(100 - share) / 2, seed=seed).persist()
+        splits = stratified_split(found, share, validation=(100 - share) / 2, seed=seed)
+        splits = materialise(splits)
         gates.append(check_split(splits, tolerance).withColumn("train_share", F.lit(float(share))))
         model = fit(counts, splits.filter(F.col("split") == "train"), **options)
         held = splits.filter(F.col("split") == "validation")
