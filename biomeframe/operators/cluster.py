@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from biomeframe.functions.scores import ratio
 from biomeframe.operators.keyed import attach
-from biomeframe.operators.normalize import PSEUDO, relative_abundance
-from biomeframe.operators.vectors import arrays, index_labels, taxa_list, with_vector
+from biomeframe.operators.normalize import PSEUDO
+from biomeframe.operators.vectors import arrays, index_labels, merged_shares, taxa_list, with_vector
 from biomeframe.session import concurrently, materialise
 
 BLOCK_ROWS = 2048
@@ -26,7 +26,7 @@ BLOCK_ROWS = 2048
 def cluster_rows(counts: DataFrame, samples: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Pseudo-counted shares as vectors, with the taxon order."""
     taxa = taxa_list(counts)
-    shares = relative_abundance(counts, "pseudocount")
+    shares = merged_shares(counts, "pseudocount")
     return with_vector(arrays(shares, taxa, samples, PSEUDO)), taxa
 
 

@@ -26,10 +26,12 @@ def taxa_list(df: DataFrame) -> list[str]:
 
 
 def arrays(values: DataFrame, taxa: list[str], samples: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
-    """``features``: one array per sample in the order of ``taxa``; absent taxa get ``fill``."""
-    named = values.withColumn("taxon", norm_taxon("taxon"))
+    """``features``: one array per sample in the order of ``taxa``; absent taxa get ``fill``.
+
+    Names are compared as they are: normalising twice could strip a second prefix.
+    """
     order = pa.array(range(len(taxa)), pa.int32())
-    indexed = attach_listed(named, "inner", "taxon", taxon=taxa, idx=order)
+    indexed = attach_listed(values, "inner", "taxon", taxon=taxa, idx=order)
     # At most one entry per taxon and sample.
     packed = indexed.groupBy("sampleID").agg(F.collect_list(F.struct("idx", "value")).alias("have"))
     if samples is not None:
@@ -41,6 +43,15 @@ def arrays(values: DataFrame, taxa: list[str], samples: DataFrame | None = None,
     return packed.withColumn("features", dense).drop("have")
 
 
+def merged_shares(counts: DataFrame, zero_policy: str = "zero") -> DataFrame:
+    """Shares under normalised names; taxa with the same normalised name are added up.
+
+    The sum follows the per-sample window, so it needs no shuffle of its own.
+    """
+    shares = relative_abundance(counts, zero_policy)
+    return shares.groupBy("sampleID", norm_taxon("taxon").alias("taxon")).agg(F.sum("value").alias("value"))
+
+
 def features(
     counts: DataFrame,
     taxa: list[str],
@@ -50,10 +61,9 @@ def features(
 ) -> DataFrame:
     """Selected taxa, then shares among them, then scaling, as arrays for every sample."""
     kept = drop_taxa_regex(counts, list(regex_remove)) if regex_remove else counts
-    named = kept.select("sampleID", norm_taxon("taxon").alias("taxon"), "count")
-    chosen = attach_listed(named, "left_semi", "taxon", taxon=taxa)
-    shares = scale(relative_abundance(chosen), norm, samples=samples)
-    return arrays(shares, taxa, samples)
+    named = kept.withColumn("_norm", norm_taxon("taxon"))
+    chosen = attach_listed(named, "left_semi", "_norm", _norm=taxa).drop("_norm")
+    return arrays(scale(merged_shares(chosen), norm, samples=samples), taxa, samples)
 
 
 def with_vector(df: DataFrame, array: str = "features", name: str = "vector") -> DataFrame:

@@ -67,7 +67,7 @@ def fit_focus(
     kind: str = "mlp",
     **options: Any,
 ) -> Classifier:
-    """Refit on named taxa; several seeds need a held-out ``(counts, samples)`` to choose by."""
+    """Refit on named (normalised) taxa; several seeds need a held-out ``(counts, samples)`` to choose by."""
     rows, taxa, labels = fit_table(counts, train, sorted(taxa), norm=norm)
     if kind == "mlp":
         options.setdefault("hidden", hidden_size(len(taxa), len(labels), clamp=True))
