@@ -101,8 +101,9 @@ def canonicalise(
 
 
 def add_sample_ids(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Ids 0..n-1 in an explicit order."""
-    return with_position(df, order_by, "sampleID")
+    """Ids 0..n-1 in an explicit order; a hash of the row spreads long runs of equal keys."""
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    return with_position(tied, [*order_by, "_tie"], "sampleID").drop("_tie")
 
 
 def add_read_count(wide: DataFrame, counts: list[str]) -> DataFrame:

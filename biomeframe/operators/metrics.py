@@ -56,7 +56,7 @@ def cells(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def confusion(pairs: DataFrame) -> DataFrame:
     """Counts on the sorted label universe of truth and prediction, zero-filled."""
-    counted = cells(pairs)
+    counted = cells(pairs).persist()  # at most classes x classes rows, read twice
     universe = counted.select(F.explode(F.array(TRUTH, PRED)).alias("c")).agg(
         F.sort_array(F.collect_set("c")).alias("u")
     )

@@ -178,7 +178,7 @@ def zscore_taxa(
     """
     from biomeframe.operators.ranking import top_of
 
-    stats = taxon_moments(df, samples)
+    stats = taxon_moments(df, samples).persist()  # one row per taxon, read several times
     kept = stats.filter(F.col("total") > 0) if top_n is None else top_of(stats, top_n, rank_by)
     flat = F.coalesce(F.col("sd_samp"), F.lit(0.0)) == 0
     dropped = kept.agg(F.count(F.when(flat, 1))).scalar()

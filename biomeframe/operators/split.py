@@ -140,7 +140,7 @@ def split_audit(
     """
     per_split = class_prevalence(splits, label, ["split"]).withColumnsRenamed(
         {"n": "n_split", "prevalence": "p_split"}
-    )
+    ).persist()  # classes x splits rows, read three times
     whole = per_split.groupBy(label).agg(F.sum("n_split").alias("n_ref"))
     whole = whole.withColumn(
         "p_ref", ratio(F.col("n_ref"), F.sum("n_ref").over(Window.partitionBy(F.lit(0))))
