@@ -11,14 +11,19 @@ from biomeframe.operators.keyed import attach
 MAX_CLASSES = 2_000
 
 
-def class_list(df: DataFrame, label: str = "HC_subCST") -> list[str]:
-    """Sorted class names on the driver; raises beyond ``MAX_CLASSES``."""
-    found = df.select(F.col(label).cast("string")).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+def names_on_driver(names: DataFrame, limit: int) -> list[str]:
+    """The distinct, sorted values of a one-column table; raises beyond ``limit``."""
+    found = names.distinct().limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} values in {names.columns[0]}")
     return sorted(r[0] for r in found if r[0] is not None)
 
 
+def class_list(df: DataFrame, label: str = "HC_subCST") -> list[str]:
+    """Sorted class names, at most ``MAX_CLASSES``."""
+    return names_on_driver(df.select(F.col(label).cast("string").alias(label)), MAX_CLASSES)
+
+
 def classify_centroid(
     df: DataFrame, centroids: DataFrame, label: str = "HC_subCST", labels: list[str] | None = None
 ) -> DataFrame:

@@ -12,17 +12,14 @@ from biomeframe.functions.names import norm_taxon
 from biomeframe.operators.frames import drop_taxa_regex
 from biomeframe.operators.keyed import attach_listed
 from biomeframe.operators.normalize import relative_abundance, scale
-from biomeframe.operators.similarity import class_list
+from biomeframe.operators.similarity import class_list, names_on_driver
 
 MAX_FEATURES = 50_000
 
 
 def taxa_list(df: DataFrame) -> list[str]:
     """Normalised taxon names in canonical order; vectors need them on the driver."""
-    found = df.select(norm_taxon("taxon").alias("t")).distinct().limit(MAX_FEATURES + 1).collect()
-    if len(found) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} taxa")
-    return sorted(r[0] for r in found)
+    return names_on_driver(df.select(norm_taxon("taxon").alias("taxon")), MAX_FEATURES)
 
 
 def arrays(values: DataFrame, taxa: list[str], samples: DataFrame | None = None, fill: float = 0.0) -> DataFrame:

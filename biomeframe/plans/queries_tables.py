@@ -590,6 +590,52 @@ def taxon_lines_import(spark, sf):
     return rd.read_taxon_lines(spark, path).filter(F.col("count").isNotNull())
 
 
+def _nation_lines(spark, sf, sep):
+    """Header ids and one line per brand as one text; brands and nations are fixed dimensions."""
+    wide = _nation_columns(spark, sf)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in wide.columns[1:]]
+    lines = wide.select(F.concat_ws(sep, "p_brand", *cells).alias("l"))
+    return wide.columns[1:], lines.agg(F.concat_ws("\n", F.sort_array(F.collect_list("l"))).alias("body"))
+
+
+@query("otu_import", f"SELECT * FROM ({NATION})")
+def otu_import(spark, sf):
+    """A title line, a ``species`` line with the ids, one line per taxon."""
+    path = _scratch(spark, "otu")
+    ids, text = _nation_lines(spark, sf, ",")
+    head = "Quantities per nation" + "," * len(ids) + "\n" + ",".join(["species", *ids])
+    text.select(F.concat_ws("\n", F.lit(head), "body")).write.text(path)
+    return rd.read_otu_supplement(spark, path).filter(F.col("count").isNotNull())
+
+
+@query("ragged_import", f"SELECT sampleID, SUM(count) AS read_count FROM ({NATION}) GROUP BY 1")
+def ragged_import(spark, sf):
+    """A header one field short, with a column that is no sample."""
+    path = _scratch(spark, "ragged")
+    ids, text = _nation_lines(spark, sf, "\t")
+    body = F.replace("body", F.lit("\n"), F.lit("\t0\n"))
+    header = F.lit("\t".join([*ids, "taxID"]))
+    text.select(F.concat(header, F.lit("\n"), body, F.lit("\t0"))).write.text(path)
+    return rd.read_ragged_tsv(spark, path)[1]
+
+
+@query(
+    "labelled_tsv_import",
+    """SELECT c_custkey::VARCHAR AS sampleID, c_mktsegment AS HC_subCST, c_acctbal AS balance FROM customer""",
+)
+def labelled_tsv_import(spark, sf):
+    """Samples in rows with a diagnosis column and two columns to drop."""
+    path = _scratch(spark, "labelled")
+    tb.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_nationkey").alias("family_id"),
+        F.lit("customer").alias("role"),
+        F.col("c_mktsegment").alias("diagnosis_binary"),
+        F.col("c_acctbal").alias("balance"),
+    ).write.csv(path, header=True, sep="\t")
+    return rd.read_tsv_labelled(spark, path)
+
+
 @query(
     "write_splits",
     sql("SELECT split, HC_subCST, COUNT(*) AS n FROM three_way GROUP BY 1, 2", "three_way"),

@@ -31,8 +31,9 @@ from biomeframe.operators.metrics import (
 )
 from biomeframe.operators.normalize import relative_abundance
 from biomeframe.operators.sets import common_taxa
-from biomeframe.operators.similarity import classify_centroid
+from biomeframe.operators.similarity import classify_centroid, names_on_driver
 from biomeframe.operators.split import check_split, stratified_split
+from biomeframe.operators.vectors import MAX_FEATURES
 from biomeframe.session import materialise
 
 
@@ -102,7 +103,7 @@ def transfer_labels(
     **options: Any,
 ) -> tuple[DataFrame, Classifier]:
     """Label a new cohort by a model on the shared taxa, split it, and fit its own model."""
-    shared = [r["taxon"] for r in common_taxa(ref_counts, new_counts).collect()]
+    shared = names_on_driver(common_taxa(ref_counts, new_counts), MAX_FEATURES)
     focus = fit_focus(ref_counts, ref_samples, shared, **options)
     labelled = classify(focus, new_counts).select("sampleID", F.col("subCST").alias("HC_subCST"))
     splits = stratified_split(labelled, train, seed=seed)
