@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biomeframe.functions.scores import argmax_label, ratio
-from biomeframe.operators.keyed import attach
+from biomeframe.operators.keyed import BROADCAST_ROWS, attach
 
 MAX_CLASSES = 2_000
 
@@ -48,7 +48,8 @@ def classify_centroid(
         F.sum(F.col("value") * F.coalesce(F.col("_c")[i], F.lit(0.0))).alias(f"_d{i}")
         for i in range(len(labels))
     ]
-    summed = attach(df, per_taxon, "taxon", "left").groupBy("sampleID").agg(
+    rows = max(1, BROADCAST_ROWS // max(1, len(labels)))  # each holds one value per class
+    summed = attach(df, per_taxon, "taxon", "left", rows).groupBy("sampleID").agg(
         F.sum(square).alias("_aa"), *dots
     ).withColumn("_bb", norms)
     theta = [
