@@ -74,8 +74,8 @@ def nonempty_taxa(df: DataFrame, value: str = "count") -> DataFrame:
 
 
 def read_counts(df: DataFrame) -> DataFrame:
-    """Row totals."""
-    return df.groupBy("sampleID").agg(F.sum("count").alias("read_count"))
+    """Row totals, nulls skipped."""
+    return df.groupBy("sampleID").agg(F.coalesce(F.sum("count"), F.lit(0.0)).alias("read_count"))
 
 
 def profile(df: DataFrame, samples: DataFrame, label: str = "HC_subCST") -> DataFrame:

@@ -616,7 +616,8 @@ def ragged_import(spark, sf):
     body = F.replace("body", F.lit("\n"), F.lit("\t0\n"))
     header = F.lit("\t".join([*ids, "taxID"]))
     text.select(F.concat(header, F.lit("\n"), body, F.lit("\t0"))).write.text(path)
-    return rd.read_ragged_tsv(spark, path)[1]
+    depth = rd.read_ragged_tsv(spark, path)[1]
+    return depth.filter(F.col("read_count") > 0)  # nations without suppliers have empty columns
 
 
 @query(

@@ -116,7 +116,8 @@ def read_ragged_tsv(spark: SparkSession, path: str, drop: str = "taxID") -> tupl
         [h for _, h in keep],
         "sampleID",
     ).select("sampleID", "taxon", "count")
-    return long, long.groupBy("sampleID").agg(F.sum("count").alias("read_count"))
+    depth = F.coalesce(F.sum("count"), F.lit(0.0)).alias("read_count")
+    return long, long.groupBy("sampleID").agg(depth)
 
 
 def read_taxon_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -55,6 +55,8 @@ def test_ragged_tsv(spark, tmp_path):
         ("Sample_1", "tax a"): 1.0, ("Sample_2", "tax a"): 2.0, ("Sample_1", "tax b"): 0.0, ("Sample_2", "tax b"): 5.0
     }
     assert {r[0]: r[1] for r in depth.collect()} == {"Sample_1": 1.0, "Sample_2": 7.0}
+    empty = write(tmp_path, "e.tab", "s1\ts2\ttaxID", "a\t1\t\t7")
+    assert {r[0]: r[1] for r in rd.read_ragged_tsv(spark, empty)[1].collect()} == {"s1": 1.0, "s2": 0.0}
 
 
 def test_taxon_lines(spark, tmp_path):
