@@ -191,3 +191,15 @@ def score(measured: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     return rows.mapInArrow(run, f"{head}, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(scores(model, x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
