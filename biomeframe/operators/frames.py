@@ -25,11 +25,9 @@ RAW_METADATA = [
 def feature_dictionary(df: DataFrame) -> DataFrame:
     """``taxon, norm, idx``: canonical order by normalised name, then source order or name."""
     first = F.min("pos") if "pos" in df.columns else F.lit(0)
-    taxa = df.groupBy("taxon").agg(first.alias("p"))
-    entries = F.sort_array(F.collect_list(F.struct(norm_taxon("taxon").alias("norm"), "p", "taxon")))
-    return taxa.agg(entries.alias("e")).select(F.posexplode("e").alias("idx", "e")).select(
-        "e.taxon", "e.norm", "idx"
-    )
+    taxa = df.groupBy("taxon").agg(first.alias("p")).withColumn("norm", norm_taxon("taxon"))
+    placed = with_position(taxa, ["norm", "p", "taxon"], "idx")
+    return placed.select("taxon", "norm", F.col("idx").cast("int").alias("idx"))
 
 
 def drop_columns(wide: DataFrame, names: list[str]) -> DataFrame:
@@ -41,7 +39,11 @@ def drop_columns(wide: DataFrame, names: list[str]) -> DataFrame:
 
 
 def drop_taxa(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of taxa not in ``names``."""
+    """Rows of taxa not in ``names``; names that do not exist are only logged."""
+    given = listed(df.sparkSession, taxon=list(names))
+    absent = [r[0] for r in given.join(df.select("taxon").distinct(), "taxon", "left_anti").collect()]
+    if absent:
+        log.warning("taxa to drop not found: %s", ", ".join(sorted(absent)))
     return attach_listed(df, "left_anti", "taxon", taxon=list(names))
 
 

@@ -8,51 +8,23 @@ from pyspark.sql import functions as F
 
 from biomeframe.session import listed, materialise
 
-BROADCAST_ROWS = 200_000
-SALTS = 64
 
-
-def attach(
-    rows: DataFrame,
-    table: DataFrame,
-    on: str | list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join a per-key table (unique keys) to many rows.
 
-    The table is cached and counted up to ``max_rows``. A table within the bound
-    is broadcast, so the rows are not shuffled. A larger one is repeated over
-    ``SALTS`` salts, so no key's rows meet in a single task.
+    A plain equi-join: adaptive execution broadcasts the table if its measured
+    size allows that, and splits hot keys of the rows side otherwise. No job
+    runs while the plan is built and nothing stays cached.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"attach keeps the rows side; unsupported join {how!r}")
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(table), keys, how)
-    table.unpersist()
-    return salted_join(rows, table, keys, how)
+    return rows.join(table, keys, how)
 
 
 def attach_listed(rows: DataFrame, how: str, on: str, **columns: list) -> DataFrame:
-    """Join driver-side lists to many rows; longer lists than the bound are not broadcast."""
-    table = listed(rows.sparkSession, **columns)
-    if len(columns[on]) <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, how)
-    return salted_join(rows, table, [on], how)
-
-
-def salted_join(
-    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Equi-join that spreads every key of ``rows`` over ``salts`` partitions."""
-    others = [c for c in rows.columns if c not in keys] or keys
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    repeated = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    """Join driver-side lists to many rows; their size is known when the plan is made."""
+    return attach(rows, listed(rows.sparkSession, **columns), on, how)
 
 
 def hash_order(seed: int | str, key: Column | str) -> Column:
@@ -77,17 +49,10 @@ def with_position(df: DataFrame, order_by: list[str], name: str = "position") ->
         .withColumns({"_part": part, "_row": row_in_part})
     )
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # At most one row per shuffle partition: collected into one array for the running sum.
-    gathered = sizes.agg(F.collect_list(F.struct("_part", "_n")).alias("s"))
-    offsets = gathered.select(F.explode("s").alias("p"), "s").select(
-        F.col("p._part").alias("_part"),
-        F.aggregate(
-            F.filter("s", lambda e: e["_part"] < F.col("p._part")),
-            F.lit(0).cast("long"),
-            lambda acc, e: acc + e["_n"],
-        ).alias("_offset"),
-    )
-    placed = ranged.join(F.broadcast(offsets), "_part")
+    # One row per partition: a running sum over the table of partition sizes.
+    upto = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(upto, F.lit(0)).alias("_offset"))
+    placed = ranged.join(offsets, "_part")
     return placed.withColumn(name, F.col("_offset") + F.col("_row")).drop("_part", "_row", "_offset")
 
 

@@ -152,27 +152,14 @@ def per_class_metrics(pairs: DataFrame, by: list[str] | None = None) -> DataFram
 
 def roc_points(pairs: DataFrame) -> DataFrame:
     """One-versus-rest ROC corners per true class from hard labels."""
-    per_class = (
-        cells(pairs)
-        .groupBy()
-        .agg(
-            F.sum("n").alias("total"),
-            F.collect_list(F.struct(F.col(TRUTH).alias("t"), F.col(PRED).alias("p"), "n")).alias("cells"),
-            F.collect_set(TRUTH).alias("u"),
-        )
-        .select("total", "cells", F.explode("u").alias(TRUTH))
+    counted = cells(pairs)
+    total = counted.agg(F.sum("n")).scalar()
+    hit = F.when(F.col(TRUTH) == F.col(PRED), F.col("n")).otherwise(0)
+    truth = counted.filter(F.col(TRUTH).isNotNull()).groupBy(TRUTH).agg(F.sum("n").alias("pos"), F.sum(hit).alias("tp"))
+    guess = counted.filter(F.col(PRED).isNotNull()).groupBy(F.col(PRED).alias(TRUTH)).agg(F.sum("n").alias("guessed"))
+    counted = truth.join(guess, TRUTH, "left").select(
+        TRUTH, total.alias("total"), "pos", "tp", (F.coalesce("guessed", F.lit(0)) - F.col("tp")).alias("fp")
     )
-    label = F.col(TRUTH)
-
-    def count(test):
-        return F.aggregate(
-            F.filter("cells", test), F.lit(0).cast("long"), lambda acc, e: acc + e["n"]
-        )
-
-    positive = count(lambda e: e["t"] == label)
-    tp = count(lambda e: (e["t"] == label) & (e["p"] == label))
-    fp = count(lambda e: (e["t"] != label) & (e["p"] == label))
-    counted = per_class.select(TRUTH, "total", positive.alias("pos"), tp.alias("tp"), fp.alias("fp"))
     corner = lambda x, y: F.struct(x.alias("fpr"), y.alias("tpr"))
     middle = corner(
         ratio(F.col("fp"), F.col("total") - F.col("pos")), ratio(F.col("tp"), F.col("pos"))

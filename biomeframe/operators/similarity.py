@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biomeframe.functions.scores import argmax_label, ratio
-from biomeframe.operators.keyed import BROADCAST_ROWS, attach
+from biomeframe.operators.keyed import attach
+from biomeframe.session import listed
 
-MAX_CLASSES = 2_000
 
+def names_on_driver(names: DataFrame) -> list[str]:
+    """The distinct, sorted values of a one-column table, for constructors that need a list.
 
-def names_on_driver(names: DataFrame, limit: int) -> list[str]:
-    """The distinct, sorted values of a one-column table; raises beyond ``limit``."""
-    found = names.distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} values in {names.columns[0]}")
-    return sorted(r[0] for r in found if r[0] is not None)
+    One name per class or taxon: a dictionary, not data.
+    """
+    return sorted(r[0] for r in names.distinct().collect() if r[0] is not None)
 
 
 def class_list(df: DataFrame, label: str = "HC_subCST") -> list[str]:
-    """Sorted class names, at most ``MAX_CLASSES``."""
-    return names_on_driver(df.select(F.col(label).cast("string").alias(label)), MAX_CLASSES)
+    """Sorted class names."""
+    return names_on_driver(df.select(F.col(label).cast("string").alias(label)))
 
 
 def classify_centroid(
@@ -29,37 +28,27 @@ def classify_centroid(
 ) -> DataFrame:
     """``scores`` (sorted label order) and the best label ``subCST`` per sample.
 
-    Similarity is sum(ab) / (sum(a2) + sum(b2) - sum(ab)) over all taxa. Each taxon
-    brings its centroid values as one array, so a sample's rows are neither repeated
-    per class nor shuffled again after the per-sample normalisation.
+    Similarity is sum(ab) / (sum(a2) + sum(b2) - sum(ab)) over all taxa. Products are
+    summed per sample and class, so the plan does not grow with the classes.
     """
-    centroids = centroids.persist()  # classes x taxa, read three times
     labels = class_list(centroids, label) if labels is None else labels
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("value"))))
-    per_taxon = centroids.groupBy("taxon").agg(entries.alias("m")).select(
-        "taxon",
-        F.array(*[F.coalesce(F.col("m")[F.lit(x)], F.lit(0.0)) for x in labels]).alias("_c"),
-    )
-    square = F.col("value") * F.col("value")
-    norms = centroids.agg(
-        F.array(*[F.coalesce(F.sum(F.when(F.col(label) == x, square)), F.lit(0.0)) for x in labels])
-    ).scalar()
-    dots = [
-        F.sum(F.col("value") * F.coalesce(F.col("_c")[i], F.lit(0.0))).alias(f"_d{i}")
-        for i in range(len(labels))
-    ]
-    rows = max(1, BROADCAST_ROWS // max(1, len(labels)))  # each holds one value per class
-    summed = attach(df, per_taxon, "taxon", "left", rows).groupBy("sampleID").agg(
-        F.sum(square).alias("_aa"), *dots
-    ).withColumn("_bb", norms)
-    theta = [
-        ratio(F.col(f"_d{i}"), F.col("_aa") + F.col("_bb")[i] - F.col(f"_d{i}"))
-        for i in range(len(labels))
-    ]
-    names = F.array(*[F.lit(x) for x in labels])
-    return summed.select("sampleID", F.array(*theta).alias("scores")).withColumn(
-        "subCST", argmax_label("scores", names)
-    )
+    names = listed(df.sparkSession, names=[list(labels)]).select("names").scalar()
+    square = F.sum(F.col("value") * F.col("value"))
+    norms = centroids.groupBy(F.col(label).alias("_k")).agg(square.alias("_v"))
+    norms = norms.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v")))).scalar()
+    weights = centroids.select("taxon", F.col(label).alias("_k"), F.col("value").alias("_c"))
+    products = attach(df, weights, "taxon").groupBy("sampleID", "_k").agg(F.sum(F.col("value") * F.col("_c")).alias("_v"))
+    dots = products.groupBy("sampleID").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_d"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    summed = df.groupBy("sampleID").agg(square.alias("_aa")).join(dots, "sampleID", "left")
+    summed = summed.withColumns({"_d": F.coalesce("_d", none), "_n": names, "_bb": norms})
+
+    def theta(name: Column) -> Column:
+        dot, own = (F.coalesce(F.try_element_at(F.col(c), name), F.lit(0.0)) for c in ("_d", "_bb"))
+        return ratio(dot, F.col("_aa") + own - dot)
+
+    scored = summed.select("sampleID", "_n", F.transform("_n", theta).alias("scores"))
+    return scored.select("sampleID", "scores", argmax_label("scores", F.col("_n")).alias("subCST"))
 
 
 def score_columns(df: DataFrame, labels: list[str], template: str = "{}_sim") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -32,7 +34,8 @@ def build_session(master: str | None = None, app: str = "biomeframe", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting falls back to a temporary folder.
+    Only a local-mode session without that setting falls back to a temporary folder, which
+    goes when the driver ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -43,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     fallback = tempfile.mkdtemp(prefix="biomeframe-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
