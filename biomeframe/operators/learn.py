@@ -1,7 +1,8 @@
 """Classifiers on abundance features, their storage and scoring.
 
-A fitted model carries the whole feature recipe (taxa, scaling, regex), so the
-scoring side cannot drift from the training side.
+A fitted model carries the whole feature recipe (taxa, regex, scaling and the
+statistics the scaling took from the training samples), so a sample scored alone
+gets the same features as in a batch.
 """
 
 from __future__ import annotations
@@ -24,15 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biomeframe.operators.aggregate import class_weights
+from biomeframe.operators.centroid import CentroidModel
 from biomeframe.operators.frames import drop_taxa_regex
 from biomeframe.operators.keyed import attach, hash_order
 from biomeframe.operators.metrics import accuracy
+from biomeframe.operators.normalize import fit_scaling
 from biomeframe.operators.similarity import class_list, score_columns
-from biomeframe.operators.vectors import features, index_labels, taxa_list, with_vector
+from biomeframe.operators.vectors import features, index_labels, selected_shares, taxa_list, with_vector
 from biomeframe.session import concurrently, materialise
 
-VERSION = "1"
+VERSION = "2"
+# Copies of one row that a task makes at most.
+COPIES = 1024
 KINDS = {
+    "centroid": CentroidModel,
     "mlp": MultilayerPerceptronClassificationModel,
     "linear": LogisticRegressionModel,
     "forest": RandomForestClassificationModel,
@@ -50,6 +56,7 @@ class Classifier:
     norm: str = "none"
     regex_remove: list[str] = field(default_factory=list)
     params: dict[str, Any] = field(default_factory=dict)
+    scaling: dict[str, Any] = field(default_factory=dict)
 
     @property
     def structure(self) -> str:
@@ -70,11 +77,14 @@ def weighted_rows(train: DataFrame, label: str = "HC_subCST", seed: int = 0) ->
     to the weight on average.
     """
     weights = class_weights(train, label=label).select(label, "weight")
+    # Two steps with a redistribution between them: no task makes all copies of a rare class's row.
     share = F.conv(F.substring(hash_order(seed, "sampleID"), 1, 8), 16, 10).cast("double") / float(16**8)
     times = F.floor(F.col("weight")) + (share < F.col("weight") - F.floor("weight")).cast("long")
-    return attach(train, weights, label).withColumn("_i", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop(
-        "_i", "weight"
-    )
+    timed = attach(train, weights, label).withColumn("_times", times.cast("long")).filter("_times > 0")
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / COPIES))
+    spread = timed.withColumn("_part", F.explode(parts)).hint("rebalance")
+    left = F.least(F.col("_times") - F.col("_part") * COPIES, F.lit(COPIES)).cast("int")
+    return spread.withColumn("_i", F.explode(F.sequence(F.lit(1), left))).drop("_i", "_part", "_times", "weight")
 
 
 def fit_table(
@@ -84,15 +94,36 @@ def fit_table(
     labels: list[str] | None = None,
     norm: str = "none",
     regex_remove: list[str] = (),
+    scaling: dict[str, Any] | None = None,
 ) -> tuple[DataFrame, list[str], list[str]]:
-    """Training rows ``sampleID, HC_subCST, features, vector, label_idx`` with taxa and labels."""
+    """Training rows ``sampleID, HC_subCST, features, vector, label_idx`` with taxa and labels.
+
+    ``scaling`` holds statistics fitted before; without it the samples give their own.
+    """
     if taxa is None:
         taxa = taxa_list(drop_taxa_regex(counts, list(regex_remove)))
     labels = class_list(samples) if labels is None else labels
-    rows = features(counts, taxa, samples.select("sampleID", "HC_subCST"), norm, regex_remove)
+    rows = features(counts, taxa, samples.select("sampleID", "HC_subCST"), norm, regex_remove, scaling)
     return index_labels(with_vector(rows), labels), taxa, labels
 
 
+def training_scaling(
+    counts: DataFrame, samples: DataFrame, taxa: list[str], norm: str, regex_remove: list[str] = ()
+) -> dict[str, Any]:
+    """The statistics that ``norm`` takes from the training samples."""
+    if norm in ("none", "log_ratio"):
+        return {}
+    return fit_scaling(selected_shares(counts, taxa, samples, regex_remove), norm, taxa, samples)
+
+
+def without_nan(rows: DataFrame) -> DataFrame:
+    """``rows``, or an error if a feature is NaN: a taxon that does not vary cannot be scaled."""
+    bad = rows.filter(F.exists("features", F.isnan)).select("sampleID").limit(3).collect()
+    if bad:
+        raise ValueError(f"features are NaN, as for samples {[r[0] for r in bad]}: leave out taxa that do not vary")
+    return rows
+
+
 def fit_rows(
     rows: DataFrame,
     taxa: list[str],
@@ -103,10 +134,14 @@ def fit_rows(
     class_weighted: bool = False,
     seed: int = 0,
     hidden: int | None = None,
+    scaling: dict[str, Any] | None = None,
     **params: Any,
 ) -> Classifier:
     """Fit one classifier on prepared rows; ``params`` go to the Spark estimator.
 
+    ``scaling`` are the statistics the rows were scaled with. ``centroid`` is the nearest class
+    mean by Yue-Clayton similarity; class weights do not change it.
+
     Pass stored rather than cached rows: the estimators keep their own compact
     copy between iterations, but only of a table that is not cached already.
     """
@@ -126,13 +161,15 @@ def fit_rows(
         else:
             params.setdefault("featureSubsetStrategy", "sqrt")
             estimator = RandomForestClassifier(seed=seed, **common, **params)
+    elif kind == "centroid":
+        data, estimator = rows, CentroidModel
     else:
         raise ValueError(f"unknown classifier {kind!r}")
     model = estimator.fit(data)
     stored = {**params, "seed": seed, "class_weighted": class_weighted}
     if kind == "mlp":
         stored["hidden"] = hidden
-    return Classifier(model, kind, taxa, labels, norm, list(regex_remove), stored)
+    return Classifier(model, kind, taxa, labels, norm, list(regex_remove), stored, scaling or {})
 
 
 def fit(
@@ -146,8 +183,14 @@ def fit(
     **options: Any,
 ) -> Classifier:
     """Counts and labelled samples to a fitted classifier."""
-    rows, taxa, labels = fit_table(counts, samples, taxa, labels, norm, regex_remove)
-    return fit_rows(materialise(rows), taxa, labels, kind, norm, regex_remove, **options)
+    if taxa is None:
+        taxa = taxa_list(drop_taxa_regex(counts, list(regex_remove)))
+    scaling = training_scaling(counts, samples, taxa, norm, regex_remove)
+    rows, taxa, labels = fit_table(counts, samples, taxa, labels, norm, regex_remove, scaling)
+    rows = materialise(rows)
+    if norm != "none":
+        without_nan(rows)
+    return fit_rows(rows, taxa, labels, kind, norm, regex_remove, scaling=scaling, **options)
 
 
 def predict(model: Classifier, rows: DataFrame) -> DataFrame:
@@ -162,11 +205,17 @@ def predict(model: Classifier, rows: DataFrame) -> DataFrame:
     ).drop("vector", "label_idx", "rawPrediction", "probability", "prediction")
 
 
-def classify(model: Classifier, counts: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """Label and class probabilities for a cohort, from its counts of the model's taxa."""
+def classify(
+    model: Classifier, counts: DataFrame, samples: DataFrame | None = None, refit_scaling: bool = False
+) -> DataFrame:
+    """Label and class probabilities for a cohort, from its counts of the model's taxa.
+
+    Scaling uses the training statistics; ``refit_scaling`` takes those of the cohort instead.
+    """
     if samples is None:
         samples = counts.select("sampleID").distinct()
-    rows = features(counts, model.taxa, samples, model.norm, model.regex_remove)
+    scaling = None if refit_scaling else model.scaling
+    rows = features(counts, model.taxa, samples, model.norm, model.regex_remove, scaling)
     return predict(model, with_vector(rows)).drop("features")
 
 
@@ -212,9 +261,11 @@ def grid_search(
     """Mean held-out accuracy per scaling and parameter set over repeated seeds."""
     results = []
     for norm in norms:
-        rows, taxa, labels = fit_table(train_counts, train, norm=norm)
-        held, _, _ = fit_table(test_counts, test, taxa, labels, norm)
-        rows, held = materialise(rows), materialise(held)
+        taxa = taxa_list(train_counts)
+        scaling = training_scaling(train_counts, train, taxa, norm)
+        rows, taxa, labels = fit_table(train_counts, train, taxa, norm=norm, scaling=scaling)
+        held, _, _ = fit_table(test_counts, test, taxa, labels, norm, scaling=scaling)
+        rows, held = without_nan(materialise(rows)), without_nan(materialise(held))
 
         def score(job: tuple[dict[str, Any], int]) -> float:
             cell, s = job
@@ -235,11 +286,11 @@ def save_model(model: Classifier, path: str) -> None:
     model.model.write().overwrite().save(f"{path}/model")
     row = (
         VERSION, model.kind, model.structure, model.taxa, model.labels, model.norm, model.regex_remove,
-        json.dumps(model.params, sort_keys=True),
+        json.dumps(model.params, sort_keys=True), json.dumps(model.scaling, sort_keys=True),
     )
     schema = (
         "version string, kind string, structure string, features array<string>, labels array<string>,"
-        " norm string, regex_remove array<string>, params string"
+        " norm string, regex_remove array<string>, params string, scaling string"
     )
     spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/info")
 
@@ -260,14 +311,14 @@ def load_model(spark: SparkSession, path: str, taxa: list[str] | None = None) ->
     model = KINDS[row["kind"]].load(f"{path}/model")
     return Classifier(
         model, row["kind"], list(row["features"]), list(row["labels"]), row["norm"],
-        list(row["regex_remove"]), json.loads(row["params"]),
+        list(row["regex_remove"]), json.loads(row["params"]), json.loads(row["scaling"]),
     )
 
 
 def training_history(model: Classifier) -> DataFrame:
     """Training loss per iteration of a freshly fitted iterative model."""
-    if model.kind == "forest":
-        raise ValueError("a forest has no training iterations")
+    if model.kind in ("forest", "centroid"):
+        raise ValueError(f"a {model.kind} model has no training iterations")
     summary = model.model.summary() if model.kind == "mlp" else model.model.summary
     rows = [(i, float(v)) for i, v in enumerate(summary.objectiveHistory)]
     return SparkSession.active().createDataFrame(rows, "epoch int, train_loss double")

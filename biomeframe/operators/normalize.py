@@ -8,12 +8,12 @@ every sample.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biomeframe.functions.scores import clamp, ratio
 from biomeframe.operators.keyed import attach
+from biomeframe.session import materialise
 
 PSEUDO = 1.0e-5
 
@@ -78,12 +78,21 @@ def pseudocount_abundance(df: DataFrame) -> DataFrame:
     return densify(shares, df.select("taxon").distinct(), PSEUDO)
 
 
+def only_samples(df: DataFrame, samples: DataFrame) -> DataFrame:
+    """Long rows of the listed samples."""
+    return df.join(samples.select("sampleID"), "sampleID", "left_semi")
+
+
 def taxon_moments(df: DataFrame, samples: DataFrame | None = None, value: str = "value") -> DataFrame:
-    """Per taxon over all samples, absent ones counting as 0, in one aggregation.
+    """Per taxon over ``samples`` (or all), absent ones counting as 0, in one aggregation.
+
+    Rows of samples that are not listed take no part.
 
     Returns ``n, nnz, total, mean, sd_pop, sd_samp, min, max, prevalence``. The
     zero group joins the present rows by the pairwise variance formula.
     """
+    if samples is not None:
+        df = only_samples(df, samples)
     universe = df.select("sampleID").distinct() if samples is None else samples
     n = universe.agg(F.count(F.lit(1)).cast("double")).scalar()
     x = F.col(value)
@@ -145,6 +154,32 @@ def scale(
     return attach(full, stats, "taxon").select("sampleID", "taxon", value.alias("value"))
 
 
+def fit_scaling(df: DataFrame, method: str, taxa: list[str], samples: DataFrame, ddof: int = 0) -> dict:
+    """What ``method`` learns from ``samples``: plain numbers, in the order of ``taxa``.
+
+    ``shift`` and ``by`` for the per-taxon methods, where a value becomes (x - shift) / by;
+    the reference sample and the centre for ``tmm``; nothing for the others.
+    """
+    if method == "tmm":
+        df = materialise(only_samples(df, samples))
+        reference = materialise(tmm_reference(df))
+        centre = tmm_log_factors(df, reference).agg(F.avg("lf")).first()[0]
+        rows = {r["taxon"]: (r["yr"], r["nr"]) for r in reference.collect()}
+        return {"reference": [[t, *v] for t, v in sorted(rows.items())], "centre": centre or 0.0}
+    if method not in ("zscore", "minmax", "stddev"):
+        return {}
+    sd = "sd_pop" if ddof == 0 else "sd_samp"
+    shift, by = {
+        "zscore": (F.col("mean"), F.col(sd)),
+        "minmax": (F.col("min"), F.col("max") - F.col("min")),
+        "stddev": (F.lit(0.0), F.col(sd)),
+    }[method]
+    found = taxon_moments(df, samples).select("taxon", shift.alias("shift"), by.alias("by")).collect()
+    numbers = {r["taxon"]: (r["shift"], r["by"]) for r in found}
+    pairs = [numbers.get(t, (0.0, 0.0)) for t in taxa]
+    return {"shift": [float(s) for s, _ in pairs], "by": [float(b or 0.0) for _, b in pairs]}
+
+
 def log_ratio(df: DataFrame, on_zero: str = "error") -> DataFrame:
     """x / log10(x); infinite at x = 1."""
     x = F.col("value")
@@ -160,9 +195,8 @@ def log_ratio(df: DataFrame, on_zero: str = "error") -> DataFrame:
 
 def effort_z(samples: DataFrame, depth: str = "read_count", name: str = "effort_z") -> DataFrame:
     """Sequencing effort: read count standardised with the sample sd; nulls skipped."""
-    mean = samples.agg(F.avg(depth)).scalar()
-    sd = samples.agg(F.stddev_samp(depth)).scalar()
-    return samples.withColumn(name, ratio(F.col(depth) - mean, sd))
+    both = samples.agg(F.struct(F.avg(depth).alias("m"), F.stddev_samp(depth).alias("s"))).scalar()
+    return samples.withColumn(name, ratio(F.col(depth) - both["m"], both["s"]))
 
 
 def clamp_values(df: DataFrame, lo: float, hi: float, value: str = "value") -> DataFrame:
@@ -178,7 +212,7 @@ def zscore_taxa(
     """
     from biomeframe.operators.ranking import top_of
 
-    stats = taxon_moments(df, samples).persist()  # one row per taxon, read several times
+    stats = materialise(taxon_moments(df, samples))  # one row per taxon, read several times
     kept = stats.filter(F.col("total") > 0) if top_n is None else top_of(stats, top_n, rank_by)
     flat = F.coalesce(F.col("sd_samp"), F.lit(0.0)) == 0
     dropped = kept.agg(F.count(F.when(flat, 1))).scalar()
@@ -198,12 +232,9 @@ def _average_rank(order: Column, part: list[str]) -> Column:
     return first + (ties - 1) / 2.0
 
 
-def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
-    """Trimmed mean of M-values (Robinson & Oshlack 2010): one ``factor`` per sample.
-
-    The reference sample has its upper quartile, relative to its total, nearest
-    to the mean one; ties go to the smallest id. Factors have geometric mean 1.
-    The values are read several times: pass a stored or cached table.
+def tmm_reference(df: DataFrame) -> DataFrame:
+    """Reference sample ``taxon, yr, nr``: its upper quartile, relative to its total, is nearest
+    to the mean one; ties go to the smallest id.
     """
     taxa = df.filter(F.col("value") > 0).select("taxon").distinct()
     width = taxa.agg(F.count(F.lit(1))).scalar()
@@ -229,8 +260,8 @@ def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> Dat
             "lib",
             ((F.col("a") + (F.col("b") - F.col("a")) * (at - low)) / F.col("lib")).alias("f75"),
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    quart = materialise(quart)
     centre = quart.agg(F.avg("f75")).scalar()
     chosen = (
         quart.withColumn("gap", F.round(F.abs(F.col("f75") - centre), 12))
@@ -238,9 +269,15 @@ def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> Dat
         .limit(1)
         .select(F.col("sampleID").alias("ref_id"))
     )
-    reference = library.join(F.broadcast(chosen), F.col("sampleID") == F.col("ref_id"), "left_semi").select(
+    return library.join(F.broadcast(chosen), F.col("sampleID") == F.col("ref_id"), "left_semi").select(
         "taxon", F.col("value").alias("yr"), F.col("lib").alias("nr")
     )
+
+
+def tmm_log_factors(df: DataFrame, reference: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
+    """``lf`` per sample, log2 of its factor against ``reference`` before centring."""
+    present = df.filter(F.col("value") > 0)
+    library = present.withColumn("lib", F.sum("value").over(Window.partitionBy("sampleID")))
     pair = attach(library, reference, "taxon")
     y, n, yr, nr = (F.col(c) for c in ("value", "lib", "yr", "nr"))
     ma = pair.select(
@@ -265,19 +302,35 @@ def tmm_factors(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> Dat
     log_factor = kept.groupBy("sampleID").agg(
         (F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("lf")
     )
-    every = (
-        quart.select("sampleID")
-        .join(log_factor, "sampleID", "left")
-        .select("sampleID", F.coalesce("lf", F.lit(0.0)).alias("lf"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    centre_lf = every.agg(F.avg("lf")).scalar()
-    return every.select("sampleID", F.pow(F.lit(2.0), F.col("lf") - centre_lf).alias("factor"))
+    every = present.select("sampleID").distinct().join(log_factor, "sampleID", "left")
+    return every.select("sampleID", F.coalesce("lf", F.lit(0.0)).alias("lf"))
+
+
+def tmm_factors(
+    df: DataFrame,
+    trim_m: float = 0.3,
+    trim_a: float = 0.05,
+    reference: DataFrame | None = None,
+    centre: float | None = None,
+) -> DataFrame:
+    """Trimmed mean of M-values (Robinson & Oshlack 2010): one ``factor`` per sample.
+
+    Without a stored ``reference`` and ``centre`` both come from ``df``: the factors then
+    have geometric mean 1. The values are read several times: pass a stored table.
+    """
+    reference = materialise(tmm_reference(df)) if reference is None else reference
+    every = tmm_log_factors(df, reference, trim_m, trim_a)
+    if centre is None:
+        every = materialise(every)
+        middle = every.agg(F.avg("lf")).scalar()
+    else:
+        middle = F.lit(float(centre))
+    return every.select("sampleID", F.pow(F.lit(2.0), F.col("lf") - middle).alias("factor"))
 
 
-def tmm(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
+def tmm(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05, **fitted) -> DataFrame:
     """Values divided by their sample's total times its TMM factor."""
-    factors = tmm_factors(df, trim_m, trim_a)
+    factors = tmm_factors(df, trim_m, trim_a, **fitted)
     total = F.sum("value").over(Window.partitionBy("sampleID"))
     return (
         df.withColumn("lib", total)

@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biomeframe.functions.names import norm_taxon
+from biomeframe.functions.scores import ratio
 from biomeframe.operators.frames import drop_taxa_regex
 from biomeframe.operators.keyed import attach_listed
-from biomeframe.operators.normalize import relative_abundance, scale
+from biomeframe.operators.normalize import fit_scaling, log_ratio, only_samples, relative_abundance, tmm
 from biomeframe.operators.similarity import class_list, names_on_driver
-
-MAX_FEATURES = 50_000
+from biomeframe.session import listed
 
 
 def taxa_list(df: DataFrame) -> list[str]:
     """Normalised taxon names in canonical order; vectors need them on the driver."""
-    return names_on_driver(df.select(norm_taxon("taxon").alias("taxon")), MAX_FEATURES)
+    return names_on_driver(df.select(norm_taxon("taxon").alias("taxon")))
 
 
 def arrays(values: DataFrame, taxa: list[str], samples: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
@@ -55,12 +55,43 @@ def features(
     samples: DataFrame,
     norm: str = "none",
     regex_remove: list[str] = (),
+    scaling: dict | None = None,
+) -> DataFrame:
+    """Selected taxa, then shares among them, then scaling, as arrays for every sample.
+
+    ``scaling`` holds the statistics of the training samples; without it they come from
+    ``samples``. A taxon that does not vary there is scaled to NaN.
+    """
+    values = selected_shares(counts, taxa, samples, regex_remove)
+    if scaling is None:
+        scaling = fit_scaling(values, norm, taxa, samples)
+    if norm == "log_ratio":
+        values = log_ratio(values)
+    elif norm == "tmm":
+        schema = "taxon string, yr double, nr double"
+        reference = samples.sparkSession.createDataFrame(scaling["reference"], schema)
+        values = tmm(values, reference=reference, centre=scaling["centre"])
+    elif norm not in ("none", "zscore", "minmax", "stddev"):
+        raise ValueError(f"unknown scaling method {norm!r}")
+    rows = arrays(values, taxa, samples)
+    if "by" not in scaling:
+        return rows
+    # Two numbers per taxon, in one row.
+    numbers = listed(samples.sparkSession, shift=[scaling["shift"]], by=[scaling["by"]])
+    fitted = numbers.select(F.arrays_zip("shift", "by").alias("s")).scalar()
+    scaled = F.zip_with("features", F.col("_s"), lambda x, s: ratio(x - s["shift"], s["by"]))
+    return rows.withColumn("_s", fitted).withColumn("features", scaled).drop("_s")
+
+
+def selected_shares(
+    counts: DataFrame, taxa: list[str], samples: DataFrame, regex_remove: list[str] = ()
 ) -> DataFrame:
-    """Selected taxa, then shares among them, then scaling, as arrays for every sample."""
+    """Shares of the listed samples among the selected taxa, under normalised names."""
+    counts = only_samples(counts, samples)
     kept = drop_taxa_regex(counts, list(regex_remove)) if regex_remove else counts
     named = kept.withColumn("_norm", norm_taxon("taxon"))
     chosen = attach_listed(named, "left_semi", "_norm", _norm=taxa).drop("_norm")
-    return arrays(scale(merged_shares(chosen), norm, samples=samples), taxa, samples)
+    return merged_shares(chosen)
 
 
 def with_vector(df: DataFrame, array: str = "features", name: str = "vector") -> DataFrame:

@@ -20,6 +20,7 @@ from biomeframe.operators.learn import (
     fit_table,
     hidden_size,
     predict,
+    training_scaling,
 )
 from biomeframe.operators.metrics import (
     accuracy,
@@ -33,13 +34,12 @@ from biomeframe.operators.normalize import relative_abundance
 from biomeframe.operators.sets import common_taxa
 from biomeframe.operators.similarity import classify_centroid, names_on_driver
 from biomeframe.operators.split import check_split, stratified_split
-from biomeframe.operators.vectors import MAX_FEATURES
 from biomeframe.session import materialise
 
 
 def evaluate(model: Classifier, counts: DataFrame, samples: DataFrame, seed: int = 0) -> dict[str, DataFrame]:
     """Accuracy, confusion, weighted scores, guess ranks and per-class perturbation of a labelled table."""
-    table = fit_table(counts, samples, model.taxa, model.labels, model.norm, model.regex_remove)[0]
+    table = fit_table(counts, samples, model.taxa, model.labels, model.norm, model.regex_remove, model.scaling)[0]
     rows = materialise(table)
     scored = predict(model, rows)
     return {
@@ -69,11 +69,13 @@ def fit_focus(
     **options: Any,
 ) -> Classifier:
     """Refit on named (normalised) taxa; several seeds need a held-out ``(counts, samples)`` to choose by."""
-    rows, taxa, labels = fit_table(counts, train, sorted(taxa), norm=norm)
+    taxa = sorted(taxa)
+    scaling = training_scaling(counts, train, taxa, norm)
+    rows, taxa, labels = fit_table(counts, train, taxa, norm=norm, scaling=scaling)
     if kind == "mlp":
         options.setdefault("hidden", hidden_size(len(taxa), len(labels), clamp=True))
-    held = rows if test is None else fit_table(*test, taxa, labels, norm)[0]
-    return fit_best(rows, held, taxa, labels, list(seeds), kind=kind, norm=norm, **options)[0]
+    held = rows if test is None else fit_table(*test, taxa, labels, norm, scaling=scaling)[0]
+    return fit_best(rows, held, taxa, labels, list(seeds), kind=kind, norm=norm, scaling=scaling, **options)[0]
 
 
 def fit_simplified(
@@ -86,8 +88,8 @@ def fit_simplified(
     **options: Any,
 ) -> tuple[Classifier, DataFrame]:
     """Refit on the taxa whose permutation costs at least ``threshold`` percent points."""
-    held = fit_table(*test, model.taxa, model.labels, model.norm, model.regex_remove)[0]
-    importance = permutation_importance(model, held, seed).persist()  # one row per taxon
+    held = fit_table(*test, model.taxa, model.labels, model.norm, model.regex_remove, model.scaling)[0]
+    importance = materialise(permutation_importance(model, held, seed))
     taxa = important_taxa(importance, threshold)
     if not taxa:
         raise ValueError("no taxon reaches the importance threshold")
@@ -103,7 +105,7 @@ def transfer_labels(
     **options: Any,
 ) -> tuple[DataFrame, Classifier]:
     """Label a new cohort by a model on the shared taxa, split it, and fit its own model."""
-    shared = names_on_driver(common_taxa(ref_counts, new_counts), MAX_FEATURES)
+    shared = names_on_driver(common_taxa(ref_counts, new_counts))
     focus = fit_focus(ref_counts, ref_samples, shared, **options)
     labelled = classify(focus, new_counts).select("sampleID", F.col("subCST").alias("HC_subCST"))
     splits = stratified_split(labelled, train, seed=seed)
