@@ -22,22 +22,46 @@ def _line(spark: SparkSession, path: str, sep: str, number: int = 0) -> list[str
     return next(csv.reader([head[number]["value"]], delimiter=sep))
 
 
+def _csv(
+    spark: SparkSession, path: str, sep: str, schema: T.StructType, header: bool, strict: bool = False
+) -> DataFrame:
+    """A delimited file with as many columns as ``schema``; ``strict`` raises on cells of another type."""
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    reader = spark.read.options(maxColumns=max(20_480, len(schema) + 8), mode=mode)
+    return reader.csv(path, header=header, sep=sep, schema=schema, enforceSchema=True)
+
+
+def _number(raw: Column, strict: bool) -> Column:
+    """A count; blank is null. Any other text is null too, or an error if ``strict``."""
+    value = raw.try_cast("double")
+    if not strict:
+        return value
+    bad = value.isNull() & (F.trim(raw) != "")
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a count: "), raw)).cast("double")).otherwise(value)
+
+
 def _strings(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def read_wide(
-    spark: SparkSession, path: str, text_columns: list[str] = ("sampleID", "HC_subCST"), sep: str = ","
+    spark: SparkSession,
+    path: str,
+    text_columns: list[str] = ("sampleID", "HC_subCST"),
+    sep: str = ",",
+    strict: bool = True,
 ) -> DataFrame:
     """Samples in rows, header line; every column but ``text_columns`` is numeric.
 
+    A cell that is no number raises when it is read; with ``strict=False`` it becomes null.
+
     The schema comes from the header line, so the data is not scanned to infer it.
     Repeated names get a numeric suffix after the first.
     """
     header = _unique(_line(spark, path, sep))
     text = set(text_columns)
     fields = [T.StructField(n, T.StringType() if n in text else T.DoubleType()) for n in header]
-    return spark.read.csv(path, header=True, sep=sep, schema=T.StructType(fields), enforceSchema=True)
+    return _csv(spark, path, sep, T.StructType(fields), True, strict)
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -50,11 +74,13 @@ def _unique(names: list[str]) -> list[str]:
     return out
 
 
-def _explode_columns(df: DataFrame, keep: list[Column], columns: list[str], names: list[str], key: str) -> DataFrame:
+def _explode_columns(
+    df: DataFrame, keep: list[Column], columns: list[str], names: list[str], key: str, strict: bool = True
+) -> DataFrame:
     values = F.array(*[F.col(f"`{c}`").cast("string") for c in columns])
     at = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_pos") + 1)
     return df.select(*keep, F.posexplode(values).alias("_pos", "_raw")).select(
-        "*", at.alias(key), F.col("_raw").try_cast("double").alias("count")
+        "*", at.alias(key), _number(F.col("_raw"), strict).alias("count")
     )
 
 
@@ -65,14 +91,23 @@ def wide_to_long(wide: DataFrame, not_taxa: list[str] = ("read_count", "HC_subCS
     return long.select("sampleID", "taxon", F.col("_pos").alias("pos"), "count")
 
 
-def read_transposed(spark: SparkSession, path: str, sep: str = ",", skip_lines: int = 0, meta_rows: list[str] = ()) -> DataFrame:
+def read_transposed(
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    skip_lines: int = 0,
+    meta_rows: list[str] = (),
+    strict: bool = True,
+) -> DataFrame:
     """Samples in columns to long form; the first column holds the taxon.
 
-    Lines named in ``meta_rows`` are left out; :func:`read_meta_rows` returns them.
+    ``skip_lines`` title lines stand above the line with the ids. Lines named in
+    ``meta_rows`` are left out; :func:`read_meta_rows` returns them. A cell that is
+    no count raises, or is null with ``strict=False``.
     """
     ids, body = _transposed_body(spark, path, sep, skip_lines)
     taxa = body.filter(~F.col("_name").isin(*meta_rows)) if meta_rows else body
-    long = _explode_columns(taxa, [F.col("_name").alias("taxon")], [f"_s{i}" for i in range(len(ids))], ids, "sampleID")
+    long = _explode_columns(taxa, [F.col("_name").alias("taxon")], [f"_s{i}" for i in range(len(ids))], ids, "sampleID", strict)
     return long.select("sampleID", "taxon", "count")
 
 
@@ -80,34 +115,39 @@ def read_meta_rows(spark: SparkSession, path: str, meta_rows: list[str], sep: st
     """Sample annotations laid out as lines of a transposed file: one column per line name."""
     ids, body = _transposed_body(spark, path, sep, skip_lines)
     rows = body.filter(F.col("_name").isin(*meta_rows))
-    long = _explode_columns(rows, [F.col("_name")], [f"_s{i}" for i in range(len(ids))], ids, "sampleID")
+    long = _explode_columns(rows, [F.col("_name")], [f"_s{i}" for i in range(len(ids))], ids, "sampleID", strict=False)
     return long.groupBy("sampleID").pivot("_name", list(meta_rows)).agg(F.first("_raw"))
 
 
 def _transposed_body(spark: SparkSession, path: str, sep: str, skip_lines: int) -> tuple[list[str], DataFrame]:
-    header = _line(spark, path, sep, skip_lines)
-    ids = header[1:]
+    heads = [_line(spark, path, sep, i) for i in range(skip_lines + 1)]
+    ids = heads[-1][1:]
     schema = _strings(["_name", *[f"_s{i}" for i in range(len(ids))]])
-    body = spark.read.csv(path, header=skip_lines > 0, sep=sep, schema=schema, enforceSchema=True)
-    # The id line is recognised by its first two fields.
-    first = F.col("_name").eqNullSafe(F.lit(header[0] or None))
-    second = F.col("_s0").eqNullSafe(F.lit(ids[0] or None)) if ids else F.lit(True)
-    return ids, body.filter(~(first & second))
+    body = _csv(spark, path, sep, schema, False)
+    # The title lines and the id line are recognised by their first two fields.
+    for head in heads:
+        fields = [*head, "", ""]
+        first = F.col("_name").eqNullSafe(F.lit(fields[0] or None))
+        second = F.col("_s0").eqNullSafe(F.lit(fields[1] or None)) if ids else F.lit(True)
+        body = body.filter(~(first & second))
+    return ids, body
 
 
-def read_otu_supplement(spark: SparkSession, path: str) -> DataFrame:
+def read_otu_supplement(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Supplement with a title line above the line ``species, id, id, ...``."""
-    return read_transposed(spark, path, skip_lines=1)
+    return read_transposed(spark, path, skip_lines=1, strict=strict)
 
 
-def read_ragged_tsv(spark: SparkSession, path: str, drop: str = "taxID") -> tuple[DataFrame, DataFrame]:
+def read_ragged_tsv(
+    spark: SparkSession, path: str, drop: str = "taxID", strict: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Header one field shorter than the lines, whose first field is the taxon.
 
     Returns long counts without the ``drop`` column and each sample's read count.
     """
     header = _line(spark, path, "\t")
     names = ["_name", *[f"_s{i}" for i in range(len(header))]]
-    body = spark.read.csv(path, header=True, sep="\t", schema=_strings(names), enforceSchema=True)
+    body = _csv(spark, path, "\t", _strings(names), True)
     keep = [(i, h) for i, h in enumerate(header) if h != drop]
     long = _explode_columns(
         body,
@@ -115,12 +155,13 @@ def read_ragged_tsv(spark: SparkSession, path: str, drop: str = "taxID") -> tupl
         [f"_s{i}" for i, _ in keep],
         [h for _, h in keep],
         "sampleID",
+        strict,
     ).select("sampleID", "taxon", "count")
     depth = F.coalesce(F.sum("count"), F.lit(0.0)).alias("read_count")
     return long, long.groupBy("sampleID").agg(depth)
 
 
-def read_taxon_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_taxon_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One taxon per line; field 0 is its name, field 1 is ignored, line 0 holds the ids."""
     header = _line(spark, path, "\t")
     ids = F.array(*[F.lit(x) for x in header[2:]])
@@ -131,7 +172,7 @@ def read_taxon_lines(spark: SparkSession, path: str) -> DataFrame:
         F.posexplode(F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0)))).alias("p", "v"),
     )
     return cells.select(
-        F.element_at(ids, F.col("p") + 1).alias("sampleID"), "taxon", F.col("v").try_cast("double").alias("count")
+        F.element_at(ids, F.col("p") + 1).alias("sampleID"), "taxon", _number(F.col("v"), strict).alias("count")
     )
 
 
@@ -140,10 +181,11 @@ def read_tsv_labelled(
     path: str,
     label: str = "diagnosis_binary",
     drop: list[str] = ("family_id", "role"),
+    strict: bool = True,
 ) -> DataFrame:
     """Samples in rows, blank first header, a diagnosis column as label."""
     header = ["sampleID" if i == 0 else h for i, h in enumerate(_line(spark, path, "\t"))]
     text = {"sampleID", label, *drop}
     fields = [T.StructField(n, T.StringType() if n in text else T.DoubleType()) for n in header]
-    wide = spark.read.csv(path, header=True, sep="\t", schema=T.StructType(fields), enforceSchema=True)
+    wide = _csv(spark, path, "\t", T.StructType(fields), True, strict)
     return wide.drop(*drop).withColumnRenamed(label, "HC_subCST")

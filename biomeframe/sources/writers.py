@@ -18,8 +18,8 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
 
 
 def to_wide(long: DataFrame, taxa: list[str], value: str = "count", keep: list[str] = ("sampleID",)) -> DataFrame:
-    """One column per taxon in the given order, absent counts as 0."""
-    wide = long.groupBy(*keep).pivot("taxon", list(taxa)).agg(F.first(value))
+    """One column per taxon in the given order, absent counts as 0, repeated ones added up."""
+    wide = long.groupBy(*keep).pivot("taxon", list(taxa)).agg(F.sum(value))
     return wide.na.fill(0.0, subset=list(taxa))
 
 
