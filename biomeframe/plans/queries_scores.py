@@ -149,32 +149,35 @@ def cohort_counts(spark, sf):
     return tb.counts_long(spark, sf).join(tb.sample_cohorts(spark, sf), "sampleID")
 
 
+NORM_NAME = "regexp_replace(replace(lower(p_name), ' ', '_'), '^.__?', '', 's')"
+
+
 @query(
     "common_taxa",
-    sql(
-        """SELECT lower(taxon) AS taxon FROM counts JOIN cohorts ON counts.sampleID = cohorts.sampleID
-           WHERE count > 20 GROUP BY 1
-           HAVING COUNT(DISTINCT cohort) = (SELECT COUNT(DISTINCT cohort) FROM cohorts) ORDER BY 1""",
-        "counts", "cohorts",
-    ),
+    f"""SELECT {NORM_NAME} AS taxon FROM part GROUP BY 1
+        HAVING COUNT(DISTINCT p_type) = (SELECT COUNT(DISTINCT p_type) FROM part) ORDER BY 1""",
 )
 def common_taxa(spark, sf):
-    n = tb.table(spark, sf, "region").count()
-    return st.shared_taxa(cohort_counts(spark, sf).filter(F.col("count") > 20), "cohort", n)
+    """Part names found in every part type."""
+    rows = tb.table(spark, sf, "part").select(F.col("p_name").alias("taxon"), "p_type")
+    return st.shared_taxa(rows, "p_type")
+
+
+def nation_names(spark, sf, of, key):
+    nation = tb.table(spark, sf, "nation")
+    return tb.table(spark, sf, of).join(nation, F.col(key) == F.col("n_nationkey")).select("n_name")
 
 
 @query(
     "common_taxa_two",
-    sql(
-        """SELECT lower(taxon) AS taxon FROM counts WHERE count > 80
-           INTERSECT SELECT lower(p_brand) FROM part WHERE p_size > 45 ORDER BY 1""",
-        "counts",
-    ),
+    """SELECT replace(lower(n_name), ' ', '_') AS taxon FROM customer JOIN nation ON c_nationkey = n_nationkey
+       INTERSECT SELECT replace(lower(n_name), ' ', '_') FROM supplier JOIN nation ON s_nationkey = n_nationkey
+       ORDER BY 1""",
 )
 def common_taxa_two(spark, sf):
-    ordered = tb.counts_long(spark, sf).filter(F.col("count") > 80)
-    large = tb.table(spark, sf, "part").filter(F.col("p_size") > 45).select(F.col("p_brand").alias("taxon"))
-    return st.common_taxa(ordered, large)
+    """Nations of customers that are also nations of suppliers."""
+    sides = (("customer", "c_nationkey"), ("supplier", "s_nationkey"))
+    return st.common_taxa(*[nation_names(spark, sf, t, k).withColumnRenamed("n_name", "taxon") for t, k in sides])
 
 
 @query(
@@ -193,18 +196,13 @@ def stack_cohorts(spark, sf):
 
 @query(
     "label_universe",
-    sql(
-        """SELECT l AS HC_subCST, COUNT(DISTINCT side) = 2 AS in_both FROM (
-             SELECT HC_subCST AS l, 1 AS side FROM samples WHERE sampleID % 2 = 0
-             UNION ALL SELECT HC_subCST, 2 FROM samples WHERE HC_subCST <> 'BUILDING') GROUP BY 1 ORDER BY 1""",
-        "samples",
-    ),
+    """SELECT l AS HC_subCST, COUNT(DISTINCT side) = 2 AS in_both FROM (
+         SELECT n_name AS l, 1 AS side FROM customer JOIN nation ON c_nationkey = n_nationkey
+         UNION ALL SELECT n_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY 1 ORDER BY 1""",
 )
 def label_universe(spark, sf):
-    samples = tb.sample_labels(spark, sf)
-    return st.label_universe(
-        samples.filter(F.col("sampleID") % 2 == 0), samples.filter(F.col("HC_subCST") != "BUILDING")
-    )
+    sides = (("customer", "c_nationkey"), ("supplier", "s_nationkey"))
+    return st.label_universe(*[nation_names(spark, sf, t, k).withColumnRenamed("n_name", "HC_subCST") for t, k in sides])
 
 
 @query(

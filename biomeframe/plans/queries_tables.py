@@ -10,6 +10,7 @@ from biomeframe.operators import aggregate as ag
 from biomeframe.operators import frames as fr
 from biomeframe.operators import normalize as no
 from biomeframe.operators import ranking as rk
+from biomeframe.operators.split import stratified_split
 from biomeframe.operators.vectors import index_labels
 from biomeframe.plans.registry import query, r6, sql
 from biomeframe.session import materialise, shared_dir
@@ -278,6 +279,32 @@ for _name, _method, _expr in (
     query(_name, _sql)(_run)
 
 
+def training_ids(spark, sf):
+    """Training part of the samples; the tables keep the counts of all of them."""
+    both = stratified_split(tb.sample_labels(spark, sf), 80, seed=7)
+    return both.filter(F.col("split") == "train").drop("split")
+
+
+def _scaled_subset(method, expr):
+    body = f"""SELECT v.sampleID, v.taxon, ROUND({expr}, 6) + 0 AS value FROM train_shares v
+               JOIN train_moments t ON t.taxon = v.taxon"""
+
+    def run(spark, sf):
+        scaled = no.scale(stored_shares(spark, sf), method, samples=training_ids(spark, sf))
+        return scaled.withColumn("value", r6("value"))
+
+    return sql(body, "train_moments"), run
+
+
+for _name, _method, _expr in (
+    ("zscore_subset", "zscore", "(v.value - t.m) / t.sp"),
+    ("minmax_subset", "minmax", "(v.value - t.lo) / (t.hi - t.lo)"),
+    ("stddev_subset", "stddev", "v.value / t.sp"),
+):
+    _sql, _run = _scaled_subset(_method, _expr)
+    query(_name, _sql)(_run)
+
+
 @query(
     "zscore_sample_topn",
     sql(
@@ -433,6 +460,34 @@ def taxon_summary(spark, sf):
     return out.select("taxon", *[r6(c).alias(c) for c in ("mean", "prevalence", "max")])
 
 
+SUBSET = "SELECT taxon, m AS mean, prevalence, hi AS max FROM train_moments"
+
+
+@query(
+    "taxon_summary_subset",
+    sql(
+        f"SELECT taxon, ROUND(mean, 6) AS mean, ROUND(prevalence, 6) AS prevalence, ROUND(max, 6) AS max FROM ({SUBSET})",
+        "train_moments",
+    ),
+)
+def taxon_summary_subset(spark, sf):
+    out = ag.taxon_summary(shares(spark, sf), training_ids(spark, sf))
+    return out.select("taxon", *[r6(c).alias(c) for c in ("mean", "prevalence", "max")])
+
+
+@query(
+    "top_taxa_subset",
+    sql(
+        f"""SELECT taxon, ROUND(mean, 6) AS mean, ROUND(prevalence, 6) AS prevalence, ROUND(max, 6) AS max
+            FROM ({SUBSET}) ORDER BY ROUND(mean, 12) DESC, lower(taxon), taxon LIMIT 10""",
+        "train_moments",
+    ),
+)
+def top_taxa_subset(spark, sf):
+    out = rk.top_taxa(shares(spark, sf), 10, "mean", training_ids(spark, sf))
+    return out.select("taxon", *[r6(c).alias(c) for c in ("mean", "prevalence", "max")])
+
+
 def _top(rank_by):
     body = f"""SELECT taxon, ROUND(mean, 6) AS mean, ROUND(prevalence, 6) AS prevalence, ROUND(max, 6) AS max
                FROM ({SUMMARY}) ORDER BY ROUND({rank_by}, 12) DESC, lower(taxon), taxon LIMIT 10"""
@@ -538,19 +593,28 @@ def _scratch(spark, name):
 
 @query(
     "csv_import",
-    sql("SELECT sampleID::VARCHAR AS sampleID, taxon, count FROM users", "users"),
+    sql(
+        """SELECT u.sampleID::VARCHAR AS sampleID, t.taxon, COALESCE(x.count, 0) AS count
+           FROM (SELECT DISTINCT sampleID FROM users) u CROSS JOIN (SELECT DISTINCT taxon FROM users) t
+           LEFT JOIN users x ON x.sampleID = u.sampleID AND x.taxon = t.taxon""",
+        "users",
+    ),
 )
 def csv_import(spark, sf):
-    """Wide export to CSV, read back without schema inference, to sparse long form."""
+    """Wide export to CSV, read back without schema inference, to long form."""
     path = _scratch(spark, "wide")
     wr.write_csv(wr.to_wide(tb.event_counts(spark, sf), event_types(spark, sf)), path)
     long = rd.wide_to_long(rd.read_wide(spark, path))
-    return long.filter(F.col("count") > 0).drop("pos")
+    return long.drop("pos")
 
 
-NATION = """SELECT n_name AS sampleID, p_brand AS taxon, SUM(l_quantity) AS count FROM lineitem
+# Counts of every brand for every nation; a nation without suppliers has none.
+NATION_PAIRS = """SELECT n_name AS sampleID, p_brand AS taxon, SUM(l_quantity) AS count FROM lineitem
             JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
             JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
+NATION = f"""SELECT n_name AS sampleID, b.taxon, COALESCE(x.count, 0) AS count FROM nation
+             CROSS JOIN (SELECT DISTINCT taxon FROM ({NATION_PAIRS})) b
+             LEFT JOIN ({NATION_PAIRS}) x ON x.sampleID = n_name AND x.taxon = b.taxon"""
 
 
 def nation_counts(spark, sf):
@@ -569,7 +633,12 @@ def nation_counts(spark, sf):
 
 def _nation_columns(spark, sf):
     names = [r[0] for r in tb.table(spark, sf, "nation").select("n_name").orderBy("n_nationkey").collect()]
-    return nation_counts(spark, sf).groupBy("p_brand").pivot("n_name", names).agg(F.first("count"))
+    return nation_counts(spark, sf).groupBy("p_brand").pivot("n_name", names).agg(F.sum("count"))
+
+
+def _filled(long):
+    """Blank cells read as null are no counts."""
+    return long.withColumn("count", F.coalesce("count", F.lit(0.0)))
 
 
 @query("transposed_import", f"SELECT * FROM ({NATION})")
@@ -577,7 +646,7 @@ def transposed_import(spark, sf):
     """Samples as columns of a CSV file, straight to long form."""
     path = _scratch(spark, "transposed")
     wr.write_csv(_nation_columns(spark, sf), path)
-    return rd.read_transposed(spark, path).filter(F.col("count").isNotNull())
+    return _filled(rd.read_transposed(spark, path))
 
 
 @query("taxon_lines_import", f"SELECT * FROM ({NATION})")
@@ -587,7 +656,7 @@ def taxon_lines_import(spark, sf):
     wide = _nation_columns(spark, sf)
     lines = wide.select(F.col("p_brand").alias("Taxon_Name"), F.lit("x").alias("skip"), *wide.columns[1:])
     lines.write.csv(path, header=True, sep="\t", emptyValue="")
-    return rd.read_taxon_lines(spark, path).filter(F.col("count").isNotNull())
+    return _filled(rd.read_taxon_lines(spark, path))
 
 
 def _nation_lines(spark, sf, sep):
@@ -605,7 +674,7 @@ def otu_import(spark, sf):
     ids, text = _nation_lines(spark, sf, ",")
     head = "Quantities per nation" + "," * len(ids) + "\n" + ",".join(["species", *ids])
     text.select(F.concat_ws("\n", F.lit(head), "body")).write.text(path)
-    return rd.read_otu_supplement(spark, path).filter(F.col("count").isNotNull())
+    return _filled(rd.read_otu_supplement(spark, path))
 
 
 @query("ragged_import", f"SELECT sampleID, SUM(count) AS read_count FROM ({NATION}) GROUP BY 1")
@@ -616,8 +685,7 @@ def ragged_import(spark, sf):
     body = F.replace("body", F.lit("\n"), F.lit("\t0\n"))
     header = F.lit("\t".join([*ids, "taxID"]))
     text.select(F.concat(header, F.lit("\n"), body, F.lit("\t0"))).write.text(path)
-    depth = rd.read_ragged_tsv(spark, path)[1]
-    return depth.filter(F.col("read_count") > 0)  # nations without suppliers have empty columns
+    return rd.read_ragged_tsv(spark, path)[1]
 
 
 @query(

@@ -92,9 +92,43 @@ PARTS = {
                (p.p_split / r.p_ref - 1) * 100 AS rel
         FROM ref_share r CROSS JOIN (SELECT DISTINCT split FROM three_way) x
         LEFT JOIN split_share p ON p.HC_subCST = r.HC_subCST AND p.split = x.split""",
+    "train": "SELECT sampleID, HC_subCST FROM two_way WHERE split = 'train'",
+    "test": "SELECT sampleID, HC_subCST FROM two_way WHERE split = 'test'",
+    "train_shares": "SELECT v.* FROM full_shares v JOIN train t ON t.sampleID = v.sampleID",
+    "train_moments": """
+        SELECT taxon, AVG(value) AS m, STDDEV_POP(value) AS sp, MIN(value) AS lo, MAX(value) AS hi,
+               AVG((value > 0)::INTEGER) AS prevalence FROM train_shares GROUP BY 1""",
+    "plain_features": "SELECT sampleID, taxon, value AS x FROM full_shares",
+    "scaled_features": """
+        SELECT v.sampleID, v.taxon, (v.value - t.m) / t.sp AS x FROM full_shares v JOIN train_moments t ON t.taxon = v.taxon""",
+    "t_pairs": "SELECT s.sampleID, s.HC_subCST, g.subCST FROM test s JOIN t_guess g ON g.sampleID = s.sampleID",
+    "t_cells": "SELECT HC_subCST, subCST, COUNT(*) AS n FROM t_pairs GROUP BY 1, 2",
     "vectors": "SELECT vec_id AS sampleID, label::VARCHAR AS HC_subCST, embedding::DOUBLE[] AS f FROM embeddings",
 }
 
+
+
+def _nearest(name: str, features: str) -> dict[str, str]:
+    """Sub-queries of nearest class means, fitted on the training samples, for the held-out ones."""
+    return {
+        f"{name}_means": f"""
+            SELECT t.HC_subCST AS cls, x.taxon, AVG(x.x) AS c FROM {features} x JOIN train t ON t.sampleID = x.sampleID
+            GROUP BY 1, 2""",
+        f"{name}_theta": f"""
+            SELECT sampleID, cls, ab / (aa + bb - ab) AS score
+            FROM (SELECT x.sampleID, m.cls, SUM(x.x * m.c) AS ab, SUM(x.x * x.x) AS aa, SUM(m.c * m.c) AS bb
+                  FROM {features} x JOIN test s ON s.sampleID = x.sampleID JOIN {name}_means m ON m.taxon = x.taxon
+                  GROUP BY 1, 2)""",
+        f"{name}_guess": f"""
+            SELECT sampleID, cls AS subCST, score FROM {name}_theta
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY sampleID ORDER BY score DESC, cls) = 1""",
+    }
+
+
+PARTS |= _nearest("t", "plain_features") | _nearest("z", "scaled_features")
+PARTS["t_universe"] = PARTS["universe"].replace("cells", "t_cells")
+PARTS["t_per_class"] = PARTS["per_class"].replace("cells", "t_cells")
+
 NEEDS = {
     "shares": ["counts"], "sizes": ["samples"], "taxa": ["counts"],
     "full_shares": ["samples", "taxa", "shares"], "depths": ["counts"],
@@ -105,6 +139,12 @@ NEEDS = {
     "per_class": ["cells"], "user_shares": ["users"], "ordered": ["samples"],
     "two_way": ["ordered"], "three_way": ["ordered"], "ref_share": ["sizes"],
     "split_share": ["three_way"], "audit": ["ref_share", "split_share", "three_way"],
+    "train": ["two_way"], "test": ["two_way"], "train_shares": ["full_shares", "train"],
+    "train_moments": ["train_shares"], "plain_features": ["full_shares"],
+    "scaled_features": ["full_shares", "train_moments"],
+    "t_means": ["plain_features", "train"], "t_theta": ["t_means", "test"], "t_guess": ["t_theta"],
+    "z_means": ["scaled_features", "train"], "z_theta": ["z_means", "test"], "z_guess": ["z_theta"],
+    "t_pairs": ["test", "t_guess"], "t_cells": ["t_pairs"], "t_universe": ["t_cells"], "t_per_class": ["t_cells"],
 }
 
 

@@ -155,21 +155,32 @@ def test_median_centroid_against_numpy(spark):
         ag.centroids(df, samples, "mode")
 
 
-def test_attach_beyond_the_bound_gives_the_same_rows(spark):
+def test_attach_keeps_the_rows_side_and_runs_nothing(spark):
     rows = spark.range(2000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id") % 50).alias("k"), "id")
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    failing = dim.withColumn("v", F.raise_error(F.lit("ran")))
     for how in ("inner", "left", "left_semi", "left_anti"):
-        small = sorted(map(str, ky.attach(rows, dim, "k", how).collect()))
-        large = sorted(map(str, ky.attach(rows, dim, "k", how, max_rows=3).collect()))
-        assert small == large
+        ky.attach(rows, failing, "k", how)
+        assert ky.attach(rows, dim, "k", how).count() == rows.join(dim, "k", how).count()
+    with pytest.raises(ValueError):
+        ky.attach(rows, dim, "k", "full")
+
 
+def test_positions_are_exact(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("v"), "id").repartition(7)
+    got = [tuple(r) for r in ky.with_position(df, ["v", "id"]).orderBy("position").collect()]
+    assert [g[2] for g in got] == list(range(500)) and got == sorted(got, key=lambda g: (g[0], g[1]))
 
-def test_salted_join_spreads_a_hot_key(spark):
-    rows = spark.range(1000).select(F.lit(1).alias("k"), "id")
-    dim = spark.createDataFrame([(1, "x")], "k int, v string")
-    joined = ky.salted_join(rows, dim, ["k"], salts=16)
-    plan = joined._jdf.queryExecution().toString()
-    assert "_salt" in plan and joined.count() == 1000
+
+def test_moments_over_a_subset_ignore_the_other_samples(counts, samples):
+    x = no.relative_abundance(counts)
+    few = samples.filter(F.col("sampleID").isin("a", "b", "c"))
+    inside = x.join(few.select("sampleID"), "sampleID", "left_semi")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(no.taxon_moments(x, few)) == key(no.taxon_moments(inside, few))
+    for method in ("zscore", "minmax", "stddev"):
+        assert str(key(no.scale(x, method, samples=few))) == str(key(no.scale(inside, method, samples=few)))
+    assert max(r["prevalence"] for r in no.taxon_moments(x, few).collect()) <= 1
 
 
 def test_weights_and_prevalence(samples):
