@@ -4,16 +4,17 @@ All n-grams have one global order: by hash, those that a sample of documents sho
 to be frequent last and by frequency. Documents with equal n-gram sets are one unit.
 The order is cut into fragments. The leading fragment of a unit of size n, its first
 n - ceil(t n) + 1 n-grams, yields candidates: two sets of similarity t or more share
-one of them. The other fragments only count: for each candidate pair the
+one of them. For candidates the order by hash is cut into fragments; the
 overlaps inside every fragment are counted separately and summed per pair, which
-gives the exact similarity.
+gives the exact similarity. Pairs that the first fragment rules out skip the others.
 
-Candidates are not all pairs of a group. Per shared n-gram one member, the centre,
-meets the others, linearly many pairs; verified links are merged into components,
-and only members of different components go on. An n-gram leaves when one component
-is left. Where few members are left they meet each other directly;
-otherwise new centres are taken until that holds. So a group of near copies costs as many pairs as it has
-members, and no link between components is lost.
+Candidates are not all pairs of a group. Per shared n-gram and band of sizes one
+member, the centre, meets the others, linearly many pairs; verified links are
+merged into components, and only members of different components, in places where
+a link is still possible, go on. Where few members are left they meet each
+other directly; otherwise new centres are taken until that holds. So a group of
+near copies costs as many pairs as it has members, and no link between components
+is lost.
 
 Frequent n-grams are aggregated before they are joined, the others have few members
 each, and joins on hot units are equi-joins that adaptive execution splits.
@@ -43,9 +44,10 @@ WORDS, PERCENT = 5, 80
 # FREQUENT of them, the most frequent, are known to the workers (16 bytes each).
 SAMPLE, SEEN, FREQUENT = 16, 4, 1 << 20
 FRAGMENTS = 4
-# Up to so many members of an n-gram meet each other directly.
-FEW = 64
-CENTRES = 8
+# Up to so many members of an n-gram and size band meet each other directly; else so many centres a round.
+FEW, CENTRES = 128, 32
+# Up to so many rows of ids or pairs (at most 32 bytes each) are broadcast; beyond that they are joined by shuffles.
+SMALL = 1_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -158,7 +160,7 @@ def leading(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> Da
 
 
 def fragments(docs: DataFrame, words: int) -> DataFrame:
-    """unit, fragment, the unit's n-grams in it; one row of each per unit."""
+    """unit, its size, fragment, the unit's n-grams in it, for every document that has any."""
     cuts = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
 
     def run(_ids: list, texts: list) -> Iterator[tuple]:
@@ -166,28 +168,112 @@ def fragments(docs: DataFrame, words: int) -> DataFrame:
             g = ngrams(text, words)
             unit = unit_of(g)
             for k, part in enumerate(np.split(g, np.searchsorted(g, cuts))):
-                if len(part):
-                    yield unit, k, part.view(np.int64)
+                yield unit, k, part.view(np.int64)
 
     kinds = {"unit": pa.int64(), "fragment": pa.int32(), "grams": LONGS}
-    rows = rows_of(docs, run, kinds, "unit long, fragment int, grams array<long>")
-    return rows.groupBy("unit", "fragment").agg(F.first("grams").alias("grams"))
+    return rows_of(docs, run, kinds, "unit long, fragment int, grams array<long>")
+
+
+def beside(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join a stored table, broadcast if it is counted to be small."""
+    few = table.limit(SMALL + 1).count() <= SMALL
+    return rows.join(F.broadcast(table) if few else table, on, how)
+
+
+def needed(n: Column, m: Column, percent: int) -> Column:
+    """Least overlap with which sets of sizes n and m are similar."""
+    return F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
 
 def can_link(n: Column, at: Column, m: Column, to: Column, percent: int) -> Column:
-    """Whether sizes n, m and places at, to (from 0) of a shared n-gram leave room for a link."""
-    most = F.least(at, to) + F.least(n - at, m - to)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most * (100 + percent) >= percent * (n + m))
+    """Whether a shared n-gram at places at and to (from 0) makes sets of sizes n and m candidates.
+
+    Similar sets share an n-gram among the first n - o + 1 and m - o + 1, o being the overlap they need.
+    """
+    least = needed(n, m, percent)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at <= n - least) & (to <= m - least)
+
+
+def banded(rows: DataFrame, percent: int) -> DataFrame:
+    """Every member in the band of its own size (``own``) and in the band below it.
+
+    Two sizes that can be similar lie in one band or in neighbouring ones, so a
+    band holds all partners, equal or larger, of the members that own it.
+    """
+    width = float(np.log(100 / percent * 1.000001))
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    both = rows.withColumn("_own", band).withColumn("band", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    return both.withColumn("own", F.col("band") == F.col("_own")).drop("_own")
+
+
+def as_smaller(percent: int) -> Column:
+    """Whether a member owns its band and its place allows any partner that is not smaller."""
+    return F.col("own") & (F.col("at") <= F.col("n") - needed(F.col("n"), F.col("n"), percent))
+
+
+def open_members(tagged: DataFrame, percent: int) -> DataFrame:
+    """Members that can still give a pair, with ``_n`` of them per n-gram and band.
+
+    The smaller set of a pair has its place in the stricter prefix. A band
+    without such a member, or within one component, is closed; of the others only
+    members stay that the smallest of those could link with.
+    """
+    small = as_smaller(percent)
+    state = tagged.groupBy(*KEY).agg(
+        F.min("c").alias("_a"), F.max("c").alias("_b"), F.min(F.when(small, F.col("n"))).alias("_m")
+    )
+    state = state.filter("_a <> _b AND _m IS NOT NULL").select(*KEY, "_m")
+    near = F.col("at") <= F.col("n") - needed(F.col("n"), F.col("_m"), percent)
+    kept = materialise(tagged.join(state, KEY).filter(small | near).drop("_m"))
+    count = kept.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return kept.join(count, KEY)
+
+
+def centres(members: DataFrame, lanes: int, percent: int) -> DataFrame:
+    """Up to 2 * ``lanes`` members per n-gram and band that are to meet all others there.
+
+    By component, so that the few beside a large component have their turn soon: the
+    member with the fewest rarer n-grams, which links with the most others. By unit:
+    the smallest, since it alone may keep members in late places open.
+    """
+    by = lambda column: F.pmod(F.xxhash64(column), F.lit(lanes)).alias("_lane")
+    hubs = members.groupBy(*KEY, by("c")).agg(F.min(F.struct("at", "n", "unit", "c")).alias("_h"))
+    hubs = hubs.select(*KEY, "_h.unit", "_h.n", "_h.at", "_h.c")
+    if lanes == 1:
+        return hubs
+    small = members.filter(as_smaller(percent)).groupBy(*KEY, by("unit"))
+    small = small.agg(F.min(F.struct("n", "at", "unit", "c")).alias("_h"))
+    return hubs.unionByName(small.select(*KEY, "_h.unit", "_h.n", "_h.at", "_h.c")).distinct()
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``o`` per pair (u, v): overlaps counted in each fragment of ``parts``, summed."""
+    left = beside(parts.withColumnsRenamed({"unit": "u", "grams": "a"}), pairs.select("u", "v"), "u")
+    right = beside(parts.withColumnsRenamed({"unit": "v", "grams": "b"}), pairs.select("u", "v"), "v")
+    met = left.join(right, ["u", "v", "fragment"])
+    # Documents of one unit give the same count.
+    each = met.groupBy("u", "v", "fragment").agg(F.max(F.size(F.array_intersect("a", "b"))).alias("_o"))
+    return each.groupBy("u", "v").agg(F.sum("_o").cast("long").alias("o"))
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, nu, v, nv) that are similar: overlaps per fragment, summed per pair."""
-    left = parts.select(F.col("unit").alias("u"), "fragment", F.col("grams").alias("a"))
-    right = parts.select(F.col("unit").alias("v"), "fragment", F.col("grams").alias("b"))
-    met = pairs.join(right, "v").join(left, ["u", "fragment"])
-    counted = met.select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).cast("long").alias("_o"))
-    summed = counted.groupBy("u", "v", "nu", "nv").agg(F.sum("_o").alias("_o"))
-    return summed.filter(100 * F.col("_o") >= percent * (F.col("nu") + F.col("nv") - F.col("_o"))).select("u", "v")
+    """The pairs (u, nu, v, nv) that are similar.
+
+    The first fragment is counted for all pairs; those that could not reach the needed
+    overlap even if all the rest of the smaller set was shared are dropped; the other
+    fragments are counted for what remains.
+    """
+    first = parts.filter("fragment = 0")
+    sizes = first.select("unit", F.size("grams").alias("_s")).distinct()
+    rest = lambda of, n: sizes.select(F.col("unit").alias(of), (F.col("_s")).alias(n))
+    counted = beside(pairs, materialise(rest("u", "_su")), "u")
+    counted = counted.join(rest("v", "_sv"), "v").join(overlaps(pairs, first), ["u", "v"], "left")
+    counted = counted.withColumn("_first", F.coalesce("o", F.lit(0))).drop("o")
+    most = F.col("_first") + F.least(F.col("nu") - F.col("_su"), F.col("nv") - F.col("_sv"))
+    left = materialise(counted.filter(most >= needed(F.col("nu"), F.col("nv"), percent)).drop("_su", "_sv"))
+    full = left.join(overlaps(left, parts.filter("fragment > 0")), ["u", "v"], "left")
+    total = F.col("_first") + F.coalesce("o", F.lit(0))
+    return full.filter(100 * total >= percent * (F.col("nu") + F.col("nv") - total)).select("u", "v")
 
 
 def merged(links: DataFrame) -> DataFrame:
@@ -214,6 +300,8 @@ def merged(links: DataFrame) -> DataFrame:
 
 # Names of a member's columns, and of the same columns of the member it meets.
 OTHER = {"unit": "v", "n": "m", "at": "to", "c": "d"}
+# Members meet inside an n-gram and a band of sizes.
+KEY = ["gram", "band"]
 
 
 def distinct_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +309,7 @@ def distinct_pairs(met: DataFrame, percent: int) -> DataFrame:
     able = can_link(F.col("n"), F.col("at"), F.col("m"), F.col("to"), percent)
     ordered = F.col("unit") < F.col("v")
     return (
-        met.filter((F.col("c") != F.col("d")) & able)
+        met.filter((F.col("unit") != F.col("v")) & (F.col("c") != F.col("d")) & able)
         .select(
             F.least("unit", "v").alias("u"),
             F.when(ordered, F.col("n")).otherwise(F.col("m")).alias("nu"),
@@ -232,6 +320,19 @@ def distinct_pairs(met: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def with_units(
+    parts: DataFrame | None, pairs: DataFrame, units: DataFrame, rows: DataFrame, words: int
+) -> DataFrame:
+    """``parts`` with the fragments of the units in ``pairs`` that it lacks, from one document of each."""
+    wanted = pairs.select(F.col("u").alias("unit")).union(pairs.select(F.col("v").alias("unit"))).distinct()
+    if parts is not None:
+        wanted = wanted.join(parts.filter("fragment = 0").select("unit"), "unit", "left_anti")
+    ids = beside(units, materialise(wanted), "unit", "left_semi").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
+    texts = beside(rows, materialise(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    more = materialise(fragments(texts, words))
+    return more if parts is None else parts.unionByName(more)
+
+
 class Components:
     """Component per unit, absent units being their own; contracted links are merged into it."""
 
@@ -278,32 +379,29 @@ def components(
         .filter("_low <> _high")
         .drop("_low", "_high")
     )
-    shared = materialise(rare.unionByName(often).groupBy("gram", "unit", "n").agg(F.min("at").cast("long").alias("at")))
+    places = rare.unionByName(often).groupBy("gram", "unit", "n").agg(F.min("at").cast("long").alias("at"))
+    shared = materialise(banded(places, percent))
     found = Components()
-    parts = None
-    while not shared.isEmpty():
-        first = parts is None
-        tagged = found.on(shared, "unit", "c")
-        several = tagged.groupBy("gram").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count(F.lit(1)).alias("_n"))
-        open_rows = materialise(tagged.join(several.filter("_a <> _b").select("gram", "_n"), "gram"))
-        if first:
-            wanted = open_rows.select("unit").distinct()
-            ids = units.join(wanted, "unit", "left_semi").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
-            parts = materialise(fragments(rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), words))
-        # One centre for every n-gram at first; then several where many members are left.
-        many = open_rows if first else open_rows.filter(F.col("_n") > FEW)
-        lane = F.pmod(F.xxhash64("unit"), F.lit(1 if first else CENTRES))
-        heads = many.groupBy("gram", lane.alias("_lane")).agg(F.min(F.struct("n", "unit", "at", "c")).alias("_h"))
-        heads = heads.select("gram", *[F.col(f"_h.{a}").alias(b) for a, b in OTHER.items()])
-        met = many.join(heads, "gram")
-        if not first:
+    parts: DataFrame | None = None
+    rounds = 0
+    while True:
+        open_rows = materialise(open_members(found.on(shared, "unit", "c"), percent))
+        if open_rows.isEmpty():
+            break
+        # One centre everywhere at first; then several, and all where few members are left.
+        many = open_rows.filter(F.col("_n") > (FEW if rounds else 0))
+        heads = materialise(centres(many, CENTRES if rounds else 1, percent))
+        meets = lambda some: some.select(*KEY, *[F.col(a).alias(b) for a, b in OTHER.items()])
+        met = many.join(meets(heads), KEY)
+        if rounds:
             few = open_rows.filter(F.col("_n") <= FEW)
-            other = few.select("gram", *[F.col(a).alias(b) for a, b in OTHER.items()])
-            met = met.unionByName(few.join(other, "gram").filter(F.col("unit") < F.col("v")))
-        links = linked(distinct_pairs(met, percent), parts, percent)
-        found.add(materialise(links))
-        done = heads.select("gram", F.col("v").alias("unit"))
-        shared = materialise(many.join(done, ["gram", "unit"], "left_anti").select("gram", "unit", "n", "at"))
+            met = met.unionByName(few.join(meets(few.filter(as_smaller(percent))), KEY))
+        pairs = materialise(distinct_pairs(met, percent))
+        parts = with_units(parts, pairs, units, rows, words)
+        found.add(materialise(linked(pairs, parts, percent)))
+        shared = many.join(heads.select(*KEY, "unit"), [*KEY, "unit"], "left_anti")
+        shared = shared.select(*KEY, "unit", "n", "at", "own")
+        rounds += 1
     placed = found.on(lead.select("doc_id", "unit", F.col("n").alias("n_shingles")), "unit", "_c")
     placed = materialise(placed)
     members = placed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
