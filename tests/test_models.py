@@ -209,3 +209,66 @@ def test_clusters_elbow_and_axes(spark, community):
     xy = np.array([(r["x"], r["y"]) for r in cl.coords(rows).collect()])
     top = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2]
     assert np.var(xy, axis=0, ddof=1) == pytest.approx(top)
+
+
+def test_a_sample_scored_alone_gets_the_features_of_the_batch(community, halves):
+    counts, _ = community
+    train, test = halves
+    for norm in ("zscore", "minmax", "stddev", "tmm"):
+        model = le.fit(counts, train, "centroid", norm=norm)
+        batch = {r["sampleID"]: r["scores"] for r in le.classify(model, counts, test.select("sampleID")).collect()}
+        one = min(batch)
+        alone = le.classify(model, counts.filter(F.col("sampleID") == one)).collect()
+        assert alone[0]["scores"] == pytest.approx(batch[one], abs=1e-9)
+        assert len(batch) == test.count()
+    again = le.classify(model, counts, test.select("sampleID"), refit_scaling=True)
+    assert again.count() == test.count()
+
+
+def test_subset_features_equal_a_recomputation(community, halves):
+    counts, _ = community
+    train, _ = halves
+    inside = counts.join(train.select("sampleID"), "sampleID", "left_semi")
+    taxa = ve.taxa_list(counts)
+    ids = train.select("sampleID")
+    for norm in ("none", "zscore", "minmax", "stddev", "tmm"):
+        got, want = (
+            {r["sampleID"]: r["features"] for r in ve.features(c, taxa, ids, norm).collect()} for c in (counts, inside)
+        )
+        for k in want:
+            np.testing.assert_allclose(got[k], want[k], atol=1e-12)
+            assert np.isfinite(got[k]).all()
+
+
+def test_features_that_cannot_be_scaled_raise(spark, community, halves):
+    counts, samples = community
+    flat = counts.union(samples.select("sampleID", F.lit("none").alias("taxon"), F.lit(0.0).alias("count")))
+    with pytest.raises(ValueError, match="NaN"):
+        le.fit(flat, halves[0], "centroid", norm="zscore")
+
+
+def test_centroid_model_equals_numpy(community, halves, tmp_path, spark):
+    counts, _ = community
+    train, test = halves
+    model = le.fit(counts, train, "centroid")
+    rows = le.fit_table(counts, train, model.taxa, model.labels)[0].collect()
+    x, y = np.array([r["features"] for r in rows]), np.array([r["HC_subCST"] for r in rows])
+    means = np.array([x[y == c].mean(0) for c in model.labels])
+    np.testing.assert_allclose(model.model.centroids, means)
+    held = le.fit_table(counts, test, model.taxa, model.labels)[0]
+    f = {r["sampleID"]: np.array(r["features"]) for r in held.collect()}
+    le.save_model(model, str(tmp_path / "m"))
+    for m in (model, le.load_model(spark, str(tmp_path / "m"), model.taxa)):
+        for r in le.predict(m, held).collect():
+            v = f[r["sampleID"]]
+            theta = means @ v / (v @ v + (means * means).sum(1) - means @ v)
+            np.testing.assert_allclose(r["scores"], theta)
+            assert r["subCST"] == model.labels[int(np.argmax(theta))]
+
+
+def test_repeated_rows_are_made_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(le, "COPIES", 4)
+    rows = [(i, "big") for i in range(30)] + [(100, "rare"), (101, "mid"), (102, "mid")]
+    train = spark.createDataFrame(rows, "sampleID long, HC_subCST string")
+    n = {r["HC_subCST"]: r["count"] for r in le.weighted_rows(train).groupBy("HC_subCST").count().collect()}
+    assert n == {"big": 30, "rare": 30, "mid": 30}

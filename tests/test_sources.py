@@ -148,3 +148,30 @@ def test_sets(spark, counts, samples):
     assert universe == {"I": True, "II": False}
     diff = {tuple(r) for r in st.schema_diff(counts, other, samples, samples).collect()}
     assert ("taxon", "w", "second") in diff and ("taxon", "flat", "first") in diff and len(diff) == 6
+
+
+def test_cells_that_are_no_counts(spark, tmp_path):
+    wide = write(tmp_path, "bad.csv", "sampleID,x,y,HC_subCST", "a,1,oops,I")
+    with pytest.raises(Exception, match="(?i)malformed|oops"):
+        rd.read_wide(spark, wide).collect()
+    assert rd.read_wide(spark, wide, strict=False).first()["y"] is None
+    lines = write(tmp_path, "bad.txt", "name,s1,s2", "tax,1,oops")
+    with pytest.raises(Exception, match="not a count"):
+        rd.read_transposed(spark, lines).collect()
+    assert cells(rd.read_transposed(spark, lines, strict=False)) == {("s1", "tax"): 1.0, ("s2", "tax"): None}
+
+
+def test_several_title_lines(spark, tmp_path):
+    path = write(tmp_path, "two.csv", "A title", "by someone,here", "name,s1,s2", "tax,1,2")
+    assert cells(rd.read_transposed(spark, path, skip_lines=2)) == {("s1", "tax"): 1.0, ("s2", "tax"): 2.0}
+
+
+def test_more_columns_than_the_reader_expects(spark, tmp_path):
+    ids = [f"s{i}" for i in range(21_000)]
+    path = write(tmp_path, "broad.csv", ",".join(["name", *ids]), ",".join(["tax", *["1"] * len(ids)]))
+    assert rd._transposed_body(spark, path, ",", 0)[1].count() == 1
+
+
+def test_repeated_counts_add_up(spark):
+    long = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0)], "sampleID string, taxon string, count double")
+    assert wr.to_wide(long, ["x", "y"]).first().asDict() == {"sampleID": "a", "x": 3.0, "y": 0.0}
