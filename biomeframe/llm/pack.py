@@ -75,7 +75,7 @@ class WordIds(dict):
     def part(self, part: str) -> bytes:
         out = self.known.get(part)
         if out is None:
-            plain = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            plain = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
             out = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
             if len(self.known) >= CACHED_WORDS:
                 self.known.clear()

@@ -146,6 +146,15 @@ def test_packing_round_trip(spark, edges):
     assert pack.pack(docs.limit(4)).filter("doc_id = 0").count() == 1
 
 
+def test_word_ids_equal_the_whole_tokenizer():
+    rng = np.random.default_rng(12)
+    pool = [chr(i) for i in range(1, 0x250)] + list(" \n\t'.-1a" * 20) + list("\u0301日ﬁΣ\u2003\x00𝄞")
+    words = pack.WordIds(None)
+    for _ in range(2000):
+        text = "".join(rng.choice(pool, rng.integers(0, 14)))
+        assert words.of(text) == words.encoded(text), ascii(text)
+
+
 def test_equal_lengths_are_cut_to_fit():
     """A pool of one length cannot fill windows by whole pieces alone."""
     docs = [(i, bytes(4 * 1500)) for i in range(400)]
