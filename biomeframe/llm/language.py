@@ -70,6 +70,8 @@ def frequencies(text: str) -> np.ndarray:
 def codewords(n: int, seed: int = 0) -> np.ndarray:
     """Codewords of n languages: all splits into two sides up to six languages, then the most
     spread of some random codes."""
+    if n < 2:
+        return np.zeros((n, 0))
     if n <= 6:
         rows = [[1] + list(rest) for rest in itertools.product((1, -1), repeat=max(0, n - 1))][1:]
         return np.array(rows, float).reshape(-1, n).T
@@ -99,6 +101,7 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows of every language at most; which ones depends on id and text only."""
+    # One row per language, the vocabulary that the model itself holds.
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) * F.col("_n")
     return labelled.join(F.broadcast(sizes), "lang").filter(drawn <= F.lit(per_language << 30)).drop("_n")
