@@ -154,7 +154,9 @@ def fit(
     scatter = [ss[k] - n[k] * np.outer(means[k], means[k]) for k in (0, 1)]
     pooled = sum(scatter) / n.sum()
     target = (1 - ridge) * pooled + ridge * np.eye(p) * max(np.trace(pooled) / p, 1e-6)
-    factors = [np.linalg.cholesky((1 - shrink) * scatter[k] / n[k] + shrink * target) for k in (0, 1)]
+    # A label with few rows for its statistics leans on the pooled covariance more.
+    lean = [max(shrink, p / (n[k] + p)) for k in (0, 1)]
+    factors = [np.linalg.cholesky((1 - a) * scatter[k] / n[k] + a * target) for k, a in enumerate(lean)]
     halves = [float(np.log(np.diag(c)).sum()) for c in factors]
     model = Model(means, factors, halves, float(np.log(n[1] / n[0])))
     return tempered(model, temper)
