@@ -53,9 +53,11 @@ def drop_frequent_lines(
     lines = materialise(docs.select(_fingerprint(text).alias("fp"), hashed.alias("keys")))
     present = lines.select(F.explode(F.array_distinct("keys")).alias("key")).filter("key IS NOT NULL")
     frequent = present.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
+    # Stored, so that the join below reads both sides as they are and a frequent key can be split.
+    frequent = materialise(frequent.select("key"))
     places = lines.select("fp", F.posexplode("keys").alias("at", "key")).filter("key IS NOT NULL")
     drops = materialise(
-        places.join(frequent.select("key"), "key").groupBy("fp").agg(F.collect_set("at").alias("_drops"))
+        places.join(frequent, "key").groupBy("fp").agg(F.collect_set("at").alias("_drops"))
     )
     marked = docs.withColumn(text_col, text).withColumn("_fp", _fingerprint(F.col(text_col)))
     joined = marked.join(drops.withColumnRenamed("fp", "_fp"), "_fp", "left")
