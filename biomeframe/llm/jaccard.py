@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biomeframe.llm.common import arrow_rows
 from biomeframe.session import materialise
 
 WORDS, PERCENT = 5, 80
@@ -48,6 +49,8 @@ FRAGMENTS = 4
 FEW, CENTRES = 128, 32
 # Up to so many rows of ids or pairs (at most 32 bytes each) are broadcast; beyond that they are joined by shuffles.
 SMALL = 1_000_000
+# Texts that a Python worker holds at a time.
+BATCH_ROWS = 512
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -117,6 +120,9 @@ def rows_of(docs: DataFrame, fn: Callable[[list, list], Iterator[tuple]], kinds:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(kinds)
                 )
+            # Else each worker keeps the buffers of its largest batch.
+            del whole, batch, out, columns
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
@@ -175,9 +181,8 @@ def fragments(docs: DataFrame, words: int) -> DataFrame:
 
 
 def beside(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join a stored table, broadcast if it is counted to be small."""
-    few = table.limit(SMALL + 1).count() <= SMALL
-    return rows.join(F.broadcast(table) if few else table, on, how)
+    """Join a stored table, broadcast if it is counted to be small (the count is in its files' footers)."""
+    return rows.join(F.broadcast(table) if table.count() <= SMALL else table, on, how)
 
 
 def needed(n: Column, m: Column, percent: int) -> Column:
@@ -368,6 +373,11 @@ def components(
     Two documents link when ``100 * shared >= percent * joint`` distinct n-grams.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(rows, words, percent)
+
+
+def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     lead = materialise(leading(rows, frequent(rows, words, SAMPLE), words, percent))
     units = lead.filter("n > 0 AND doc_id IS NOT NULL")
     rare = units.select("unit", "n", F.posexplode("rare").alias("at", "gram"))
