@@ -1,14 +1,17 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contexts that find more.
 
 Emails, IP addresses, card and phone numbers found by fixed patterns are the
-seeds. Every mention, a seed or any other word with a digit or an @, has
-contexts: the two words before it, and the words on both sides. Contexts and
+seeds. Every mention, a seed or any other run of words, has contexts: the two
+words before it, and the words on both sides. A run is one word with an @, or all
+adjacent words with digits that only blanks, dots, hyphens and brackets of one
+line part, so that a number written with spaces is one instance. Contexts and
 instances form a graph over the whole corpus. Per kind, a context's confidence is
 the summed score of its distinct instances over their number plus one, given
 enough of it; an unseen instance's score is the chance that at least one of its
 confident contexts is right. A few rounds of this run as Spark joins over
 distinct edges; instances above the threshold are added as spans of that kind
-wherever they are mentioned. Fixed spans always stay.
+wherever they are mentioned, also by whole words inside a longer run that is no
+instance itself; of parts inside each other the longest counts. Fixed spans always stay.
 
 Texts are read once; what is written and joined are spans and mentions.
 
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biomeframe.session import materialise
@@ -41,8 +44,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, MARK = re.compile("[0-9]"), re.compile("[0-9@]")
+BLANK = r"[\x20\x09-\x0D]"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}<>\"'`"
+# What stands between the words of one identifier: blanks, dots, hyphens and brackets, on one line.
+JOINED = re.compile(r"[\x20\x09.()\[\]-]+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -85,30 +91,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def core(text: str, a: int, b: int) -> tuple[int, int]:
+    """``text[a:b]`` without the marks around it; a bracket stays if its partner is inside."""
+    s, e = b - len(text[a:b].lstrip(EDGES)), a + len(text[a:b].rstrip(EDGES))
+    if s >= e:
+        return s, s
+    for left, right in ("()", "[]"):
+        inner = [c for c in text[s:e] if c in (left, right)]
+        if s > a and text[s - 1] == left and inner[:1] == [right]:
+            s -= 1
+        if e < b and text[e] == right and inner[-1:] == [left]:
+            e += 1
+    return s, e
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, instance, kind or None, contexts) of the spans and of other words with a digit or @."""
+    """(start, end, instance, kind or None, contexts) of the spans, and of other runs of words with a digit or word with an @."""
     if not MARK.search(text):
         return []
     words = [m.span() for m in WORD.finditer(text)]
     plain = lambda i: text[slice(*words[i])].lower().strip(EDGES) if 0 <= i < len(words) else "^"
     found: list[tuple] = []
+    run: tuple[int, int] | None = None  # first and last word of a run that may go on
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            found.append((*core(text, words[run[0]][0], words[run[1]][1]), None, *run))
+        run = None
+
     starts = iter(spans + [(len(text) + 1, -1, len(text) + 1)])
     span = next(starts)
     for i, (a, b) in enumerate(words):
         while span[2] <= a:
             span = next(starts)
         if span[0] < b:
+            close()
             if span[0] >= a:  # the word in which a span starts stands for it
                 last = i
                 while last + 1 < len(words) and words[last + 1][0] < span[2]:
                     last += 1
                 found.append((span[0], span[2], KINDS[span[1]], i, last))
-        elif MARK.search(text, a, b):
-            word = text[a:b]
-            left = len(word) - len(word.lstrip(EDGES))
-            core = word.strip(EDGES)
-            if MARK.search(core):
-                found.append((a + left, a + left + len(core), None, i, i))
+        elif MARK.search(text, a, b) and MARK.search(text, *core(text, a, b)):
+            s, e = core(text, a, b)
+            if "@" in text[s:e]:
+                close()
+                found.append((s, e, None, i, i))
+            elif run and JOINED.fullmatch(text, core(text, *words[run[1]])[1], s):
+                run = (run[0], i)
+            else:
+                close()
+                run = (i, i)
+    close()
     return [
         (s, e, text[s:e].lower(), kind, [f"{plain(i - 2)} {plain(i - 1)} _", f"{plain(i - 1)} _ {plain(j + 1)}"])
         for s, e, kind, i, j in found
@@ -120,6 +154,9 @@ MENTION = pa.struct(
     [("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("instance", pa.string()), ("kind", pa.string()),
      ("contexts", pa.list_(pa.string()))]
 )
+PART = pa.schema(
+    [("row", pa.int64()), ("run", pa.int64()), ("instance", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]
+)
 SPANS_SQL = "array<struct<kind:string,start:bigint,end:bigint,text:string>>"
 
 
@@ -193,6 +230,40 @@ def bootstrapped(
     return accepted.select("instance", F.col("b.kind").alias("kind"))
 
 
+def parts(runs: DataFrame, lengths: list[int]) -> DataFrame:
+    """row, run, instance, start, end and text of the parts of runs (row, start, text) with so many words, but fewer than the run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = [m.span() for m in WORD.finditer(text)]
+                for n in lengths:
+                    spans = [core(text, words[i][0], words[i + n - 1][1]) for i in range(len(words) - n + 1) if n < len(words)]
+                    for lot in range(0, len(spans), 1024):
+                        cut = [(s, e, text[s:e]) for s, e in spans[lot : lot + 1024]]
+                        out = [{"row": row, "run": at, "instance": t.lower(), "start": at + s, "end": at + e, "text": t} for s, e, t in cut]
+                        yield pa.RecordBatch.from_pylist(out, PART)
+
+    return runs.select("row", "start", "text").mapInArrow(run, "row bigint, run bigint, instance string, start bigint, end bigint, text string")
+
+
+def marked(seen: DataFrame, accepted: DataFrame) -> DataFrame:
+    """row, kind, start, end and text of accepted instances: whole runs, and in other runs the longest parts."""
+    columns = ("row", "kind", "start", "end", "text")
+    open_runs = seen.filter("m.kind IS NULL").select("row", "m.instance", "m.start", "m.end", "m.text")
+    whole = open_runs.join(accepted, "instance").select(*columns)
+    size = F.size(F.split("instance", f"{BLANK}+")).alias("n")
+    lengths = [r["n"] for r in accepted.select(size).distinct().collect()]
+    several = open_runs.filter(F.col("text").rlike(BLANK)).join(accepted, "instance", "left_anti")
+    if not lengths:
+        return whole
+    found = parts(several, lengths).join(accepted, "instance")
+    # Parts inside a longer one of the same run go: none that starts earlier, or there and is longer, may reach as far.
+    before = Window.partitionBy("row", "run").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("end").over(before), F.lit(-1))
+    return whole.unionByName(found.withColumn("_reach", reach).filter("end > _reach").select(*columns))
+
+
 def ordered(spans: Column) -> Column:
     """Spans by start, then by kind as listed."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
@@ -207,14 +278,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     rows = materialise(read(docs, id_col, text_col))
     seen = rows.select("row", F.explode("mentions").alias("m"))
     edges = seen.select(F.explode("m.contexts").alias("context"), "m.instance", "m.kind").distinct()
-    accepted = bootstrapped(materialise(edges), **how)
-    more = (
-        seen.filter("m.kind IS NULL")
-        .select("row", "m.instance", "m.start", "m.end", "m.text")
-        .join(accepted, "instance")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("kind", "start", "end", "text")).alias("more"))
-    )
+    accepted = materialise(bootstrapped(materialise(edges), **how))
+    more = marked(seen, accepted).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "text")).alias("more"))
     joined = rows.join(more, "row", "left")
     added = F.coalesce("more", F.array().cast(SPANS_SQL))
     return joined.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", added)).alias("spans"))

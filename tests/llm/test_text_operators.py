@@ -434,6 +434,18 @@ def test_contexts_find_unseen_identifiers(spark):
         assert all(texts[i][s["start"] : s["end"]] == s["text"] for s in row["spans"])
 
 
+def test_unseen_numbers_with_spaces_come_back_whole(spark):
+    texts = [f"please ring +1 (234) 567-890{i} now" for i in range(9)]
+    texts += ["please ring 0171 555 1234 now", "0171 people, 555 of them in 1234", "ask 0171 555 1234 24/7", "in 0171, 555 1234"]
+    got = {r["doc_id"]: r for r in pii.find(documents(spark, texts)).collect()}
+    spans = [[(s["kind"], s["start"], s["text"]) for s in got[i]["spans"]] for i in range(len(texts))]
+    assert spans[9] == [("phone", 12, "0171 555 1234")] and spans[11] == [("phone", 4, "0171 555 1234")]
+    assert spans[10] == spans[12] == [] and got[9]["base"] == []
+    runs = lambda text: [m[2] for m in pii.mentions(text, pii.base_spans(text))]
+    assert runs("(0171) 555-12 - 34, x") == ["(0171) 555-12 - 34"] and runs("[1 2] 3 (4)") == ["[1 2] 3 (4)"]
+    assert runs("1 2, 3 a@b 4\n5 six 7 1.2.3.4 8") == ["1 2", "3", "a@b", "4", "5", "7", "1.2.3.4", "8"]
+
+
 def test_pii_summary_and_edges(spark, edges):
     docs = documents(spark, ["é x@y.zz 1.2.3.4 4111 1111 1111 1111 +1 (234) 567-8901", "1.2.3.400"])
     got = {r["doc_id"]: r for r in pii.summary(pii.find(docs)).collect()}
