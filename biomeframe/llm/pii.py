@@ -8,8 +8,8 @@ line part, so that a number written with spaces is one instance. Contexts and
 instances form a graph over the whole corpus. Per kind, a context's confidence is
 the summed score of its distinct instances over their number plus one, given
 enough of it; an unseen instance's score is the chance that at least one of its
-confident contexts is right. A few rounds of this run as Spark joins over
-distinct edges; instances above the threshold are added as spans of that kind
+confident contexts is right. Rounds of this run as Spark joins over distinct
+edges until no score rises any more; instances above the threshold are added as spans of that kind
 wherever they are mentioned, also by whole words inside a longer run that is no
 instance itself; of parts inside each other the longest counts. Fixed spans always stay.
 
@@ -24,6 +24,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 
 from biomeframe.session import materialise
 
+LOG = logging.getLogger(__name__)
+
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SUPPORT, MIN_CONTEXT, MIN_INSTANCE = 3, 3.0, 0.7, 0.8
+MIN_SUPPORT, MIN_CONTEXT, MIN_INSTANCE = 3.0, 0.7, 0.8
+# Scores only rise from round to round; they stand still once none rises by more than this.
+STILL = 1e-9
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -192,7 +197,6 @@ def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bootstrapped(
     edges: DataFrame,
-    rounds: int = ROUNDS,
     min_support: float = MIN_SUPPORT,
     min_context: float = MIN_CONTEXT,
     min_instance: float = MIN_INSTANCE,
@@ -208,7 +212,9 @@ def bootstrapped(
     unseen = materialise(unseen.join(size.select("context"), "context"))
     scores = seeds.withColumn("s", F.lit(1.0))
     found = spark.createDataFrame([], "instance string, kind string, s double")
-    for _ in range(rounds):
+    rounds = 0
+    while True:
+        rounds += 1
         total = pairs.join(scores, "instance").groupBy("context", "kind").agg(F.sum("s").alias("_sum"))
         confident = (
             total.filter(F.col("_sum") >= min_support)
@@ -218,12 +224,16 @@ def bootstrapped(
         )
         # 1 - product of (1 - p); p stays below 1.
         miss = F.exp(F.sum(F.log(1 - F.col("p"))))
+        known = found.withColumnRenamed("s", "_was")
         found = materialise(
             unseen.join(confident, "context").groupBy("instance", "kind").agg((1 - miss).alias("s"))
         )
-        if found.isEmpty():
+        # Scores below the threshold count as well: what rises there may lift another instance rounds later.
+        risen = found.join(known, ["instance", "kind"], "left").filter(F.col("s") - F.coalesce("_was", F.lit(0.0)) > STILL)
+        if risen.isEmpty():
             break
         scores = seeds.withColumn("s", F.lit(1.0)).unionByName(found)
+    LOG.info("scores of personal data stood still after %d rounds", rounds)
     first = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     best = F.max(F.struct("s", (-first).alias("o"), "kind")).alias("b")
     accepted = found.groupBy("instance").agg(best).filter(F.col("b.s") >= min_instance)

@@ -446,6 +446,23 @@ def test_unseen_numbers_with_spaces_come_back_whole(spark):
     assert runs("1 2, 3 a@b 4\n5 six 7 1.2.3.4 8") == ["1 2", "3", "a@b", "4", "5", "7", "1.2.3.4", "8"]
 
 
+def test_bootstrap_follows_long_chains(spark):
+    """Six seeds make a context of two links confident only together with the score of the first of them."""
+    rows = []
+
+    def context(name, n, *unseen):
+        rows.extend([(name, f"seed{i}", "email") for i in range(n)] + [(name, x, None) for x in unseen])
+
+    context("start", 9, "link0")
+    for k in range(1, 8):
+        context(f"left {k}", 6, f"link{k - 1}", f"link{k}")
+        context(f"both {k}", 6, f"link{k - 1}", f"link{k}")
+    context("not enough", 4, "link7", "out", "out too")
+    edges = spark.createDataFrame(rows, "context string, instance string, kind string")
+    got = {r["instance"]: r["kind"] for r in pii.bootstrapped(edges).collect()}
+    assert got == {f"link{k}": "email" for k in range(8)}
+
+
 def test_pii_summary_and_edges(spark, edges):
     docs = documents(spark, ["é x@y.zz 1.2.3.4 4111 1111 1111 1111 +1 (234) 567-8901", "1.2.3.400"])
     got = {r["doc_id"]: r for r in pii.summary(pii.find(docs)).collect()}
