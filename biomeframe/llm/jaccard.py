@@ -422,8 +422,25 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with only the smallest id of every component; rows without an id stay."""
-    groups = components(docs, id_col, **how)
-    gone = materialise(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of every component: the smallest id, null last, and of its texts the smallest hash.
+
+    Rows count here, not ids: the texts of a repeated id are judged one by one, rows without an id
+    link like others, and of rows with the same id and text one stays. Rows without a word all stay.
+    """
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), key.alias("_key"), text.alias("_text"))
+    groups = components(rows, "_key", "_text", **how).filter("n_shingles > 0")
+    groups = materialise(groups.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_least")))
+    gone = materialise(groups.filter("_key <> _least").select("_key").distinct())
+    first = groups.filter("_key = _least").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    again = materialise(first.filter("_n > 1").select("_key"))
+    kept = rows.join(gone, "_key", "left_anti")
+    if not again.isEmpty():
+        # The other columns may differ: their hash tells which row stays, whatever the order of rows.
+        by = F.xxhash64(*[F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+        one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min_by("_doc", by).alias("_doc"))
+        kept = kept.join(again, "_key", "left_anti").select("_doc").unionByName(one.select("_doc"))
+    return kept.select(*[F.col(f"_doc.`{c}`") for c in names])

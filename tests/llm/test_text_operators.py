@@ -383,6 +383,24 @@ def test_component_edge_cases(spark, edges):
     assert jaccard.one_of_each(null).count() == len(EDGES) - 1
 
 
+def test_one_of_each_judges_rows(spark):
+    rng = np.random.default_rng(12)
+    text = [words_of(rng, "abcdefgh", 60) for _ in range(5)]
+    near = [f"{t} x" for t in text]
+    rows = [(1, text[0], "p"), (2, near[0], "p"), (2, text[1], "p"), (3, text[2], "p"), (3, text[2], "q"), (3, near[2], "p")]
+    rows += [(None, text[3], "p"), (None, near[3], "p"), (None, text[3], "p"), (None, near[1], "p"), (5, text[4], "p"), (5, "", "p")]
+    rows += [(5, "", "p"), (None, None, "p"), (9, text[3] + " x y", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_key", mix.F.lit(1))
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    third = [k for k in left if k[0] == 3]
+    assert len(third) == 1 and third[0][1] in (text[2], near[2]) and left.pop(third[0]) == 1
+    assert left == {
+        (1, text[0]): 1, (2, text[1]): 1, (5, text[4]): 1, (5, ""): 2, (None, None): 1, (9, text[3] + " x y"): 1,
+    }
+
+
 def test_ngrams_tell_sets_apart():
     grams = lambda t: jaccard.ngrams(t).tolist()
     assert grams("A b\tc\nd  e f") == grams("a B c d e\x0bf") and len(grams("a b c d e f")) == 2
