@@ -117,6 +117,14 @@ def validate_unlabelled(spark, sf):
     return fr.validate(tb.sample_labels(spark, sf), expect_labelled=False)
 
 
+@query(
+    "validate_labelled",
+    "SELECT c_custkey AS sampleID, c_mktsegment AS HC_subCST FROM customer",
+)
+def validate_labelled(spark, sf):
+    return fr.validate(tb.sample_labels(spark, sf), expect_labelled=True)
+
+
 @query(
     "add_sample_ids",
     """SELECT event_id, event_type, ROW_NUMBER() OVER (ORDER BY ts, event_id) - 1 AS sampleID FROM events""",
