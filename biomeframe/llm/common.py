@@ -22,10 +22,10 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def held_out(doc_id: Column | str) -> Column:
-    """True where crc32 of the id's text leaves 0 modulo 5. A null id counts as the empty text."""
+def held_out(doc_id: Column | str, remainder: int = 0) -> Column:
+    """True where crc32 of the id's text leaves ``remainder`` modulo 5. A null id counts as the empty text."""
     key = F.coalesce(col(doc_id).cast("string"), F.lit(""))
-    return F.crc32(key.cast("binary")) % 5 == 0
+    return F.crc32(key.cast("binary")) % 5 == remainder
 
 
 def ascii_lower(text: Column) -> Column:

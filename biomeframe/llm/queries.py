@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biomeframe.llm import jaccard, language, lines, mix, pack, pii, quality, rules, sql, topk, urls
+from biomeframe.llm import jaccard, language, lines, lm, mix, pack, pii, quality, rules, spelling, sql, topk, urls, whiten
 from biomeframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,20 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query(sql.SPELLING)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.runs(table(spark, sf_dir, "documents"))))
+
+
+@query()
+def op12_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 1))
+    figures = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), *figures)
+
+
+@query()
+def op13_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))

@@ -116,3 +116,43 @@ TOP = """
         FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
     SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
     FROM scored QUALIFY rank <= 5"""
+
+# crc32 byte by byte over the hexadecimal form of the UTF-8 text.
+SPELLING = f"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+            FROM range(256) AS r(i))),
+    runs AS (
+        SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) OVER (PARTITION BY doc_id, run) AS times
+        FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents)
+        WHERE length(run) >= 7),
+    coded AS (SELECT run, times, hex(id || ':' || run) AS code FROM runs),
+    hashed AS (
+        SELECT run, times, xor(list_reduce(
+                   list_transform(range(0, length(code), 2), lambda i: ('0x' || substr(code, i + 1, 2))::BIGINT),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+        FROM coded, crc_table),
+    spelled AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times
+        FROM hashed),
+    words AS (SELECT word, sum(times)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+    cuts AS (
+        SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    shorter AS (SELECT DISTINCT c.word AS a, w.word AS b, c.n AS an, w.n AS bn FROM cuts c JOIN words w ON w.word = c.head || c.tail),
+    pairs AS (
+        SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.head = b.head AND a.tail = b.tail AND a.i = b.i AND a.word <> b.word
+        UNION ALL SELECT a, b, bn FROM shorter UNION ALL SELECT b, a, an FROM shorter),
+    best AS (
+        SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS best_n FROM pairs
+        QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+    told AS (
+        SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.best_n >= 10 * w.n THEN b.other END AS form,
+               CASE WHEN b.best_n >= 10 * w.n THEN b.best_n END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word),
+    chain AS (
+        SELECT word, word AS last, 0 AS depth FROM told
+        UNION ALL SELECT c.word, t.form, c.depth + 1 FROM chain c JOIN told t ON t.word = c.last WHERE t.form IS NOT NULL),
+    ends AS (SELECT word, max_by(last, depth) AS root FROM chain GROUP BY word)
+    SELECT t.word, form, root, n, n_near, form_n FROM told t JOIN ends e ON e.word = t.word"""
