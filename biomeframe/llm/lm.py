@@ -39,8 +39,10 @@ from biomeframe.llm.common import arrow_rows
 from biomeframe.session import materialise
 
 ORDER, STRENGTH = 2, 200.0
-BLOCK_TOKENS = 1_000_000
-SHARD_KEYS = 4_000_000
+# Sizes that bound a task's memory: an automaton takes about 250 bytes per n-gram of a block, a shard 100 per key.
+BLOCK_TOKENS = 400_000
+SHARD_KEYS = 1_000_000
+BATCH_TEXTS = 512
 END, START = 0, 1
 BITS = 32
 
@@ -123,7 +125,7 @@ def coded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         for batch in batches:
             id_arrow = batch.column(0).type
             for i, train, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                numbered = [local[w] for w in (text or "").encode().lower().split()]
+                numbered = [local[w] for w in (text or b"").lower().split()]
                 numbered.append(END)
                 ids.append(i)
                 training.append(train)
@@ -140,7 +142,8 @@ def coded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         f"block long, ids array<{id_type.simpleString()}>, training array<boolean>, lengths binary, tokens binary,"
         " words binary, train_tokens long, n_tokens long"
     )
-    return docs.select("doc_id", "training", "text").mapInArrow(run, schema)
+    # As bytes: lower() and split() of bytes know ASCII letters and white space only.
+    return docs.select("doc_id", "training", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 class Grams:
@@ -275,8 +278,7 @@ class Automaton:
             totals = [*totals[:m], counts, *totals[m + 1 :]]
         next_of_word = state[1] if order > 1 else np.zeros(len(seen), np.int64)
         # Arcs of the empty history: every word of the block, known or not.
-        words = np.arange(len(seen))
-        self.arcs = dict(zip(words.tolist(), zip(np.log10(self.unigram).tolist(), next_of_word.tolist(), strict=True), strict=True))
+        codes, weights, targets = [np.arange(len(seen))], [np.log10(self.unigram)], [next_of_word]
         for m in range(2, order + 1):
             counts = totals[m].astype(float)
             known = np.flatnonzero(counts > 0)
@@ -286,22 +288,25 @@ class Automaton:
             p[known] = (counts[known] + strength * below) / (totals[m - 1][history] + strength)
             probability.append(p)
             after = state[m][known] if m < order else state[m - 1][suffix]
-            codes = (state[m - 1][history] << BITS) | last
-            self.arcs.update(zip(codes.tolist(), zip(np.log10(p[known]).tolist(), after.tolist(), strict=True), strict=True))
+            codes.append((state[m - 1][history] << BITS) | last)
+            weights.append(np.log10(p[known]))
+            targets.append(after)
+        self.arcs = {code: arc for arc, code in enumerate(np.concatenate(codes).tolist())}
+        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
         self.start = int(state[1][START]) if order > 1 else 0
 
     def score(self, tokens: list[int]) -> float:
         """Log10 probability of a text, read once from left to right."""
-        arcs, fail, backoff = self.arcs, self.fail, self.backoff
+        find, fail, backoff, weight, target = self.arcs.get, self.fail, self.backoff, self.weight, self.target
         state, total = self.start, 0.0
         for word in tokens:
-            arc = arcs.get((state << BITS) | word)
+            arc = find((state << BITS) | word)
             while arc is None:
                 total += backoff[state]
                 state = fail[state]
-                arc = arcs.get((state << BITS) | word)
-            total += arc[0]
-            state = arc[1]
+                arc = find((state << BITS) | word)
+            total += weight[arc]
+            state = target[arc]
         return total
 
 
@@ -321,13 +326,13 @@ def score(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("training", F.coalesce(training, F.lit(False)))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    spark, id_type = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {id_type}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    blocks = materialise(coded(rows, block_tokens))
+    with arrow_rows(spark, BATCH_TEXTS):
+        blocks = materialise(coded(rows, block_tokens))
     size = blocks.agg(F.sum("n_tokens").alias("all"), F.sum("train_tokens").alias("train")).first()
-    spark = blocks.sparkSession
     if not size["all"]:
         return spark.createDataFrame([], schema)
     shards = max(1, -(-size["all"] * order // shard_keys))
