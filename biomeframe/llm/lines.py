@@ -9,7 +9,7 @@ a key nor a text that holds much of the data meets in one task: counts are
 pre-aggregated, and both joins are equi-joins that adaptive execution splits.
 
 Defined results: null text is the empty text, one empty line; each row counts as a
-document; an empty table stays empty; result columns replace columns of the same
+document, also where ids repeat or are null; a very long text is one row of keys; an empty table stays empty; result columns replace columns of the same
 name, all others stay.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biomeframe.llm.common import SPACE_CHARS, ascii_lower
+from biomeframe.llm.common import SPACE_CHARS, ascii_lower, unused
 from biomeframe.session import materialise
 
 MIN_DOCUMENTS, MIN_LENGTH = 10, 1
@@ -59,15 +59,15 @@ def drop_frequent_lines(
     drops = materialise(
         places.join(frequent, "key").groupBy("fp").agg(F.collect_set("at").alias("_drops"))
     )
-    marked = docs.withColumn(text_col, text).withColumn("_fp", _fingerprint(F.col(text_col)))
-    joined = marked.join(drops.withColumnRenamed("fp", "_fp"), "_fp", "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    fp, gone, split = (unused(name, docs.columns) for name in ("_fp", "_drops", "_lines"))
+    marked = docs.withColumn(text_col, text).withColumn(fp, _fingerprint(F.col(text_col)))
+    joined = marked.join(drops.select(F.col("fp").alias(fp), F.col("_drops").alias(gone)), fp, "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     return (
-        joined.withColumn("_lines", split)
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long"))
-        .withColumn(text_col, F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(kept))
-        .drop("_fp", "_drops", "_lines")
+        joined.withColumn(split, F.split(F.col(text_col), "\n", -1))
+        .withColumn("n_lines", F.size(split).cast("long"))
+        .withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        .withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept))
+        .drop(fp, gone, split)
     )

@@ -4,8 +4,8 @@ A source whose target is t and whose size is s gives every document an
 expectation of t / s copies. The whole copies are certain. The rest is an
 inclusion probability p: documents are ranked by random odds u / (1 - u) over
 inclusion odds p / (1 - p), and the smallest ranks are taken until the source's
-remaining words are reached, so that the sample's size is fixed. The document at
-the cut gives only the words still missing.
+remaining words are reached, so that the sample's size is fixed. Documents are taken
+whole: the one at the cut is in or out, whichever ends nearer to the target.
 
 The cut is found without ranking a source: sizes are summed per source and rank
 bucket (``BUCKETS`` per source), and only the bucket with the cut is ranked.
@@ -13,8 +13,8 @@ What is broadcast or joined is one row per source.
 
 Defined results: null text has no words and gives none; a null source is a source
 of its own, last in the order of sources; documents with equal ids of one source
-draw the same number; rows that tie at the cut share what is left equally; an
-empty table gives no rows. Only the id, text and source columns are read, so
+draw the same number; rows that tie at the cut (equal ids and sizes) are all in or all out, half a
+document too many counts as near enough; an empty table gives no rows. Only the id, text and source columns are read, so
 other columns cannot clash.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biomeframe.llm.common import SPACE, word_count
+from biomeframe.llm.common import word_count
 from biomeframe.operators.keyed import with_position
 from biomeframe.session import materialise
 
@@ -120,7 +120,7 @@ def plan(rows: DataFrame, seed: int = 0, **rates) -> DataFrame:
     equal = (
         open_rows.join(cut, ["_key", "_b"])
         .groupBy("_key", "_t", "doc_id", "size")
-        .agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.first("_left").alias("_left"))
+        .agg(F.sum("size").alias("_sum"), F.first("_left").alias("_left"))
     )
     order = Window.partitionBy("_key").orderBy("_t", "doc_id", "size")
     found = (
@@ -130,7 +130,7 @@ def plan(rows: DataFrame, seed: int = 0, **rates) -> DataFrame:
             "_key",
             F.col("_t").alias("_cut_t"),
             F.struct("doc_id", "size").alias("_cut"),
-            F.floor((F.col("_left") - F.col("_before")) / F.col("_n")).alias("_cut_take"),
+            F.when((F.col("_left") - F.col("_before")) * 2 >= F.col("_sum"), F.col("size")).otherwise(0).alias("_cut_take"),
         )
     )
     return materialise(wanted.join(found, "_key", "left").drop("source"))
@@ -171,18 +171,13 @@ def mix(
 def mixed(docs: DataFrame, seed: int = 0, **rates) -> DataFrame:
     """The mix itself, in the columns of ``docs`` (doc_id, text, source and others).
 
-    A document is repeated for each whole copy; a part of a copy is its first
-    words. Documents of which nothing is taken go, those without words too.
+    A document is repeated for each copy, with its whole text. Documents of which nothing is taken go,
+    those without words too.
     """
     names = docs.columns
     columns = ("_doc.doc_id", "_doc.text", "_doc.source")
-    nested = docs.select(F.struct(*[F.col(c) for c in names]).alias("_doc"))
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
     cuts = plan(materialise(measured(nested, *columns)), seed, **rates)
     out = take(measured(nested, *columns, "_doc"), cuts, seed).filter("taken > 0")
-    part = (F.col("taken") % F.col("size")).cast("int")
-    words = F.split(F.col("_doc.text"), f"(?<=[^{SPACE}])(?=[{SPACE}])")
-    text = F.array_join(F.slice(words, 1, part), "")
-    whole = F.array_repeat(F.col("_doc.text"), (F.col("taken") / F.col("size")).cast("int"))
-    copies = F.concat(whole, F.when(part > 0, F.array(text)).otherwise(F.array().cast("array<string>")))
-    out = out.select("_doc", F.explode(copies).alias("_text"))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in names])
+    copies = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    return out.select("_doc", F.explode(copies)).select("_doc.*")

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biomeframe.llm.common import SPACE, SPACE_CHARS, WORD
+from biomeframe.llm.common import SPACE, SPACE_CHARS, WORD, unused
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -150,9 +150,10 @@ def judge(
     thresholds: Iterable[tuple[str, str, str, float]] = tuple(THRESHOLDS),
 ) -> DataFrame:
     """``docs`` with the figures, ``base_failed``, the names of ``failed`` rules and ``kept``."""
-    measured = docs.withColumn("_figures", figures(F.col(text_col)))
+    held = unused("_figures", docs.columns)
+    measured = docs.withColumn(held, figures(F.col(text_col)))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
-    flat = measured.withColumns({n: F.col(f"_figures.{n}") for n in names}).drop("_figures")
+    flat = measured.withColumns({n: F.col(f"{held}.{n}") for n in names}).drop(held)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return (
         flat.withColumn("base_failed", base)

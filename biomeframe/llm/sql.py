@@ -40,22 +40,20 @@ MIX_PARTS = f"""
 MIX = f"""
     WITH {MIX_PARTS}
     SELECT doc_id, size, z AS source_size, target,
-           (whole * size + CASE WHEN p > 0 THEN greatest(0, least(size, rest - before)) ELSE 0 END)::BIGINT AS taken
+           (whole * size + CASE WHEN p > 0 AND before < rest AND 2 * (rest - before) >= size THEN size ELSE 0 END)::BIGINT AS taken
     FROM placed"""
 
-LINES_PARTS = f"""
-    texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+# A row is a document, also where ids repeat.
+LINES = f"""
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     split AS (
-        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+        SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
     keyed AS (SELECT *, trim(translate(line, '{UPPER}', '{LOWER}'), {BLANKS}) AS key FROM split),
-    often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)"""
-
-LINES = f"""
-    WITH {LINES_PARTS}
+    often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
     SELECT doc_id, count(*)::BIGINT AS n_lines, count(o.key)::BIGINT AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
-    FROM keyed k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id"""
+    FROM keyed k LEFT JOIN often o ON k.key = o.key GROUP BY r, doc_id"""
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
