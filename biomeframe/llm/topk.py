@@ -2,13 +2,14 @@
 
 Vectors become integers, floor(256 * x). They are range-partitioned by descending
 length and packed into blocks. The head, a bounded number of the longest vectors, gives
-every query a first threshold. Then each block of queries meets each block of
-candidates, in lanes: queries whose length times the block's largest length stays
-below their threshold drop out (Cauchy-Schwarz); for the others the inner product
+every query a first threshold. The blocks form lanes in that order; a query is sent
+only to the lanes whose largest length times its own reaches its threshold (Cauchy-Schwarz),
+the first few of them, and queries that reach equally far travel together. In a lane queries that its blocks cannot
+serve drop out by the same bound; for the others the inner product
 over the leading axes of an SVD rotation plus the product of the residual lengths
 bounds the score, and only candidates whose bound reaches the threshold are
 scored exactly. A block pair returns at most k rows per query, so nothing grows
-with a query's matches.
+with a query's matches. What tasks are told about the lanes is at most ``LANES`` numbers.
 
 Defined results: null vectors, vectors with null, NaN or infinite components and
 rows with a null id take no part; shorter vectors count as padded with zeros;
@@ -21,6 +22,7 @@ tables give no rows.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from biomeframe.session import materialise
 
 TOP, SCALE = 5, 256
 BLOCK, QUERY_BLOCK, HEAD = 2048, 1024, 4096
-BLOCKS_A_LANE, LEADING = 2, 24
+BLOCKS_A_LANE, LANES, LEADING = 2, 65_536, 24
+QUERIES_TOGETHER = 128
+log = logging.getLogger(__name__)
 EXACT = 2.0**53
 LONG_MAX = 2**63 - 1
 
@@ -134,8 +138,36 @@ def best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def thresholds(queries: DataFrame, head: list[tuple], dim: int, k: int) -> DataFrame:
-    """Query blocks with each query's k-th best score among the head; -2^63 where that has fewer."""
+def lanes_of(stored: DataFrame, per_lane: int) -> tuple[DataFrame, np.ndarray]:
+    """Blocks with their lane, ``per_lane`` neighbours in the order of lengths, and the largest length of each lane.
+
+    ``at`` of a block is its partition and its place there; partitions are ranges of lengths.
+    """
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["p"]: r["n"] for r in stored.select(part.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for p in range(max(sizes) + 1):
+        starts.append(total)
+        total += sizes.get(p, 0)
+    ordinal = F.get(F.lit(starts), part.cast("int")).cast("long") + row
+    placed = stored.withColumn("lane", F.floor(ordinal / per_lane))
+    norms = sorted((r["lane"], r["norm"]) for r in placed.groupBy("lane").agg(F.max("norm").alias("norm")).collect())
+    return placed, np.array([n for _, n in norms])
+
+
+def reaches(lengths: np.ndarray, floors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """How many of the lanes, longest first, can hold a score that a query's floor lets through."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = (floors.astype(float) - 1) / (lengths * (1 + 1e-9))
+    least = np.where(lengths > 0, least, np.where(floors <= 1, -np.inf, np.inf))
+    # A hair less, so that rounding never drops a lane.
+    least = least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0.0))
+    return np.searchsorted(-norms, -least, side="right")
+
+
+def thresholds(queries: DataFrame, head: list[tuple], dim: int, k: int, norms: np.ndarray) -> DataFrame:
+    """Queries with their k-th best score among the head (-2^63 where that has fewer), in small groups
+    that reach the first ``reach`` lanes."""
     head_ids = np.array([h[0] for h in head], np.int64)
     head_vectors = padded([bytes(h[1]) for h in head], dim)
 
@@ -147,11 +179,20 @@ def thresholds(queries: DataFrame, head: list[tuple], dim: int, k: int) -> DataF
                 for own, s in zip(np.frombuffer(ids, "<i8"), scores, strict=True):
                     found = best(head_ids, s, own, k)
                     floors.append(int(s[found[-1]]) if len(found) == k else -LONG_MAX - 1)
+                q, own_ids, floors = unpacked(vectors, dim), np.frombuffer(ids, "<i8"), np.array(floors, "<i8")
+                far = reaches(np.sqrt(np.square(q.astype(float)).sum(1)), floors, norms)
+                order = np.argsort(far, kind="stable")
+                groups = [order[i : i + QUERIES_TOGETHER] for i in range(0, len(order), QUERIES_TOGETHER)]
                 yield pa.RecordBatch.from_pydict(
-                    {"q_ids": [ids], "q_vectors": [vectors], "floors": [np.array(floors, "<i8").tobytes()]}
+                    {
+                        "q_ids": [own_ids[g].tobytes() for g in groups],
+                        "q_vectors": [q[g].tobytes() for g in groups],
+                        "floors": [floors[g].tobytes() for g in groups],
+                        "reach": [int(far[g].max()) for g in groups],
+                    }
                 )
 
-    return queries.mapInArrow(run, "q_ids binary, q_vectors binary, floors binary")
+    return queries.mapInArrow(run, "q_ids binary, q_vectors binary, floors binary, reach long")
 
 
 def candidates(q: np.ndarray, floors: np.ndarray, c: np.ndarray, norm: float, axes: np.ndarray) -> Iterator[tuple]:
@@ -191,14 +232,16 @@ def top_k(
         return spark.createDataFrame([], schema)
     dim = max(1, got["dim"])
     axes = rotation(rows, dim)
-    n_lanes = max(1, got["n"] // (BLOCK * BLOCKS_A_LANE))
     by_length = rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    stored = materialise(blocks(by_length, dim, BLOCK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(n_lanes))))
+    stored = materialise(blocks(by_length, dim, BLOCK).withColumn("at", F.monotonically_increasing_id()))
+    stored, norms = lanes_of(stored, max(BLOCKS_A_LANE, -(-got["n"] // (BLOCK * LANES))))
     head = [tuple(r) for r in rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v").collect()]
     once = rows.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("_one"))
     query_rows = once.select("vec_id", "_one.*").repartition(-(-got["q"] // QUERY_BLOCK))
-    queries = thresholds(blocks(query_rows, dim, QUERY_BLOCK).select("ids", "vectors"), head, dim, k)
-    lanes = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(n_lanes - 1)).cast("array<bigint>")))
+    queries = materialise(thresholds(blocks(query_rows, dim, QUERY_BLOCK).select("ids", "vectors"), head, dim, k, norms))
+    sent = queries.agg(F.sum("reach").alias("sent"), F.count(F.lit(1)).alias("groups")).first()
+    log.info("%d of %d pairs of query groups and lanes are joined", sent["sent"], sent["groups"] * len(norms))
+    lanes = queries.filter("reach > 0").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reach") - 1)))
     pairs = lanes.join(stored, "lane").select("q_ids", "q_vectors", "floors", "ids", "vectors", "norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

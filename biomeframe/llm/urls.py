@@ -7,9 +7,13 @@ enough support and confidence, and better than each shorter one, become rules. A
 indexed by its rarest token, and each distinct token set meets only the rules of
 its own tokens. All URLs with the same tokens share one answer.
 
+Tokens that stand in exactly the same labelled URLs are one item to the mining: a rule with two of them
+would be no better than with one, and any of them may stand for the item when a URL is judged. So parameters that
+always come together do not multiply into all their combinations.
+
 The number of rules does not grow with the table: support is a share of all labelled URLs.
 
-Defined results: null urls and urls without ``://`` have empty host and path, no tokens
+Defined results: very long urls have as many tokens as they have parts; null urls and urls without ``://`` have empty host and path, no tokens
 and the default verdict; without labelled urls there are no rules; ties between
 rules go to the higher support, then to ``block``; repeated rows get equal answers; only
 id and url are read, so other columns cannot clash; an empty table gives no rows.
@@ -76,6 +80,22 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
+def items_of(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """token, item: every token of enough labelled rows, with the shortest of those that stand in the same rows.
+
+    Rows are told by two 64-bit hashes of their tokens, added up per token.
+    """
+    least = F.lit(float(min_support)) * labelled.agg(F.count(F.lit(1))).scalar()
+    wide = lambda c: c.cast("decimal(20,0)")
+    hashed = labelled.select(F.explode("tokens").alias("token"), wide(F.xxhash64("tokens")).alias("a"), wide(F.xxhash64(F.lit(1), "tokens")).alias("b"))
+    rows = hashed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    often = rows.filter(F.col("n") >= F.ceil(least))
+    same = often.groupBy("n", "a", "b").agg(
+        F.min(F.struct(F.length("token"), "token")).alias("m"), F.collect_list("token").alias("tokens")
+    )
+    return same.select(F.explode("tokens").alias("token"), F.col("m.token").alias("item"))
+
+
 def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) from rows of ``tokens`` and ``verdict``.
 
@@ -133,8 +153,16 @@ def judge(
     labelled = rows.filter("verdict IS NOT NULL")
     if labelled.isEmpty():
         return rows.withColumn("verdict", F.lit(default)).withColumn("confidence", F.lit(None).cast("double")).drop("tokens")
-    sets = materialise(rows.filter("verdict IS NULL").select("tokens").distinct())
-    answers = materialise(matched(sets, materialise(mined(labelled, **mining))))
+    items = materialise(items_of(labelled, mining.get("min_support", MIN_SUPPORT)))
+    each = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    sets = materialise(each.groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    none = F.array().cast("array<string>")
+    baskets = labelled.select("tokens", "verdict").join(sets, "tokens", "left")
+    baskets = materialise(baskets.select(F.coalesce("items", none).alias("tokens"), "verdict"))
+    open_sets = rows.filter("verdict IS NULL").select("tokens").distinct().join(sets, "tokens")
+    open_sets = materialise(open_sets)
+    best = matched(open_sets.select(F.col("items").alias("tokens")).distinct(), materialise(mined(baskets, **mining)))
+    answers = materialise(open_sets.join(best.withColumnRenamed("tokens", "items"), "items").select("tokens", "best"))
     joined = rows.join(answers, "tokens", "left")
     return joined.select(
         "page_id",

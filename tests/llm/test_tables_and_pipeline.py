@@ -1,6 +1,7 @@
 """URL rules, vector search, the pipeline and the registered queries."""
 
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -80,6 +81,64 @@ def test_mined_rules_equal_counting(spark):
     assert got == pytest.approx(want)
 
 
+def brute_verdicts(rows, labels, min_support, min_confidence):
+    """Best rule of every token set by trying all combinations: (confidence, support, verdict), or None."""
+    labelled = [(t, v) for t, v in zip(rows, labels, strict=True) if v]
+    seen, hit = Counter(), Counter()
+    for tokens, verdict in labelled:
+        for k in range(1, len(tokens) + 1):
+            for part in combinations(tokens, k):
+                seen[part] += 1
+                hit[part, verdict] += 1
+    n = len(labelled)
+    rules = {x: (c / seen[x[0]], c / n) for x, c in hit.items() if c >= min_support * n and c / seen[x[0]] >= min_confidence}
+    kept = {
+        (part, v): r for (part, v), r in rules.items()
+        if not any(rules.get((tuple(t for t in part if t != x), v), (0,))[0] >= r[0] for x in part)
+    }
+    out = []
+    for tokens in rows:
+        fits = [(c, s, v) for (part, v), (c, s) in kept.items() if set(part) <= set(tokens)]
+        out.append(max(fits) if fits else None)
+    return out
+
+
+def test_judge_equals_a_search_over_all_rules(spark):
+    rng = np.random.default_rng(12)
+    parts = ["ads", "click", "news", "blog", "es", "fr", "en"]
+    urls_ = []
+    for i in range(400):
+        host = rng.choice(["shop.net", "a.example.com", "b.org", "c.com", "d.info"])
+        path = "/".join(rng.choice(parts, rng.integers(1, 4)))
+        # utm and ref always come together.
+        query = rng.choice(["", "?utm=1&ref=2", "?utm=3&ref=4&id=5", "?id=9"])
+        urls_.append(f"http://{host}/{path}{query}")
+    urls_ += [None, "no scheme", "http://", "https://d.info/ads?ref=1"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages, min_support=0.05, min_confidence=0.6).collect()}
+    tokens = [tuple(r["t"]) for r in pages.select("page_id", urls.tokens_of(F.col("url")).alias("t")).orderBy("page_id").collect()]
+    labels = [got[i]["verdict"] if got[i]["rule"] else None for i in range(len(urls_))]
+    assert {"allow", "block", None} == set(labels)
+    mined_ones = 0
+    for i, best in enumerate(brute_verdicts(tokens, labels, 0.05, 0.6)):
+        if labels[i] is None:
+            assert got[i]["verdict"] == (best[2] if best else urls.DEFAULT), urls_[i]
+            assert got[i]["confidence"] == (pytest.approx(best[0]) if best else None)
+            mined_ones += best is not None
+    assert mined_ones > 50
+
+
+def test_parameters_that_come_together_are_one_item(spark):
+    common = "&".join(f"p{k}=1" for k in range(40))
+    rows = [(i, f"http://{'x.com/en' if i % 2 else 'y.net/es'}/a{i % 7}?{common}&{'good' if i % 2 else 'bad'}=1") for i in range(10_000)]
+    rows += [(20_000, "http://z.org/q?p3=1&bad=2"), (20_001, f"http://z.org/q?{common}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.monotonic()
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert time.monotonic() - start < 30
+    assert got[20_000] == "block" and got[20_001] == "allow" and got[0] == "block" and got[1] == "allow"
+
+
 def test_matching_takes_the_best_rule(spark):
     rules = spark.createDataFrame(
         [(["a"], "allow", 0.9, 0.5), (["a", "b"], "block", 0.95, 0.1), (["c"], "block", 0.9, 0.4), (["z"], "allow", 1.0, 0.1)],
@@ -128,6 +187,35 @@ def test_top_k_matches_brute_force(spark, monkeypatch, spread):
     assert search(spark, rows) == brute_top(rows, lambda i: i % 3 == 0)
 
 
+def test_short_vectors_are_not_sent_to_every_lane(spark, monkeypatch, caplog):
+    for name, value in (("BLOCK", 8), ("HEAD", 16), ("QUERIES_TOGETHER", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    long = np.abs(rng.normal(size=(20, 6))) * 50
+    short = rng.normal(size=(400, 6)) * 0.05
+    # The queries point where the long vectors do, so none of the many short ones can be among their best.
+    rows = [(1000 + i, v.tolist()) for i, v in enumerate(long)] + [(3 * i + 1, v.tolist()) for i, v in enumerate(short)]
+    rows += [(3 * i, np.abs(v).tolist()) for i, v in enumerate(rng.normal(size=(30, 6)))]
+    with caplog.at_level("INFO", topk.__name__):
+        got = search(spark, rows)
+    assert got == brute_top(rows, lambda i: i % 3 == 0)
+    told = next(r for r in caplog.records if "pairs of query groups" in r.message)
+    sent, every = told.args
+    assert 0 < sent < 0.3 * every
+
+
+def test_reaches_counts_the_lanes_that_can_hold_a_hit():
+    rng = np.random.default_rng(4)
+    norms = np.sort(rng.exponential(size=30))[::-1] * 100
+    lengths = np.concatenate([rng.exponential(size=200) * 300, [0.0, 0.0]])
+    floors = np.concatenate([rng.integers(-500, 40_000, 200), [1, 2]])
+    floors[:5] = -(2**63)
+    far = topk.reaches(lengths, floors, norms)
+    for n, length, floor in zip(far, lengths, floors, strict=True):
+        can = length * norms * (1 + 1e-9) + 1 >= floor
+        assert can.sum() <= n <= can.sum() + 1
+
+
 def test_top_k_edge_cases(spark):
     rows = [
         (0, [1.0, 2.0]), (0, [3.0, 1.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]),
@@ -190,6 +278,7 @@ def test_stages_do_their_work(spark, stages):
     assert again.exceptAll(cut.select("doc_id", "text")).isEmpty()
     groups = jaccard.components(cut).collect()
     assert sorted(r["doc_id"] for r in single.collect()) == sorted({r["component_id"] for r in groups})
+    assert mixed.select("doc_id", "text").distinct().exceptAll(raw.select("doc_id", "text").unionByName(single.select("doc_id", "text"))).isEmpty()
     words = mix.mix(single).agg(F.sum("taken")).first()[0]
     assert mixed.select(F.sum(mix.word_count(F.col("text")))).first()[0] == words
     totals = pack.pack(mixed).groupBy("doc_id").agg(F.sum("length").alias("n"))
@@ -214,10 +303,10 @@ def test_pipeline_on_an_empty_table(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries()
     assert QUERIES.keys() <= queries().keys()
     sql_forms = {n for n in oracle_sql() if n.startswith("op")}
-    assert sql_forms == {n for n in QUERIES if re.match(r"op[15789]_", n)}
+    assert sql_forms == {n for n in QUERIES if re.match(r"op([15789]|11)_", n)}
 
 
 COLUMNS = {
@@ -226,7 +315,9 @@ COLUMNS = {
     "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op6": "page_id host path rule verdict", "op7": "doc_id n_lines n_dropped kept_sha256",
     "op8": "doc_id n_shingles component_id", "op9": "query_id rank vec_id score",
-    "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op11": "word form root n n_near form_n",
+    "op12": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op13": "vec_id component n deviation whitened explained identity_error",
 }
 
 
@@ -235,10 +326,14 @@ def test_query_columns_and_rows(spark, name):
     df = QUERIES[name](spark, SF)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(df.columns)
     rows = df.collect()
-    table = {"op6": "pages", "op9": "embeddings"}.get(name.split("_")[0], "documents")
-    key = {"op6": "page_id", "op9": "query_id"}.get(name.split("_")[0], "doc_id")
+    number = name.split("_")[0]
+    if number == "op11":
+        assert len({r["word"] for r in rows}) == len(rows) > 0
+        return
+    table = {"op6": "pages", "op9": "embeddings", "op13": "embeddings"}.get(number, "documents")
+    key = {"op6": "page_id", "op9": "query_id", "op13": "vec_id"}.get(number, "doc_id")
     source = pq.read_table(f"{SF}/{table}.parquet").column(0).to_pylist()
-    want = {i for i in source if i % 50 == 0} if table == "embeddings" else set(source)
+    want = {i for i in source if i % 50 == 0} if number == "op9" else set(source)
     assert {r[key] for r in rows} == want
 
 
