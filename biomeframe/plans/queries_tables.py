@@ -667,33 +667,66 @@ def taxon_lines_import(spark, sf):
     return _filled(rd.read_taxon_lines(spark, path))
 
 
-def _nation_lines(spark, sf, sep):
-    """Header ids and one line per brand as one text; brands and nations are fixed dimensions."""
+def _nation_lines(spark, sf, sep, name, *more):
+    """Counts per nation as written lines of text, one per brand, with the fixed columns ``more`` at the end."""
     wide = _nation_columns(spark, sf)
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in wide.columns[1:]]
-    lines = wide.select(F.concat_ws(sep, "p_brand", *cells).alias("l"))
-    return wide.columns[1:], lines.agg(F.concat_ws("\n", F.sort_array(F.collect_list("l"))).alias("body"))
+    path = _scratch(spark, name)
+    wide.select(F.concat_ws(sep, "p_brand", *cells, *[F.lit(x) for x in more])).write.text(path)
+    return wide.columns[1:], path
+
+
+def _header_line(spark, path, *lines):
+    """The lines of ``path`` below title and header lines, as the one file that the layout asks for."""
+    body = spark.read.text(path)
+    out = f"{path}-whole"
+    head = spark.createDataFrame([("\n".join(lines),)], "value string")
+    head.union(body).coalesce(1).write.text(out)
+    return out
 
 
 @query("otu_import", f"SELECT * FROM ({NATION})")
 def otu_import(spark, sf):
     """A title line, a ``species`` line with the ids, one line per taxon."""
-    path = _scratch(spark, "otu")
-    ids, text = _nation_lines(spark, sf, ",")
-    head = "Quantities per nation" + "," * len(ids) + "\n" + ",".join(["species", *ids])
-    text.select(F.concat_ws("\n", F.lit(head), "body")).write.text(path)
-    return _filled(rd.read_otu_supplement(spark, path))
+    ids, path = _nation_lines(spark, sf, ",", "otu")
+    title = "Quantities per nation" + "," * len(ids)
+    return _filled(rd.read_otu_supplement(spark, _header_line(spark, path, title, ",".join(["species", *ids]))))
 
 
 @query("ragged_import", f"SELECT sampleID, SUM(count) AS read_count FROM ({NATION}) GROUP BY 1")
 def ragged_import(spark, sf):
     """A header one field short, with a column that is no sample."""
-    path = _scratch(spark, "ragged")
-    ids, text = _nation_lines(spark, sf, "\t")
-    body = F.replace("body", F.lit("\n"), F.lit("\t0\n"))
-    header = F.lit("\t".join([*ids, "taxID"]))
-    text.select(F.concat(header, F.lit("\n"), body, F.lit("\t0"))).write.text(path)
-    return rd.read_ragged_tsv(spark, path)[1]
+    ids, path = _nation_lines(spark, sf, "\t", "ragged", "0")
+    return rd.read_ragged_tsv(spark, _header_line(spark, path, "\t".join([*ids, "taxID"])))[1]
+
+
+@query("meta_rows_import", "SELECT n_name AS sampleID, n_regionkey::VARCHAR AS region FROM nation")
+def meta_rows_import(spark, sf):
+    """Annotations of the samples, laid out as a line of the counts' file."""
+    nation = tb.table(spark, sf, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("region"))
+    wide = _nation_columns(spark, sf)
+    names = wide.columns[1:]
+    label = nation.groupBy(F.lit("region").alias("p_brand")).pivot("n_name", names).agg(F.first("region"))
+    path = _scratch(spark, "annotated")
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in names]
+    wr.write_csv(label.unionByName(wide.select("p_brand", *texts)), path)
+    return rd.read_meta_rows(spark, path, ["region"])
+
+
+@query(
+    "centroids_wide",
+    sql(
+        """, v AS (SELECT HC_subCST AS sub_CST, taxon, ROUND(value, 6) AS x FROM centroid)
+           SELECT * FROM (PIVOT v ON taxon USING FIRST(x) GROUP BY sub_CST)""",
+        "centroid",
+    ),
+)
+def centroids_wide(spark, sf):
+    """One row per class, one column per taxon, as the centroid file has them."""
+    x = stored_shares(spark, sf)
+    taxa = [r[0] for r in x.select("taxon").distinct().orderBy("taxon").collect()]
+    wide = wr.centroids_wide(ag.centroids(x, tb.sample_labels(spark, sf)), taxa)
+    return wide.select("sub_CST", *[r6(F.col(f"`{t}`")).alias(t) for t in taxa])
 
 
 @query(

@@ -1,19 +1,21 @@
 """Study-specific layouts into wide or long abundance tables.
 
-Only header lines reach the driver. Samples or taxa laid out as columns are
-turned into rows through one array per line and ``posexplode``, so thousands of
-columns do not become thousands of projections.
+Layouts with samples in columns are read as text: each line becomes an array of fields, and its
+cells meet the sample ids of the header line by position, so any number of samples makes the same plan.
+Layouts with samples in rows take their schema from the header line, which reaches the driver.
 """
 
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biomeframe.functions.names import drop_leading_blanks
+from biomeframe.session import materialise
 
 
 def _line(spark: SparkSession, path: str, sep: str, number: int = 0) -> list[str]:
@@ -91,6 +93,55 @@ def wide_to_long(wide: DataFrame, not_taxa: list[str] = ("read_count", "HC_subCS
     return long.select("sampleID", "taxon", F.col("_pos").alias("pos"), "count")
 
 
+def _fields(line: Column, sep: str) -> Column:
+    """Fields of a delimited line; quoted ones may hold the separator, and quotes doubled. Empty fields are null."""
+    plain = F.split(line, re.escape(sep), -1)
+    one = re.escape(sep)
+    # Possessive, so that a long quoted field needs no backtracking; the separator in front makes every field a match.
+    pattern = f'{one}(?:"([^"]*+(?:""[^"]*+)*+)"[^{one}]*+|([^{one}]*+))'
+    led = F.concat(F.lit(sep), line)
+    quoted = F.regexp_extract_all(led, F.lit(pattern), F.lit(1))
+    bare = F.regexp_extract_all(led, F.lit(pattern), F.lit(2))
+    either = F.zip_with(quoted, bare, lambda q, b: F.when(b == "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(b))
+    found = F.when(F.contains(line, F.lit('"')), either).otherwise(plain)
+    return F.transform(found, lambda f: F.nullif(f, F.lit("")))
+
+
+def _positioned(
+    spark: SparkSession, path: str, sep: str, skip_lines: int = 0, header_from: int = 1, body_from: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """A file with samples in columns as two tables: header (``_pos``, ``sampleID``) and body (``_name``, ``_values``).
+
+    Ids stand in the header line from field ``header_from``, counts in the others from field ``body_from``; equal
+    ``_pos`` belong together. Nothing of the header enters the plan, so it does not grow with the samples.
+    Part files of one table repeat the title and header lines; lines equal to these are passed over, as are
+    blank ones. A field may not hold a line break. Values of missing fields are null.
+    """
+    lines = spark.read.text(path)
+    # Partition 0 begins with the first block of a file, so its first lines are the header lines. Written,
+    # so that measured sizes decide how they are joined.
+    numbered = lines.select("value", F.monotonically_increasing_id().alias("_line"))
+    heads = materialise(numbered.filter(F.col("_line") <= skip_lines))
+    ids = heads.filter(F.col("_line") == skip_lines)
+    header = materialise(
+        ids.select(F.posexplode(F.slice(_fields(F.col("value"), sep), header_from + 1, 1 << 30)).alias("_pos", "sampleID"))
+    )
+    last = header.agg(F.coalesce(F.max("_pos") + 1, F.lit(0)).alias("n"))
+    rest = lines.filter(F.length(F.trim("value")) > 0).join(heads.select("value"), "value", "left_anti")
+    fields = rest.select(_fields(F.col("value"), sep).alias("f"))
+    values = F.slice("f", body_from + 1, 1 << 30)
+    missing = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.col("_n") - F.size(values), F.lit(0)))
+    body = fields.withColumn("_n", last.scalar()).select(F.get("f", F.lit(0)).alias("_name"), F.concat(values, missing).alias("_values"))
+    return header, body
+
+
+def _cells(header: DataFrame, body: DataFrame, strict: bool) -> DataFrame:
+    """``sampleID``, ``_name``, ``_raw`` and ``count`` of every field below an id."""
+    each = body.select("_name", F.posexplode("_values").alias("_pos", "_raw"))
+    joined = each.join(header, "_pos")
+    return joined.select("sampleID", "_name", "_raw", _number(F.col("_raw"), strict).alias("count"))
+
+
 def read_transposed(
     spark: SparkSession,
     path: str,
@@ -105,32 +156,16 @@ def read_transposed(
     ``meta_rows`` are left out; :func:`read_meta_rows` returns them. A cell that is
     no count raises, or is null with ``strict=False``.
     """
-    ids, body = _transposed_body(spark, path, sep, skip_lines)
-    taxa = body.filter(~F.col("_name").isin(*meta_rows)) if meta_rows else body
-    long = _explode_columns(taxa, [F.col("_name").alias("taxon")], [f"_s{i}" for i in range(len(ids))], ids, "sampleID", strict)
-    return long.select("sampleID", "taxon", "count")
+    header, body = _positioned(spark, path, sep, skip_lines)
+    taxa = body.filter(~F.coalesce(F.col("_name").isin(*meta_rows), F.lit(False))) if meta_rows else body
+    return _cells(header, taxa, strict).select("sampleID", F.col("_name").alias("taxon"), "count")
 
 
 def read_meta_rows(spark: SparkSession, path: str, meta_rows: list[str], sep: str = ",", skip_lines: int = 0) -> DataFrame:
     """Sample annotations laid out as lines of a transposed file: one column per line name."""
-    ids, body = _transposed_body(spark, path, sep, skip_lines)
-    rows = body.filter(F.col("_name").isin(*meta_rows))
-    long = _explode_columns(rows, [F.col("_name")], [f"_s{i}" for i in range(len(ids))], ids, "sampleID", strict=False)
-    return long.groupBy("sampleID").pivot("_name", list(meta_rows)).agg(F.first("_raw"))
-
-
-def _transposed_body(spark: SparkSession, path: str, sep: str, skip_lines: int) -> tuple[list[str], DataFrame]:
-    heads = [_line(spark, path, sep, i) for i in range(skip_lines + 1)]
-    ids = heads[-1][1:]
-    schema = _strings(["_name", *[f"_s{i}" for i in range(len(ids))]])
-    body = _csv(spark, path, sep, schema, False)
-    # The title lines and the id line are recognised by their first two fields.
-    for head in heads:
-        fields = [*head, "", ""]
-        first = F.col("_name").eqNullSafe(F.lit(fields[0] or None))
-        second = F.col("_s0").eqNullSafe(F.lit(fields[1] or None)) if ids else F.lit(True)
-        body = body.filter(~(first & second))
-    return ids, body
+    header, body = _positioned(spark, path, sep, skip_lines)
+    rows = _cells(header, body.filter(F.col("_name").isin(*meta_rows)), strict=False)
+    return rows.groupBy("sampleID").pivot("_name", list(meta_rows)).agg(F.first("_raw"))
 
 
 def read_otu_supplement(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -145,35 +180,18 @@ def read_ragged_tsv(
 
     Returns long counts without the ``drop`` column and each sample's read count.
     """
-    header = _line(spark, path, "\t")
-    names = ["_name", *[f"_s{i}" for i in range(len(header))]]
-    body = _csv(spark, path, "\t", _strings(names), True)
-    keep = [(i, h) for i, h in enumerate(header) if h != drop]
-    long = _explode_columns(
-        body,
-        [drop_leading_blanks("_name").alias("taxon")],
-        [f"_s{i}" for i, _ in keep],
-        [h for _, h in keep],
-        "sampleID",
-        strict,
-    ).select("sampleID", "taxon", "count")
+    header, body = _positioned(spark, path, "\t", header_from=0)
+    kept = header.filter(~F.col("sampleID").eqNullSafe(F.lit(drop)))
+    cells = _cells(kept, body, strict)
+    long = cells.select("sampleID", drop_leading_blanks("_name").alias("taxon"), "count")
     depth = F.coalesce(F.sum("count"), F.lit(0.0)).alias("read_count")
     return long, long.groupBy("sampleID").agg(depth)
 
 
 def read_taxon_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One taxon per line; field 0 is its name, field 1 is ignored, line 0 holds the ids."""
-    header = _line(spark, path, "\t")
-    ids = F.array(*[F.lit(x) for x in header[2:]])
-    fields = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    body = fields.filter(F.col("f")[0] != header[0])
-    cells = body.select(
-        F.col("f")[0].alias("taxon"),
-        F.posexplode(F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0)))).alias("p", "v"),
-    )
-    return cells.select(
-        F.element_at(ids, F.col("p") + 1).alias("sampleID"), "taxon", _number(F.col("v"), strict).alias("count")
-    )
+    header, body = _positioned(spark, path, "\t", header_from=2, body_from=2)
+    return _cells(header, body, strict).select("sampleID", F.col("_name").alias("taxon"), "count")
 
 
 def read_tsv_labelled(
