@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from biomeframe.functions.scores import choices, ratio
 from biomeframe.operators.keyed import attach
+from biomeframe.session import materialise
 
 TRUTH, PRED = "HC_subCST", "subCST"
 
@@ -56,7 +57,7 @@ def cells(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def confusion(pairs: DataFrame) -> DataFrame:
     """Counts on the sorted label universe of truth and prediction, zero-filled."""
-    counted = cells(pairs).persist()  # at most classes x classes rows, read twice
+    counted = materialise(cells(pairs))  # at most classes x classes rows, read twice
     universe = counted.select(F.explode(F.array(TRUTH, PRED)).alias("c")).agg(
         F.sort_array(F.collect_set("c")).alias("u")
     )
@@ -171,6 +172,69 @@ def roc_points(pairs: DataFrame) -> DataFrame:
     )
 
 
+def score_steps(scored: DataFrame, labels: list[str], scores: str = "scores") -> DataFrame:
+    """One row per class and distinct score: samples at it (``pos`` of the class, ``neg`` of others), and with
+    it and all higher scores (``tp``, ``fp``, ``point``).
+
+    Equal scores are merged first. Running sums go over range partitions of (class, score) and the sums of the
+    partitions before, so no window holds a class. Rows without a label and missing scores have no part; NaN
+    is the highest score.
+    """
+    names = F.array(*[F.lit(x) for x in labels])
+    each = scored.filter(F.col(TRUTH).isNotNull()).select(F.col(TRUTH).alias("_t"), F.posexplode(scores).alias("_c", "score"))
+    own = F.get(names, F.col("_c")).alias(TRUTH)
+    told = each.filter(F.col("score").isNotNull()).select("_t", own, "score").filter(F.col(TRUTH).isNotNull())
+    hit = F.col("_t") == F.col(TRUTH)
+    merged = told.groupBy(TRUTH, "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
+    ranged = merged.repartitionByRange(F.col(TRUTH), F.desc("score")).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(ranged)
+    sums = {"tp": F.sum("pos"), "fp": F.sum("neg"), "point": F.count(F.lit(1))}
+    parts = ranged.groupBy(TRUTH, "_part").agg(*[v.alias(f"_{k}") for k, v in sums.items()])
+    # One row per partition and class in it.
+    before = Window.partitionBy(TRUTH).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(TRUTH, "_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    upto = Window.partitionBy(TRUTH, "_part").orderBy(F.desc("score"))
+    running = ranged.withColumns({k: v.over(upto) for k, v in sums.items()})
+    joined = attach(running, offsets, [TRUTH, "_part"])
+    return joined.select(TRUTH, "score", "pos", "neg", *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in sums])
+
+
+def _class_sizes(steps: DataFrame) -> DataFrame:
+    return steps.groupBy(TRUTH).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+
+
+def roc_curves(scored: DataFrame, labels: list[str], scores: str = "scores") -> DataFrame:
+    """One-versus-rest ROC points per class from class scores, from (0, 0) down the thresholds to (1, 1).
+
+    ``scores`` is an array in the order of ``labels``. Point 0 has no threshold; equal scores make one point. A rate
+    is null where the table has no sample of its kind.
+    """
+    steps = materialise(score_steps(scored, labels, scores))
+    sized = attach(steps, _class_sizes(steps), TRUTH)
+    origin = _class_sizes(steps).select(
+        TRUTH, "n_pos", "n_neg", F.lit(None).cast("double").alias("score"), *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "point")]
+    )
+    every = sized.select(*origin.columns).unionByName(origin)
+    rate = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n))
+    return every.select(
+        TRUTH, "point", F.col("score").alias("threshold"), rate("fp", "n_neg").alias("fpr"), rate("tp", "n_pos").alias("tpr")
+    )
+
+
+def roc_auc(scored: DataFrame, labels: list[str], scores: str = "scores") -> DataFrame:
+    """Area under each class's ROC curve, with the numbers of samples inside and outside the class.
+
+    The area is the share of (inside, outside) pairs in the right order, ties counting half, added up in exact
+    integers; null where one of the two kinds is missing.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    pairs = F.sum(wide("neg") * (2 * F.col("tp") - F.col("pos")).cast("decimal(20,0)")).cast("double")
+    steps = score_steps(scored, labels, scores)
+    sums = steps.groupBy(TRUTH).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), pairs.alias("_pairs"))
+    both = F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    return sums.select(TRUTH, "n_pos", "n_neg", F.when(both > 0, F.col("_pairs") / (2 * both)).alias("auc"))
+
+
 def misclassified(pairs: DataFrame) -> DataFrame:
     """``truth:pred`` of every wrong pair."""
     return pairs.filter(F.col(TRUTH) != F.col(PRED)).select(

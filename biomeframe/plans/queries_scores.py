@@ -66,6 +66,12 @@ def split_unlabelled(spark, sf):
     return sp.split_unlabelled(depths(spark, sf).select("sampleID"), 60, 20)
 
 
+@query("shuffle", sql("SELECT sampleID, HC_subCST FROM samples", "samples"))
+def shuffle(spark, sf):
+    """The rows in hash order; their order is checked by ``shuffle_positions``."""
+    return sp.shuffle(tb.sample_labels(spark, sf), SEED)
+
+
 @query(
     "shuffle_positions",
     sql(
@@ -380,6 +386,61 @@ def roc_points(spark, sf):
     return me.roc_points(pairs(spark, sf)).withColumns({"fpr": r6("fpr"), "tpr": r6("tpr")})
 
 
+# Components of the embeddings as scores of ten classes; steps of 1/50 make ties.
+SCORED = """
+    WITH e AS (SELECT label::VARCHAR AS t, unnest(range(10))::VARCHAR AS c, unnest(embedding[1:10])::DOUBLE AS x FROM embeddings),
+    m AS (SELECT c AS HC_subCST, floor(x * 50) AS score, COUNT(*) FILTER (WHERE t = c) AS pos, COUNT(*) FILTER (WHERE t <> c) AS neg
+          FROM e GROUP BY 1, 2),
+    r AS (SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp, ROW_NUMBER() OVER w AS point,
+                 SUM(pos) OVER (PARTITION BY HC_subCST) AS n_pos, SUM(neg) OVER (PARTITION BY HC_subCST) AS n_neg
+          FROM m WINDOW w AS (PARTITION BY HC_subCST ORDER BY score DESC))
+"""
+DIGITS = [str(i) for i in range(10)]
+
+
+def component_scores(spark, sf):
+    steps = F.transform(F.slice("features", 1, 10), lambda x: F.floor(x * 50).cast("double"))
+    return tb.dense(spark, sf).select("HC_subCST", steps.alias("scores"))
+
+
+@query(
+    "roc_curves",
+    SCORED + """SELECT HC_subCST, point, score AS threshold, fp / n_neg::DOUBLE AS fpr, tp / n_pos::DOUBLE AS tpr FROM r
+                UNION ALL SELECT DISTINCT HC_subCST, 0, NULL, 0, 0 FROM r""",
+)
+def roc_curves(spark, sf):
+    return me.roc_curves(component_scores(spark, sf), DIGITS)
+
+
+@query(
+    "roc_auc",
+    SCORED + """SELECT HC_subCST, ANY_VALUE(n_pos)::BIGINT AS n_pos, ANY_VALUE(n_neg)::BIGINT AS n_neg,
+                       SUM(neg * (2 * tp - pos))::DOUBLE / (2 * (ANY_VALUE(n_pos)::DOUBLE * ANY_VALUE(n_neg))) AS auc FROM r GROUP BY 1""",
+)
+def roc_auc(spark, sf):
+    return me.roc_auc(component_scores(spark, sf), DIGITS)
+
+
+@query(
+    "centroid_auc",
+    sql(
+        """, x AS (SELECT t.sampleID, cls AS HC_subCST, ROUND(score, 6) AS score, s.HC_subCST = cls AS hit
+                   FROM theta t JOIN samples s ON s.sampleID = t.sampleID),
+             p AS (SELECT a.HC_subCST, SUM((a.score > b.score)::INTEGER + 0.5 * (a.score = b.score)::INTEGER)::DOUBLE AS won
+                   FROM x a JOIN x b ON a.HC_subCST = b.HC_subCST AND a.hit AND NOT b.hit GROUP BY 1),
+             n AS (SELECT HC_subCST, COUNT(*) FILTER (WHERE hit) AS n_pos, COUNT(*) FILTER (WHERE NOT hit) AS n_neg FROM x GROUP BY 1)
+           SELECT n.HC_subCST, n_pos, n_neg, ROUND(won / (n_pos::DOUBLE * n_neg), 6) AS auc FROM n JOIN p ON p.HC_subCST = n.HC_subCST""",
+        "theta", "samples",
+    ),
+)
+def centroid_auc(spark, sf):
+    """Areas of the nearest-centroid similarities; the SQL form counts pairs."""
+    samples = tb.sample_labels(spark, sf)
+    similar = scored(spark, sf).select("sampleID", F.transform("scores", r6).alias("scores"))
+    out = me.roc_auc(samples.join(similar, "sampleID"), class_list(samples))
+    return out.withColumn("auc", r6("auc"))
+
+
 @query(
     "misclassified",
     sql("SELECT sampleID, HC_subCST || ':' || subCST AS miss FROM pairs WHERE HC_subCST <> subCST", "pairs"),
@@ -556,6 +617,34 @@ def correlations(spark, sf):
     return out.select("row", "column", "corr", "n")
 
 
-@query("correlation_pvalues")
+# The same continued fraction, one half step per round.
+P_VALUES = """
+    , e AS ({entropy}), d AS (SELECT sampleID, SUM(count) AS n FROM users GROUP BY 1),
+    x AS (SELECT (n - AVG(n) OVER ()) / STDDEV_SAMP(n) OVER () AS effort, h / ln(5) AS h_norm, h AS h_signed
+          FROM e JOIN d ON d.sampleID = e.sampleID),
+    r AS (SELECT 'effort' AS row, 'h_norm' AS col, corr(effort, h_norm) AS r, COUNT(*) AS n FROM x
+          UNION ALL SELECT 'effort', 'h_signed', corr(effort, h_signed), COUNT(*) FROM x
+          UNION ALL SELECT 'h_norm', 'h_signed', corr(h_norm, h_signed), COUNT(*) FROM x),
+    t AS (SELECT row, col, r, n, 1 - r * r AS v, (n - 2) / 2.0::DOUBLE AS h FROM r),
+    o AS (SELECT *, v > (h + 1) / (h + 2.5) AS turned FROM t),
+    k AS (SELECT row, col, r, n, turned, CASE WHEN turned THEN 0.5 ELSE h END AS a, CASE WHEN turned THEN h ELSE 0.5 END AS b,
+                 CASE WHEN turned THEN 1 - v ELSE v END AS y FROM o),
+    f(row, col, j, c, d, total) AS (
+        SELECT row, col, 1, 1.0::DOUBLE, 1 / (1 - (a + b) * y / (a + 1)), 1 / (1 - (a + b) * y / (a + 1)) FROM k WHERE abs(r) < 1
+        UNION ALL
+        SELECT row, col, j + 1, 1 + s / c, 1 / (1 + s * d), total * (1 + s / c) / (1 + s * d) FROM (
+            SELECT f.*, CASE WHEN (j + 1) % 2 = 0
+                        THEN ((j + 1) // 2) * (b - (j + 1) // 2) * y / ((a + 2 * ((j + 1) // 2) - 1) * (a + 2 * ((j + 1) // 2)))
+                        ELSE -(a + (j + 1) // 2) * (a + b + (j + 1) // 2) * y / ((a + 2 * ((j + 1) // 2)) * (a + 2 * ((j + 1) // 2) + 1)) END AS s
+            FROM f JOIN k USING (row, col) WHERE j < 400)),
+    p AS (SELECT row, col, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(y) + b * ln(1 - y)) / a * total AS part
+          FROM k JOIN f USING (row, col) WHERE j = 400)
+    SELECT row, col AS "column", ROUND(r, 2) AS corr, n,
+           ROUND(CASE WHEN abs(r) >= 1 THEN 0 WHEN turned THEN 1 - part ELSE part END, 4) AS p
+    FROM k LEFT JOIN p USING (row, col)
+"""
+
+
+@query("correlation_pvalues", sql(P_VALUES.format(entropy=ENTROPY), "user_shares", "users").replace("WITH ", "WITH RECURSIVE ", 1))
 def correlation_pvalues(spark, sf):
     return ss.correlations(effort_and_entropy(spark, sf), ["effort", "h_norm", "h_signed"])

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -132,9 +133,61 @@ def test_correlations_and_p_values(spark):
     assert got["a", "b"]["corr"] == pytest.approx(np.corrcoef(m.T)[0, 1], abs=1e-6)
     assert got["a", "c"]["n"] == 19
     # Published two-sided points of Student's t: t = 2.100922 at 18 degrees has p = 0.05.
-    r = 2.100922 / (18 + 2.100922**2) ** 0.5
-    assert ss._beta_tail(9, 0.5, 18 / (18 + 2.100922**2)) == pytest.approx(0.05, abs=1e-6)
-    assert 0 < r < 1 and ss._beta_tail(5, 0.5, 1.0) == 1.0
+    points = [(2.100922, 18, 0.05), (12.7062047, 1, 0.05), (2.5758293, 10**9, 0.01), (0.0, 7, 1.0), (1.0, 1, 0.5), (4.0, 2, 0.0571909584)]
+    rows = [(t / (v + t * t) ** 0.5, v + 2, p) for t, v, p in points]
+    table = spark.createDataFrame(rows, "r double, n long, want double")
+    for r in table.withColumn("p", ss.correlation_p(F.col("r"), F.col("n"))).collect():
+        assert r["p"] == pytest.approx(r["want"], abs=2e-8)
+    odd = spark.createDataFrame([(1.0, 9), (-1.0, 9), (0.5, 2), (None, 9)], "r double, n long")
+    assert [str(r[0]) for r in odd.select(ss.correlation_p(F.col("r"), F.col("n"))).collect()] == ["0.0", "0.0", "nan", "nan"]
+
+
+def test_beta_tail_equals_exact_sums(spark):
+    """For whole a and b the function is a sum of binomial terms."""
+    rows = [(a, b, x) for a in (1, 2, 7, 40) for b in (1, 3, 25) for x in (0.0, 0.01, 0.3, 0.62, 0.99, 1.0)]
+    table = spark.createDataFrame(rows, "a int, b int, x double")
+    got = table.withColumn("v", ss.beta_tail(F.col("a").cast("double"), F.col("b").cast("double"), F.col("x"))).collect()
+    for r in got:
+        n = r["a"] + r["b"] - 1
+        want = sum(math.comb(n, j) * r["x"] ** j * (1 - r["x"]) ** (n - j) for j in range(r["a"], n + 1))
+        assert r["v"] == pytest.approx(want, abs=1e-12)
+
+
+def brute_curves(rows, labels):
+    out = {}
+    for c, name in enumerate(labels):
+        told = [(s[c], t == name) for t, s in rows if t is not None and s[c] is not None]
+        p, n = sum(y for _, y in told), sum(not y for _, y in told)
+        points = [(0, None, 0.0 if n else None, 0.0 if p else None)]
+        for i, cut in enumerate(sorted({s for s, _ in told}, reverse=True), 1):
+            fp, tp = sum(s >= cut and not y for s, y in told), sum(s >= cut and y for s, y in told)
+            points.append((i, cut, fp / n if n else None, tp / p if p else None))
+        won = sum((a > b) + 0.5 * (a == b) for a, x in told if x for b, y in told if not y)
+        out[name] = (points, (p, n, won / (p * n) if p * n else None))
+    return out
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_roc_from_scores_equals_brute_force(spark, parts):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abc"), [float(rnd.randint(0, 8)) for _ in range(4)]) for _ in range(150)]
+    rows += [(None, [1.0] * 4), ("a", [None, 2.0, 3.0, 4.0]), ("z", [9.0, 9.0, 9.0, 9.0])]
+    labels = ["a", "b", "c", "never"]
+    df = spark.createDataFrame(rows, "HC_subCST string, scores array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        curves, areas = me.roc_curves(df, labels).collect(), me.roc_auc(df, labels).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, (points, area) in brute_curves(rows, labels).items():
+        got = sorted(tuple(r)[1:] for r in curves if r["HC_subCST"] == name)
+        assert got == points
+        assert [tuple(r)[1:] for r in areas if r["HC_subCST"] == name] == [area]
+    one = spark.createDataFrame([("a", [0.5])], "HC_subCST string, scores array<double>")
+    assert me.roc_auc(one, ["a"]).first()["auc"] is None and me.roc_curves(one.limit(0), ["a"]).count() == 0
 
 
 def test_entropy_columns(spark):
