@@ -21,20 +21,20 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biomeframe.operators.aggregate import class_weights
 from biomeframe.operators.centroid import CentroidModel
 from biomeframe.operators.frames import drop_taxa_regex
-from biomeframe.operators.keyed import attach, hash_order
+from biomeframe.operators.keyed import attach, hash_order, with_position
 from biomeframe.operators.metrics import accuracy
 from biomeframe.operators.normalize import fit_scaling
 from biomeframe.operators.similarity import class_list, score_columns
 from biomeframe.operators.vectors import features, index_labels, selected_shares, taxa_list, with_vector
 from biomeframe.session import concurrently, materialise
 
-VERSION = "2"
+VERSION = "3"
 # Copies of one row that a task makes at most.
 COPIES = 1024
 KINDS = {
@@ -57,6 +57,8 @@ class Classifier:
     regex_remove: list[str] = field(default_factory=list)
     params: dict[str, Any] = field(default_factory=dict)
     scaling: dict[str, Any] = field(default_factory=dict)
+    # Lines of a training in stages: epoch, train loss, test loss, accuracy, chosen.
+    history: list[tuple] = field(default_factory=list)
 
     @property
     def structure(self) -> str:
@@ -77,14 +79,55 @@ def weighted_rows(train: DataFrame, label: str = "HC_subCST", seed: int = 0) ->
     to the weight on average.
     """
     weights = class_weights(train, label=label).select(label, "weight")
-    # Two steps with a redistribution between them: no task makes all copies of a rare class's row.
     share = F.conv(F.substring(hash_order(seed, "sampleID"), 1, 8), 16, 10).cast("double") / float(16**8)
     times = F.floor(F.col("weight")) + (share < F.col("weight") - F.floor("weight")).cast("long")
     timed = attach(train, weights, label).withColumn("_times", times.cast("long")).filter("_times > 0")
-    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / COPIES))
-    spread = timed.withColumn("_part", F.explode(parts)).hint("rebalance")
-    left = F.least(F.col("_times") - F.col("_part") * COPIES, F.lit(COPIES)).cast("int")
-    return spread.withColumn("_i", F.explode(F.sequence(F.lit(1), left))).drop("_i", "_part", "_times", "weight")
+    return repeated(timed, "_times").drop("weight")
+
+
+def balanced_rows(
+    train: DataFrame, label: str = "HC_subCST", seed: int = 0, size: int | None = None
+) -> DataFrame:
+    """A sample of ``size`` rows (as many as ``train`` has) in which every class has the same share.
+
+    Systematic sampling with unequal probabilities: every class is a stretch of equal length, every
+    sample of a class an equal part of it, and a comb of ``size`` teeth at equal distances, shifted by the seed, counts how often
+    a sample is taken: each class gets its share to within one row, each sample of a class its own share to
+    within one copy. Samples lie in the order of a hash inside their class; their places come from a range
+    partitioning, so neither a class nor the copies of one sample meet in one task. Rows without a label go.
+    """
+    named = train.filter(F.col(label).isNotNull())
+    # One row per class, in the order of the labels.
+    sizes = materialise(named.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("classes")).first()
+    if not total["classes"]:
+        return named
+    before = F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1))
+    at = (F.row_number().over(Window.orderBy(label)) - 1).cast("double")
+    ends = sizes.select(label, "_n", F.coalesce(before, F.lit(0)).alias("_before"), at.alias("_class"))
+    nested = named.select(F.struct("*").alias("_own"), label, hash_order(seed, "sampleID").alias("_h"), F.col("sampleID").alias("_id"))
+    placed = attach(with_position(nested, [label, "_h", "_id"], "_place"), ends, label)
+    size = total["n"] if size is None else size
+    shift = (seed * 0.6180339887498949) % 1.0
+    tooth = lambda r: F.floor((F.col("_class") + r / F.col("_n")) * F.lit(size / total["classes"]) - F.lit(shift))
+    rank = F.col("_place") - F.col("_before")
+    timed = placed.withColumn("_times", tooth(rank + 1) - tooth(rank)).filter("_times > 0")
+    return repeated(timed, "_times").select("_own.*")
+
+
+def network_rows(rows: DataFrame, seed: int = 0, copies: bool = False) -> DataFrame:
+    """Rows for a network with class weights: a balanced sample of the same size, or with ``copies``
+    every row as often as its class weight says."""
+    return weighted_rows(rows, seed=seed) if copies else balanced_rows(rows, seed=seed)
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as ``times`` says, in two steps with a redistribution between them, so that no task
+    makes all copies of a row."""
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES))
+    spread = rows.withColumn("_part", F.explode(parts)).hint("rebalance")
+    left = F.least(F.col(times) - F.col("_part") * COPIES, F.lit(COPIES)).cast("int")
+    return spread.withColumn("_i", F.explode(F.sequence(F.lit(1), left))).drop("_i", "_part", times)
 
 
 def fit_table(
@@ -135,10 +178,13 @@ def fit_rows(
     seed: int = 0,
     hidden: int | None = None,
     scaling: dict[str, Any] | None = None,
+    copies: bool = False,
     **params: Any,
 ) -> Classifier:
     """Fit one classifier on prepared rows; ``params`` go to the Spark estimator.
 
+    A network with class weights learns from :func:`network_rows`; ``copies`` is theirs.
+
     ``scaling`` are the statistics the rows were scaled with. ``centroid`` is the nearest class
     mean by Yue-Clayton similarity; class weights do not change it.
 
@@ -148,7 +194,7 @@ def fit_rows(
     common = {"featuresCol": "vector", "labelCol": "label_idx"}
     if kind == "mlp":
         hidden = hidden or hidden_size(len(taxa), len(labels))
-        data = weighted_rows(rows, seed=seed) if class_weighted else rows
+        data = materialise(network_rows(rows, seed, copies)) if class_weighted else rows
         layers = [len(taxa), hidden, len(labels)]
         estimator = MultilayerPerceptronClassifier(layers=layers, seed=seed, **common, **params)
     elif kind in ("linear", "forest"):
@@ -193,10 +239,9 @@ def fit(
     return fit_rows(rows, taxa, labels, kind, norm, regex_remove, scaling=scaling, **options)
 
 
-def predict(model: Classifier, rows: DataFrame) -> DataFrame:
-    """Add ``scores`` (probability per class, label order) and ``subCST`` to vector rows."""
-    names = F.array(*[F.lit(x) for x in model.labels])
-    scored = model.model.transform(rows)
+def named_scores(scored: DataFrame, labels: list[str]) -> DataFrame:
+    """``scores`` (probability per class, label order) and ``subCST`` instead of a Spark classifier's output columns."""
+    names = F.array(*[F.lit(x) for x in labels])
     return scored.withColumns(
         {
             "scores": vector_to_array("probability"),
@@ -205,6 +250,11 @@ def predict(model: Classifier, rows: DataFrame) -> DataFrame:
     ).drop("vector", "label_idx", "rawPrediction", "probability", "prediction")
 
 
+def predict(model: Classifier, rows: DataFrame) -> DataFrame:
+    """Add ``scores`` (probability per class, label order) and ``subCST`` to vector rows."""
+    return named_scores(model.model.transform(rows), model.labels)
+
+
 def classify(
     model: Classifier, counts: DataFrame, samples: DataFrame | None = None, refit_scaling: bool = False
 ) -> DataFrame:
@@ -286,11 +336,11 @@ def save_model(model: Classifier, path: str) -> None:
     model.model.write().overwrite().save(f"{path}/model")
     row = (
         VERSION, model.kind, model.structure, model.taxa, model.labels, model.norm, model.regex_remove,
-        json.dumps(model.params, sort_keys=True), json.dumps(model.scaling, sort_keys=True),
+        json.dumps(model.params, sort_keys=True), json.dumps(model.scaling, sort_keys=True), json.dumps(model.history),
     )
     schema = (
         "version string, kind string, structure string, features array<string>, labels array<string>,"
-        " norm string, regex_remove array<string>, params string, scaling string"
+        " norm string, regex_remove array<string>, params string, scaling string, history string"
     )
     spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{path}/info")
 
@@ -312,13 +362,18 @@ def load_model(spark: SparkSession, path: str, taxa: list[str] | None = None) ->
     return Classifier(
         model, row["kind"], list(row["features"]), list(row["labels"]), row["norm"],
         list(row["regex_remove"]), json.loads(row["params"]), json.loads(row["scaling"]),
+        [tuple(line) for line in json.loads(row["history"])],
     )
 
 
 def training_history(model: Classifier) -> DataFrame:
-    """Training loss per iteration of a freshly fitted iterative model."""
+    """epoch, train_loss, test_loss, accuracy and chosen of a network trained in stages (stored models too), or the
+    training loss per iteration of a freshly fitted iterative model."""
+    schema = "epoch int, train_loss double, test_loss double, accuracy double, chosen boolean"
+    if model.history:
+        return SparkSession.active().createDataFrame(model.history, schema)
     if model.kind in ("forest", "centroid"):
         raise ValueError(f"a {model.kind} model has no training iterations")
     summary = model.model.summary() if model.kind == "mlp" else model.model.summary
-    rows = [(i, float(v)) for i, v in enumerate(summary.objectiveHistory)]
-    return SparkSession.active().createDataFrame(rows, "epoch int, train_loss double")
+    rows = [(i, float(v), None, None, None) for i, v in enumerate(summary.objectiveHistory)]
+    return SparkSession.active().createDataFrame(rows, schema)
