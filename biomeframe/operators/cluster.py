@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from biomeframe.functions.scores import ratio
-from biomeframe.operators.keyed import attach
+from biomeframe.operators.keyed import attach, hash_order
 from biomeframe.operators.normalize import PSEUDO
 from biomeframe.operators.vectors import arrays, index_labels, merged_shares, taxa_list, with_vector
 from biomeframe.session import concurrently, materialise
 
 BLOCK_ROWS = 2048
+LANDMARKS = 500
 
 
 def cluster_rows(counts: DataFrame, samples: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -69,63 +72,100 @@ def elbow(rows: DataFrame, ks: range = range(1, 10), seed: int = 0) -> DataFrame
     return rows.sparkSession.createDataFrame(concurrently(inertia, ks), "k int, inertia double")
 
 
+def _shapes(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names, sizes, centres and mean squared distances to the centre of the clusters; classes x features numbers."""
+    table = rows.select("cluster", array_to_vector("features").alias("v"))
+    found = table.groupBy("cluster").agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    found = sorted(found.select("cluster", "s.*").collect(), key=lambda r: r["cluster"])
+    sizes = np.array([r["count"] for r in found], float)
+    # The summary divides by n - 1.
+    spread = np.array([r["variance"].toArray().sum() for r in found]) * (sizes - 1) / np.maximum(sizes, 1)
+    return [r["cluster"] for r in found], sizes, np.array([r["mean"].toArray() for r in found]), spread
+
+
+def needed_clusters(x: np.ndarray, own: np.ndarray, centres: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Which clusters' distance sums decide each sample's silhouette: its own, and those that may be nearest.
+
+    The mean distance to a cluster is at least the distance to its centre and at most
+    sqrt(distance^2 + spread), so a cluster whose lower bound is above another's upper bound cannot be nearest.
+    """
+    square = np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T, 0.0)
+    # Rounding of the expanded square must not drop a cluster.
+    slack = 1e-9 * ((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :]) + 1e-300
+    low, high = np.sqrt(np.maximum(square - slack, 0.0)), np.sqrt(square + slack + spread[None, :])
+    mine = np.arange(len(centres))[None, :] == own[:, None]
+    least = np.where(mine, np.inf, high).min(1, initial=np.inf)
+    return mine | (low <= least[:, None])
+
+
+def _requests(rows: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
+    """Rows with the numbers of the clusters that they need, written; cluster names and sizes."""
+    names, sizes, centres, spread = _shapes(rows)
+    number = {c: i for i, c in enumerate(names)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["features"].to_numpy())
+                own = pdf["cluster"].map(number).to_numpy()
+                needed = needed_clusters(x, own, centres, spread)
+                yield pdf.assign(own=own, targets=[np.flatnonzero(r).tolist() for r in needed])
+
+    schema = StructType([*rows.schema.fields, StructField("own", IntegerType()), StructField("targets", ArrayType(IntegerType()))])
+    return materialise(rows.mapInPandas(run, schema)), names, sizes
+
+
 def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums per sample and cluster between two blocks (or inside one)."""
-    first, last = pdf["block"].min(), pdf["block"].max()
-    left, right = pdf[pdf["block"] == first], pdf[pdf["block"] == last]
+    """Distance sums of the asking samples to one block of a cluster."""
+    left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"sampleID": [], "cluster": [], "t": [], "s": []})
     a, b = np.stack(left["features"].to_numpy()), np.stack(right["features"].to_numpy())
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     dist = np.sqrt(np.maximum(square, 0.0))
+    # A sample's distance to itself is zero, also after rounding.
+    dist[left["sampleID"].to_numpy()[:, None] == right["sampleID"].to_numpy()[None, :]] = 0.0
+    return pd.DataFrame({"sampleID": left["sampleID"], "cluster": left["cluster"], "t": left["t"], "s": dist.sum(1)})
+
 
-    def sums(d: np.ndarray, rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        codes, names = pd.factorize(others["cluster"])
-        total = d @ np.eye(len(names))[codes]
-        return pd.DataFrame(
-            {
-                "sampleID": np.repeat(rows["sampleID"].to_numpy(), len(names)),
-                "cluster": np.repeat(rows["cluster"].to_numpy(), len(names)),
-                "other": np.tile(np.asarray(names), len(rows)),
-                "s": total.ravel(),
-            }
-        )
-
-    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-        np.fill_diagonal(dist, 0.0)
-        return sums(dist, left, left)
-    if first == last:  # the other block is empty
-        return pd.DataFrame({"sampleID": [], "cluster": [], "other": [], "s": []})
-    return pd.concat([sums(dist, left, right), sums(dist.T, right, left)])
+def _keyed(rows: DataFrame, cluster: str) -> DataFrame:
+    return rows.select("sampleID", F.col(cluster).cast("string").alias("cluster"), "features").filter(F.col("cluster").isNotNull())
 
 
 def silhouette_samples(rows: DataFrame, cluster: str = "HC_subCST", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact Euclidean silhouette per sample.
 
-    Samples are hashed into blocks; every pair of blocks is one task-sized group
-    that returns sums per sample and cluster, never the pairs. The work grows with
-    the square of the samples, as the measure itself does; ``silhouette`` with
-    ``exact=False`` is linear.
+    Bounds from the clusters' centres and spreads tell which clusters can be nearest (:func:`needed_clusters`);
+    only to those, and to its own, a sample's distances are summed. Samples that ask for a cluster meet its
+    members block by block; a task holds two blocks and returns one sum per sample. The work is quadratic where
+    clusters overlap, as the measure is; :func:`silhouette_work` tells how much of it the bounds save, and
+    ``silhouette`` with ``exact=False`` is linear.
     """
-    blocks = max(1, math.ceil(rows.count() / block_rows))
+    keyed = _keyed(rows, cluster)
     id_type = rows.schema["sampleID"].dataType.simpleString()
-    keyed = rows.select(
-        "sampleID",
-        F.col(cluster).cast("string").alias("cluster"),
-        "features",
-        F.pmod(F.xxhash64("sampleID"), F.lit(blocks)).cast("int").alias("block"),
+    asked, names, sizes = _requests(keyed)
+    by_target = dict(asked.select(F.explode("targets").alias("t")).groupBy("t").count().collect())
+    members = F.lit([max(1, math.ceil(n / block_rows)) for n in sizes] or [1])
+    lanes = F.lit([max(1, math.ceil(by_target.get(i, 0) / block_rows)) for i in range(len(names))] or [1])
+    h = F.xxhash64("sampleID")
+    place = lambda counts, i: F.pmod(h, F.get(counts, i).cast("long")).cast("int")
+    every = lambda counts, i: F.explode(F.sequence(F.lit(0), F.get(counts, i) - 1))
+    columns = ("sampleID", "cluster", "features")
+    asking = asked.select(*columns, F.explode("targets").alias("t")).select(
+        *columns, "t", every(members, F.col("t")).alias("i"), place(lanes, F.col("t")).alias("j"), F.lit(True).alias("asks")
     )
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    paired = keyed.withColumn("_o", other).select(
-        "*", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j")
+    inside = asked.select(
+        *columns, F.col("own").alias("t"), place(members, F.col("own")).alias("i"), every(lanes, F.col("own")).alias("j"), F.lit(False).alias("asks")
     )
-    parts = paired.drop("_o").groupBy("i", "j").applyInPandas(
-        _pair_sums, f"sampleID {id_type}, cluster string, other string, s double"
+    parts = asking.unionByName(inside).groupBy("t", "i", "j").applyInPandas(
+        _pair_sums, f"sampleID {id_type}, cluster string, t int, s double"
     )
-    sizes = keyed.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    sums = parts.groupBy("sampleID", "cluster", "other").agg(F.sum("s").alias("s"))
-    own = F.col("cluster") == F.col("other")
-    per_sample = attach(sums, sizes, "other").groupBy("sampleID", "cluster").agg(
-        F.max(F.when(own & (F.col("size") > 1), F.col("s") / (F.col("size") - 1))).alias("a"),
-        F.min(F.when(~own, F.col("s") / F.col("size"))).alias("b"),
+    sums = parts.groupBy("sampleID", "cluster", "t").agg(F.sum("s").alias("s"))
+    size = F.get(F.lit([float(n) for n in sizes] or [0.0]), F.col("t"))
+    own = F.col("cluster") == F.get(F.lit(names or [""]), F.col("t"))
+    per_sample = sums.groupBy("sampleID", "cluster").agg(
+        F.max(F.when(own & (size > 1), F.col("s") / (size - 1))).alias("a"),
+        F.min(F.when(~own, F.col("s") / size)).alias("b"),
     )
     score = ratio(F.col("b") - F.col("a"), F.greatest("a", "b"))
     return per_sample.select(
@@ -133,6 +173,15 @@ def silhouette_samples(rows: DataFrame, cluster: str = "HC_subCST", block_rows:
     )
 
 
+def silhouette_work(rows: DataFrame, cluster: str = "HC_subCST") -> DataFrame:
+    """Distances that :func:`silhouette_samples` takes, those of all ordered pairs, and the share saved."""
+    asked, _, sizes = _requests(_keyed(rows, cluster))
+    taken = F.aggregate("targets", F.lit(0.0), lambda acc, t: acc + F.get(F.lit([float(n) for n in sizes] or [0.0]), t))
+    every = F.lit(float(sizes.sum()))
+    sums = asked.agg(F.coalesce(F.sum(taken), F.lit(0.0)).alias("taken"), (F.count(F.lit(1)) * every).alias("pairs"))
+    return sums.withColumn("saved", ratio(F.col("pairs") - F.col("taken"), F.col("pairs")))
+
+
 def sorted_silhouettes(samples: DataFrame, cluster: str = "HC_subCST") -> DataFrame:
     """Sample silhouettes sorted inside their cluster, with the cluster's size."""
     sizes = samples.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
@@ -169,3 +218,47 @@ def coords(rows: DataFrame, keep: list[str] = ("sampleID",)) -> DataFrame:
     signs = [1.0 if loadings[np.argmax(np.abs(loadings[:, i])), i] >= 0 else -1.0 for i in (0, 1)]
     pc = vector_to_array("pc")
     return model.transform(rows).select(*keep, (pc[0] * signs[0]).alias("x"), (pc[1] * signs[1]).alias("y"))
+
+
+def landmark_coords(
+    rows: DataFrame, keep: list[str] = ("sampleID",), landmarks: int = LANDMARKS, seed: int = 0, dims: int = 2
+) -> DataFrame:
+    """Non-linear coordinates ``x, y``: kernel principal components by Nystroem's method.
+
+    The map is fitted on ``landmarks`` samples, those of smallest hash of the id, under a Gaussian kernel as wide as
+    their median distance; every sample is then placed by its similarities to the landmarks, in one pass. Reruns
+    agree; with as many landmarks as samples the map is the exact one. Each axis points to its largest
+    landmark value. The driver holds landmarks x (features + landmarks) doubles.
+    """
+    rows = materialise(rows)
+    near = rows.select("sampleID", "features").orderBy(hash_order(seed, "sampleID"), "sampleID").limit(landmarks).collect()
+    if not near:
+        return rows.select(*keep, F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    base = np.array([r["features"] for r in near], float)
+
+    def squares(a: np.ndarray) -> np.ndarray:
+        return np.maximum((a * a).sum(1)[:, None] + (base * base).sum(1)[None, :] - 2 * a @ base.T, 0.0)
+
+    between = squares(base)
+    apart = between[np.triu_indices(len(base), 1)]
+    width = float(np.median(apart)) if len(apart) and np.median(apart) > 0 else 1.0
+    kernel = np.exp(-between / width)
+    columns, whole = kernel.mean(0), float(kernel.mean())
+    values, axes = np.linalg.eigh(kernel - columns[:, None] - columns[None, :] + whole)
+    values, axes = values[::-1][:dims], axes[:, ::-1][:, :dims]
+    signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    real = values > 1e-12 * len(base)
+    # A direction without spread is zero for every sample.
+    onto = np.zeros((len(base), dims))
+    onto[:, : len(values)] = np.where(real, axes * signs / np.sqrt(np.where(real, values, 1.0)), 0.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                k = np.exp(-squares(np.stack(pdf["features"].to_numpy())) / width)
+                xy = (k - k.mean(1, keepdims=True) - columns[None, :] + whole) @ onto
+                yield pdf.drop(columns="features").assign(x=xy[:, 0], y=xy[:, 1])
+
+    kept = rows.select(*keep, "features")
+    schema = StructType([*kept.schema.fields[:-1], StructField("x", DoubleType()), StructField("y", DoubleType())])
+    return kept.mapInPandas(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,15 +100,15 @@ def group_median(
             F.when(hit, acc["seen"]).otherwise(acc["before"]).alias("before"),
         )
 
-    # At most two rows per group; kept, since three plans below start from it.
-    wanted = (
+    # At most two rows per group, read twice below.
+    wanted = materialise(
         running.withColumn("_f", F.aggregate("_h", acc0, step))
         .select(*keys, "_rank", F.col("_f.b").alias("_b"), (F.col("_rank") - F.col("_f.before")).alias("_k"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     zeros = wanted.filter(F.col("_b") == 0).select(*keys, "_rank", F.lit(0.0).alias("_v"))
     targets = wanted.filter(F.col("_b") != 0)
-    picks = targets.groupBy(*keys, "_b").agg(F.collect_list(F.struct("_rank", "_k")).alias("_want"))
+    # Written, so that the planner knows its bytes: a small one is broadcast and the rows stay where they are.
+    picks = materialise(targets.groupBy(*keys, "_b").agg(F.collect_list(F.struct("_rank", "_k")).alias("_want")))
     inside = attach(
         present.withColumn("_b", value_bucket(F.col(value))), picks, [*keys, "_b"]
     )

@@ -8,6 +8,8 @@ every sample.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,23 +227,36 @@ def zscore_taxa(
     )
 
 
-def _average_rank(order: Column, part: list[str]) -> Column:
-    """Rank with ties averaged, inside one sample."""
-    first = F.rank().over(Window.partitionBy(*part).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*part, order))
-    return first + (ties - 1) / 2.0
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of ``value``, which is computed once however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _average_ranks(values: Column) -> Column:
+    """Rank of each value of an array, from 1, ties averaged."""
+
+    def ranked(x: Column) -> Column:
+        first = lambda v: F.array_position(x["up"], v)
+        last = lambda v: F.size(x["up"]) + 1 - F.array_position(x["down"], v)
+        return F.transform(x["own"], lambda v: (first(v) + last(v)) / 2.0)
+
+    both = F.struct(values.alias("own"), F.sort_array(values).alias("up"), F.sort_array(values, asc=False).alias("down"))
+    return _let(both, ranked)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def tmm_reference(df: DataFrame) -> DataFrame:
     """Reference sample ``taxon, yr, nr``: its upper quartile, relative to its total, is nearest
     to the mean one; ties go to the smallest id.
     """
-    taxa = df.filter(F.col("value") > 0).select("taxon").distinct()
-    width = taxa.agg(F.count(F.lit(1))).scalar()
     present = df.filter(F.col("value") > 0)
-    library = present.withColumn("lib", F.sum("value").over(Window.partitionBy("sampleID")))
+    width = present.select("taxon").distinct().agg(F.count(F.lit(1))).scalar()
+    # A sample's values are at most as many as the taxa.
+    own = present.groupBy("sampleID").agg(F.sort_array(F.collect_list("value")).alias("v"))
     # 75 % point among all taxa, the absent ones being leading zeros.
-    sorted_values = F.sort_array(F.collect_list("value"))
     at = (F.col("t") - 1) * 0.75
     low = F.floor(at)
 
@@ -250,60 +265,76 @@ def tmm_reference(df: DataFrame) -> DataFrame:
         return F.when(idx >= 1, F.try_element_at("v", idx)).otherwise(F.lit(0.0))
 
     quart = (
-        library.groupBy("sampleID")
-        .agg(sorted_values.alias("v"), F.first("lib").alias("lib"))
-        .withColumn("t", width)
-        .withColumn("a", pick(low))
-        .withColumn("b", F.coalesce(pick(F.least(low + 1, F.col("t") - 1)), F.lit(0.0)))
-        .select(
-            "sampleID",
-            "lib",
-            ((F.col("a") + (F.col("b") - F.col("a")) * (at - low)) / F.col("lib")).alias("f75"),
-        )
+        own.withColumns({"t": width, "lib": _total(F.col("v"))})
+        .withColumns({"a": pick(low), "b": F.coalesce(pick(F.least(low + 1, F.col("t") - 1)), F.lit(0.0))})
+        .select("sampleID", "lib", ((F.col("a") + (F.col("b") - F.col("a")) * (at - low)) / F.col("lib")).alias("f75"))
     )
     quart = materialise(quart)
     centre = quart.agg(F.avg("f75")).scalar()
-    chosen = (
-        quart.withColumn("gap", F.round(F.abs(F.col("f75") - centre), 12))
-        .orderBy("gap", "sampleID")
-        .limit(1)
-        .select(F.col("sampleID").alias("ref_id"))
+    nearest = F.struct(F.round(F.abs(F.col("f75") - centre), 12).alias("gap"), "sampleID", "lib")
+    # One row.
+    chosen = materialise(quart.agg(F.min(nearest).alias("r")).select("r.sampleID", F.col("r.lib").alias("nr")))
+    return present.join(chosen, "sampleID").select("taxon", F.col("value").alias("yr"), "nr")
+
+
+def _log_factor(have: Column, lib: Column, trim_m: float, trim_a: float) -> Column:
+    """log2 factor of one sample from its values with the reference's: ranks, trimming and weighted mean."""
+
+    def measure(e: Column) -> Column:
+        y, n, yr, nr = e["value"], lib, e["yr"], e["nr"]
+        return F.struct(
+            F.round(F.log2((y / n) / (yr / nr)), 12).alias("m"),
+            F.round(0.5 * F.log2(y * yr / (n * nr)), 12).alias("a"),
+            ((n - y) / (n * y) + (nr - yr) / (nr * yr)).alias("v"),
+        )
+
+    shared = F.filter(have, lambda e: (e["value"] > 0) & e["yr"].isNotNull())
+    ranks = lambda p: F.struct(
+        p.alias("p"), _average_ranks(p["m"]).alias("rm"), _average_ranks(p["a"]).alias("ra"), F.size(p).alias("k")
     )
-    return library.join(F.broadcast(chosen), F.col("sampleID") == F.col("ref_id"), "left_semi").select(
-        "taxon", F.col("value").alias("yr"), F.col("lib").alias("nr")
+
+    def trimmed(r: Column) -> Column:
+        lo_m, lo_a = F.floor(r["k"] * trim_m), F.floor(r["k"] * trim_a)
+        both = F.arrays_zip(r["p"].alias("p"), r["rm"].alias("rm"), r["ra"].alias("ra"))
+        inside = lambda e: (
+            e["rm"].between(lo_m + 1, r["k"] - lo_m) & e["ra"].between(lo_a + 1, r["k"] - lo_a) & (e["p"]["v"] > 0)
+        )
+        return F.filter(both, inside)
+
+    mean = lambda kept: _total(F.transform(kept, lambda e: e["p"]["m"] / e["p"]["v"])) / _total(
+        F.transform(kept, lambda e: 1 / e["p"]["v"])
     )
+    return _let(F.transform(shared, measure), lambda p: _let(ranks(p), lambda r: _let(trimmed(r), lambda k: F.when(F.size(k) > 0, mean(k)))))
+
+
+def _with_log_factor(df: DataFrame, reference: DataFrame, trim_m: float, trim_a: float) -> DataFrame:
+    """One row per sample: its values as an array ``have``, their sum ``total``, ``n`` positive ones and ``lf``."""
+    paired = attach(df, reference, "taxon", "left")
+    entry = F.struct("taxon", "value", "yr", "nr")
+    own = paired.groupBy("sampleID").agg(F.sort_array(F.collect_list(entry)).alias("have"))
+    positive = F.filter(F.col("have"), lambda e: e["value"] > 0)
+    lib = _total(F.transform(positive, lambda e: e["value"]))
+    factor = F.coalesce(_let(lib, lambda n: _log_factor(F.col("have"), n, trim_m, trim_a)), F.lit(0.0))
+    return own.select("sampleID", "have", F.size(positive).alias("n"), factor.alias("lf"))
 
 
 def tmm_log_factors(df: DataFrame, reference: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
-    """``lf`` per sample, log2 of its factor against ``reference`` before centring."""
-    present = df.filter(F.col("value") > 0)
-    library = present.withColumn("lib", F.sum("value").over(Window.partitionBy("sampleID")))
-    pair = attach(library, reference, "taxon")
-    y, n, yr, nr = (F.col(c) for c in ("value", "lib", "yr", "nr"))
-    ma = pair.select(
-        "sampleID",
-        F.round(F.log2((y / n) / (yr / nr)), 12).alias("m"),
-        F.round(0.5 * F.log2(y * yr / (n * nr)), 12).alias("a"),
-        ((n - y) / (n * y) + (nr - yr) / (nr * yr)).alias("v"),
-    )
-    ranked = ma.withColumns(
-        {
-            "rm": _average_rank(F.col("m"), ["sampleID"]),
-            "ra": _average_rank(F.col("a"), ["sampleID"]),
-            "k": F.count(F.lit(1)).over(Window.partitionBy("sampleID")),
-        }
-    )
-    lo_m, lo_a = F.floor(F.col("k") * trim_m), F.floor(F.col("k") * trim_a)
-    kept = ranked.filter(
-        F.col("rm").between(lo_m + 1, F.col("k") - lo_m)
-        & F.col("ra").between(lo_a + 1, F.col("k") - lo_a)
-        & (F.col("v") > 0)
-    )
-    log_factor = kept.groupBy("sampleID").agg(
-        (F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("lf")
-    )
-    every = present.select("sampleID").distinct().join(log_factor, "sampleID", "left")
-    return every.select("sampleID", F.coalesce("lf", F.lit(0.0)).alias("lf"))
+    """``lf`` per sample with a positive value, log2 of its factor against ``reference`` before centring."""
+    return _with_log_factor(df, reference, trim_m, trim_a).filter("n > 0").select("sampleID", "lf")
+
+
+def _centred(
+    df: DataFrame, trim_m: float, trim_a: float, reference: DataFrame | None, centre: float | None
+) -> DataFrame:
+    """:func:`_with_log_factor` with ``factor``; a sample without positive values has none."""
+    reference = materialise(tmm_reference(df)) if reference is None else reference
+    every = _with_log_factor(df, reference, trim_m, trim_a)
+    if centre is None:
+        every = materialise(every)
+        middle = every.filter("n > 0").agg(F.avg("lf")).scalar()
+    else:
+        middle = F.lit(float(centre))
+    return every.withColumn("factor", F.when(F.col("n") > 0, F.pow(F.lit(2.0), F.col("lf") - middle)))
 
 
 def tmm_factors(
@@ -316,24 +347,22 @@ def tmm_factors(
     """Trimmed mean of M-values (Robinson & Oshlack 2010): one ``factor`` per sample.
 
     Without a stored ``reference`` and ``centre`` both come from ``df``: the factors then
-    have geometric mean 1. The values are read several times: pass a stored table.
+    have geometric mean 1. A sample's values are gathered once into an array, in which ranks, trimming and the
+    weighted mean are expressions. The values are read several times: pass a stored table.
     """
-    reference = materialise(tmm_reference(df)) if reference is None else reference
-    every = tmm_log_factors(df, reference, trim_m, trim_a)
-    if centre is None:
-        every = materialise(every)
-        middle = every.agg(F.avg("lf")).scalar()
-    else:
-        middle = F.lit(float(centre))
-    return every.select("sampleID", F.pow(F.lit(2.0), F.col("lf") - middle).alias("factor"))
+    every = _centred(df, trim_m, trim_a, reference, centre)
+    return every.filter("n > 0").select("sampleID", "factor")
 
 
-def tmm(df: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05, **fitted) -> DataFrame:
+def tmm(
+    df: DataFrame,
+    trim_m: float = 0.3,
+    trim_a: float = 0.05,
+    reference: DataFrame | None = None,
+    centre: float | None = None,
+) -> DataFrame:
     """Values divided by their sample's total times its TMM factor."""
-    factors = tmm_factors(df, trim_m, trim_a, **fitted)
-    total = F.sum("value").over(Window.partitionBy("sampleID"))
-    return (
-        df.withColumn("lib", total)
-        .join(factors, "sampleID")
-        .select("sampleID", "taxon", (F.col("value") / (F.col("lib") * F.col("factor"))).alias("value"))
-    )
+    every = _centred(df, trim_m, trim_a, reference, centre).filter("n > 0")
+    known = F.filter(F.transform("have", lambda e: e["value"]), lambda v: v.isNotNull())
+    placed = every.select("sampleID", _total(known).alias("_lib"), "factor", F.inline("have"))
+    return placed.select("sampleID", "taxon", (F.col("value") / (F.col("_lib") * F.col("factor"))).alias("value"))

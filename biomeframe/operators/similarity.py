@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biomeframe.functions.scores import argmax_label, ratio
 from biomeframe.operators.keyed import attach
-from biomeframe.session import listed
+from biomeframe.session import listed, materialise
 
 
 def names_on_driver(names: DataFrame) -> list[str]:
@@ -28,26 +28,32 @@ def classify_centroid(
 ) -> DataFrame:
     """``scores`` (sorted label order) and the best label ``subCST`` per sample.
 
-    Similarity is sum(ab) / (sum(a2) + sum(b2) - sum(ab)) over all taxa. Products are
-    summed per sample and class, so the plan does not grow with the classes.
+    Similarity is sum(ab) / (sum(a2) + sum(b2) - sum(ab)) over all taxa. Centroids are one array per taxon, in label
+    order; rows meet it once, and a sample's rows are gathered once (at most one per taxon), so neither the
+    rows nor the plan grow with the classes.
     """
     labels = class_list(centroids, label) if labels is None else labels
     names = listed(df.sparkSession, names=[list(labels)]).select("names").scalar()
-    square = F.sum(F.col("value") * F.col("value"))
-    norms = centroids.groupBy(F.col(label).alias("_k")).agg(square.alias("_v"))
-    norms = norms.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v")))).scalar()
-    weights = centroids.select("taxon", F.col(label).alias("_k"), F.col("value").alias("_c"))
-    products = attach(df, weights, "taxon").groupBy("sampleID", "_k").agg(F.sum(F.col("value") * F.col("_c")).alias("_v"))
-    dots = products.groupBy("sampleID").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_d"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    summed = df.groupBy("sampleID").agg(square.alias("_aa")).join(dots, "sampleID", "left")
-    summed = summed.withColumns({"_d": F.coalesce("_d", none), "_n": names, "_bb": norms})
-
-    def theta(name: Column) -> Column:
-        dot, own = (F.coalesce(F.try_element_at(F.col(c), name), F.lit(0.0)) for c in ("_d", "_bb"))
-        return ratio(dot, F.col("_aa") + own - dot)
-
-    scored = summed.select("sampleID", "_n", F.transform("_n", theta).alias("scores"))
+    known = centroids.groupBy("taxon").agg(F.map_from_entries(F.collect_list(F.struct(label, "value"))).alias("_m"))
+    in_order = F.transform("_n", lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0.0)))
+    # Written, so that the planner knows its bytes and broadcasts a small one.
+    weights = materialise(known.withColumn("_n", names).select("taxon", in_order.alias("_c")))
+    squares = weights.select(F.posexplode("_c").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("v"))
+    norms = squares.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"])).scalar()
+    mine = attach(df.select("sampleID", "taxon", F.coalesce("value", F.lit(0.0)).alias("value")), weights, "taxon", "left")
+    rows = mine.groupBy("sampleID").agg(F.collect_list(F.struct("value", "_c")).alias("_r"))
+    zeros = F.transform("_n", lambda n: F.lit(0.0))
+    product = lambda acc, e: F.zip_with(acc, e["_c"], lambda s, c: s + e["value"] * c)
+    shared = F.filter("_r", lambda e: e["_c"].isNotNull())
+    summed = rows.withColumns({"_n": names, "_bb": norms}).select(
+        "sampleID",
+        "_n",
+        F.coalesce("_bb", zeros).alias("_bb"),
+        F.aggregate("_r", F.lit(0.0), lambda acc, e: acc + e["value"] * e["value"]).alias("_aa"),
+        F.aggregate(shared, zeros, product).alias("_ab"),
+    )
+    theta = F.zip_with("_ab", "_bb", lambda ab, bb: ratio(ab, F.col("_aa") + bb - ab))
+    scored = summed.select("sampleID", "_n", theta.alias("scores"))
     return scored.select("sampleID", "scores", argmax_label("scores", F.col("_n")).alias("subCST"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from biomeframe.functions.scores import ratio
 from biomeframe.operators.aggregate import class_prevalence
 from biomeframe.operators.keyed import attach, hash_order, with_position
+from biomeframe.session import materialise
 
 BUCKET_DIGITS = 3
 
@@ -138,9 +139,10 @@ def split_audit(
     (``passes_reference``); ``class_missing`` tells it apart. A tolerance of -1
     or None lets everything pass.
     """
-    per_split = class_prevalence(splits, label, ["split"]).withColumnsRenamed(
-        {"n": "n_split", "prevalence": "p_split"}
-    ).persist()  # classes x splits rows, read three times
+    # Classes x splits rows, read three times.
+    per_split = materialise(
+        class_prevalence(splits, label, ["split"]).withColumnsRenamed({"n": "n_split", "prevalence": "p_split"})
+    )
     whole = per_split.groupBy(label).agg(F.sum("n_split").alias("n_ref"))
     whole = whole.withColumn(
         "p_ref", ratio(F.col("n_ref"), F.sum("n_ref").over(Window.partitionBy(F.lit(0))))

@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from biomeframe.operators import cluster as cl
 from biomeframe.operators import explain as ex
 from biomeframe.operators import learn as le
+from biomeframe.operators import stored as sd
+from biomeframe.operators import training as tr
 from biomeframe.operators.split import stratified_split
-from biomeframe.operators.vectors import with_vector
+from biomeframe.operators.vectors import features, with_vector
 from biomeframe.plans import workflows as wf
-from biomeframe.plans.queries_scores import WEIGHTED
+from biomeframe.plans.queries_scores import PANEL, WEIGHTED
 from biomeframe.plans.registry import query, r6, sql
 from biomeframe.session import materialise, shared_dir
 from biomeframe.sources import tables as tb
+from biomeframe.streaming.score import read_rows, score_stream
 
 # Work per query: smaller models than the published ones (10,000 trees, up to 50,000 epochs), which are
 # reached by raising these two numbers. How accuracy on the test tables changes with them is not measured.
 MLP = {"maxIter": 100}
 FOREST = {"numTrees": 100}
+# Training in stages: looked at every so many iterations, as long as these in all.
+STAGES = {"epochs": 200, "interval": 20}
 
 
 def vector_rows(spark, sf):
@@ -59,7 +65,7 @@ def kmeans_labels(spark, sf):
 @query("cluster_centers")
 def cluster_centers(spark, sf):
     rows, taxa = cl.cluster_rows(stored_counts(spark, sf))
-    return cl.centers(cl.fit_kmeans(rows.persist(), 3), taxa, spark)
+    return cl.centers(cl.fit_kmeans(materialise(rows), 3), taxa, spark)
 
 
 @query("elbow")
@@ -113,6 +119,24 @@ def silhouette_samples(spark, sf):
     return cl.sorted_silhouettes(per_sample).withColumn("silhouette", r6("silhouette"))
 
 
+@query(
+    "silhouette_work",
+    sql(
+        """, c AS (SELECT c, list(m ORDER BY i) AS m, SUM(v) AS v, ANY_VALUE(n) AS n FROM (
+                   SELECT HC_subCST AS c, i, AVG(x) AS m, VAR_POP(x) AS v, COUNT(*) AS n FROM (
+                       SELECT HC_subCST, unnest(range(len(f))) AS i, unnest(f) AS x FROM vectors) GROUP BY 1, 2) GROUP BY 1),
+             d AS (SELECT sampleID, HC_subCST = c AS own, n, list_distance(f, m) AS low, sqrt(list_distance(f, m) ** 2 + v) AS high
+                   FROM vectors CROSS JOIN c),
+             k AS (SELECT *, MIN(CASE WHEN NOT own THEN high END) OVER (PARTITION BY sampleID) AS least FROM d),
+             w AS (SELECT SUM(n) FILTER (WHERE own OR low <= least)::DOUBLE AS taken, SUM(n)::DOUBLE AS pairs FROM k)
+           SELECT taken, pairs, (pairs - taken) / pairs AS saved FROM w""",
+        "vectors",
+    ),
+)
+def silhouette_work(spark, sf):
+    return cl.silhouette_work(tb.dense(spark, sf))
+
+
 @query("silhouette_mean", sql(SILHOUETTE + "SELECT ROUND(AVG(s), 6) + 0 AS silhouette FROM sil", "vectors"))
 def silhouette_mean(spark, sf):
     return cl.mean_silhouette(tb.dense(spark, sf)).withColumn("silhouette", r6("silhouette"))
@@ -127,6 +151,13 @@ def pca_coords(spark, sf):
     return cl.coords(tagged, ["sampleID", F.col("HC_subCST").alias("class"), "dataset"])
 
 
+@query("landmark_coords")
+def landmark_coords(spark, sf):
+    """Non-linear coordinates of every order sample, with its class."""
+    rows, _ = cl.cluster_rows(stored_counts(spark, sf))
+    return cl.landmark_coords(rows.join(tb.sample_labels(spark, sf), "sampleID"), ["sampleID", "HC_subCST"])
+
+
 # Classifiers
 
 
@@ -154,6 +185,51 @@ def mlp_weighted(spark, sf):
     return le.predict(model, rows).select("sampleID", "HC_subCST", "subCST")
 
 
+@query(
+    "balanced_sample",
+    sql(
+        """, o AS (SELECT sampleID, HC_subCST, COUNT(*) OVER (PARTITION BY HC_subCST) AS n,
+                          ROW_NUMBER() OVER (PARTITION BY HC_subCST ORDER BY md5('7|' || sampleID), sampleID) - 1 AS r,
+                          DENSE_RANK() OVER (ORDER BY HC_subCST) - 1 AS c FROM samples),
+             k AS (SELECT COUNT(*)::DOUBLE / MAX(c + 1) AS each, (7 * 0.6180339887498949::DOUBLE) % 1.0 AS shift FROM o),
+             t AS (SELECT sampleID, HC_subCST, floor((c::DOUBLE + (r + 1) / n::DOUBLE) * each - shift)
+                          - floor((c::DOUBLE + r / n::DOUBLE) * each - shift) AS times FROM o, k)
+           SELECT sampleID, HC_subCST, times::BIGINT AS times FROM t WHERE times > 0""",
+        "samples",
+    ),
+)
+def balanced_sample(spark, sf):
+    """How often each sample is in a sample of the table's size with equal classes."""
+    drawn = le.balanced_rows(tb.sample_labels(spark, sf), seed=7)
+    return drawn.groupBy("sampleID", "HC_subCST").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _staged(spark, sf, **options):
+    counts = stored_counts(spark, sf)
+    train, test = splits(spark, sf)
+    rows, held, taxa, labels, scaling = tr.prepared(counts, train, counts, test)
+    return tr.fit_best_stage(rows, held, taxa, labels, scaling=scaling, **options), counts, test
+
+
+@query("best_epoch_history")
+def best_epoch_history(spark, sf):
+    return le.training_history(_staged(spark, sf, **STAGES)[0])
+
+
+@query("best_epoch_classify")
+def best_epoch_classify(spark, sf):
+    model, counts, test = _staged(spark, sf, **STAGES)
+    return le.append_predictions(test, le.classify(model, counts, test.select("sampleID")), model.labels)
+
+
+@query("halving_search")
+def halving_search(spark, sf):
+    counts = stored_counts(spark, sf)
+    train, test = splits(spark, sf)
+    grid = [{"hidden": h, "rate": r} for h in (8, 16) for r in (0.1, 0.9)] + [{"hidden": 8}, {"hidden": 16}]
+    return tr.halving_search(counts, train, counts, test, grid, ["none", "zscore"], epochs=80)
+
+
 @query("evaluate_model")
 def evaluate_model(spark, sf):
     counts = stored_counts(spark, sf)
@@ -249,6 +325,37 @@ def reloaded_centroid_model(spark, sf):
     return test.join(le.classify(again, counts, test.select("sampleID")).select("sampleID", "subCST"), "sampleID")
 
 
+@query("stream_scores", sql("SELECT sampleID, subCST, ROUND(score, 6) + 0 AS score FROM t_guess", "t_guess"))
+def stream_scores(spark, sf):
+    """Feature rows of the held-out samples as files, scored by a stream that ends and goes on."""
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    model, counts, test = _centroid_model(spark, sf)
+    rows = materialise(features(counts, model.taxa, test.select("sampleID"), model.norm, scaling=model.scaling))
+    half = F.pmod(F.xxhash64("sampleID"), F.lit(2)) == 0
+    for part in (half, ~half):
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        arriving = read_rows(spark, f"{base}/in", rows.schema)
+        score_stream(model, arriving, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sampleID", "subCST", r6(F.array_max("scores")).alias("score"))
+
+
+@query(
+    "pipeline_model_scores",
+    sql("SELECT sampleID, subCST, ROUND(score, 6) + 0 AS score FROM z_guess", "z_guess"),
+)
+def pipeline_model_scores(spark, sf):
+    """A scaled model stored as one folder, loaded again, on the counts of the held-out samples."""
+    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model, counts, test = _centroid_model(spark, sf, "zscore")
+    sd.save_pipeline(model, path)
+    mine = counts.join(test.select("sampleID"), "sampleID", "left_semi")
+    # A sample without counts has no row in its cohort: its shares are zero.
+    absent = test.select("sampleID").join(mine, "sampleID", "left_anti")
+    whole = mine.unionByName(absent.select("sampleID", F.lit(model.taxa[0]).alias("taxon"), F.lit(0.0).alias("count")))
+    scored = PipelineModel.load(path).transform(whole)
+    return scored.select("sampleID", "subCST", r6(F.array_max("scores")).alias("score"))
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     return ex.permutation_importance(*model_and_rows(spark, sf))
@@ -372,3 +479,140 @@ def discover_classes(spark, sf):
 @query("discovered_gates")
 def discovered_gates(spark, sf):
     return wf.discover_classes(stored_counts(spark, sf), kind="linear", maxIter=20)[1]
+
+
+# The same workflows with the nearest class mean, which SQL can repeat
+
+
+@query("focus_centroid", sql("SELECT sampleID, subCST, ROUND(score, 6) + 0 AS score FROM f_guess", "f_guess"))
+def focus_centroid(spark, sf):
+    counts = stored_counts(spark, sf)
+    train, test = splits(spark, sf)
+    model = wf.fit_focus(counts, train, ["brand#1", "brand#2", "brand#3", "brand#4"], kind="centroid")
+    scored = le.classify(model, counts, test.select("sampleID"))
+    return scored.select("sampleID", "subCST", r6(F.array_max("scores")).alias("score"))
+
+
+T_ACCURACY = "SELECT ROUND(AVG((s.HC_subCST = g.subCST)::INTEGER) * 100, 6) FROM test s JOIN {0}_guess g ON g.sampleID = s.sampleID"
+
+
+@query(
+    "best_of_n_centroid",
+    sql(
+        f"""SELECT i::INTEGER AS position, i::INTEGER AS seed, ({T_ACCURACY.format("t")}) AS accuracy, i = 0 AS chosen
+            FROM range(3) AS r(i)""",
+        "t_guess",
+    ),
+)
+def best_of_n_centroid(spark, sf):
+    """The model does not depend on the seed, so the first one is chosen."""
+    counts = stored_counts(spark, sf)
+    train, test = splits(spark, sf)
+    rows, held, taxa, labels, _ = tr.prepared(counts, train, counts, test)
+    return le.fit_best(rows, held, taxa, labels, [0, 1, 2], kind="centroid")[1].withColumn("accuracy", r6("accuracy"))
+
+
+@query(
+    "grid_centroid",
+    sql(
+        f"""SELECT 0 AS position, 'none' AS norm, '{{}}' AS params, ({T_ACCURACY.format("t")}) AS accuracy
+            UNION ALL SELECT 1, 'zscore', '{{}}', ({T_ACCURACY.format("z")})""",
+        "t_guess", "z_guess",
+    ),
+)
+def grid_centroid(spark, sf):
+    counts = stored_counts(spark, sf)
+    train, test = splits(spark, sf)
+    found = le.grid_search(counts, train, counts, test, [{}], norms=["none", "zscore"], kind="centroid")
+    return found.withColumn("accuracy", r6("accuracy"))
+
+
+@query(
+    "transfer_centroid",
+    sql(
+        """, place AS (SELECT sampleID, cohort < 2 AS ref FROM cohorts),
+             c AS (SELECT k.*, p.ref FROM counts k JOIN place p ON p.sampleID = k.sampleID),
+             shared AS (SELECT taxon FROM c WHERE ref INTERSECT SELECT taxon FROM c WHERE NOT ref),
+             v AS (SELECT sampleID, taxon, count / SUM(count) OVER (PARTITION BY sampleID) AS x FROM c
+                   WHERE taxon IN (SELECT taxon FROM shared)),
+             r AS (SELECT s.sampleID, s.HC_subCST FROM samples s JOIN place p ON p.sampleID = s.sampleID WHERE p.ref),
+             z AS (SELECT HC_subCST, COUNT(*) AS n FROM r GROUP BY 1),
+             m AS (SELECT r.HC_subCST AS cls, v.taxon, SUM(x) / ANY_VALUE(z.n) AS c FROM v JOIN r ON r.sampleID = v.sampleID
+                   JOIN z ON z.HC_subCST = r.HC_subCST GROUP BY 1, 2),
+             bb AS (SELECT cls, SUM(c * c) AS bb FROM m GROUP BY 1),
+             aa AS (SELECT sampleID, SUM(x * x) AS aa FROM v WHERE sampleID IN (SELECT sampleID FROM place WHERE NOT ref) GROUP BY 1),
+             ab AS (SELECT v.sampleID, m.cls, SUM(x * c) AS ab FROM v JOIN m ON m.taxon = v.taxon GROUP BY 1, 2),
+             t AS (SELECT aa.sampleID, bb.cls, COALESCE(ab, 0) / (aa + bb - COALESCE(ab, 0)) AS score FROM aa CROSS JOIN bb
+                   LEFT JOIN ab ON ab.sampleID = aa.sampleID AND ab.cls = bb.cls),
+             g AS (SELECT sampleID, cls FROM t QUALIFY ROW_NUMBER() OVER (PARTITION BY sampleID ORDER BY score DESC, cls) = 1)
+           SELECT sampleID, cls AS HC_subCST, CASE WHEN ROW_NUMBER() OVER (PARTITION BY cls ORDER BY md5('0|' || sampleID), sampleID)
+                  <= FLOOR(COUNT(*) OVER (PARTITION BY cls) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM g""",
+        "counts", "samples", "cohorts",
+    ),
+)
+def transfer_centroid(spark, sf):
+    """Segment labels of one set of regions carried over to the others by class means."""
+    counts = stored_counts(spark, sf)
+    cohorts = tb.sample_cohorts(spark, sf)
+    ref, new = (cohorts.filter(c).select("sampleID") for c in (F.col("cohort") < 2, F.col("cohort") >= 2))
+    labels = tb.sample_labels(spark, sf).join(ref, "sampleID", "left_semi")
+    mine, theirs = (counts.join(x, "sampleID", "left_semi") for x in (ref, new))
+    return wf.transfer_labels(mine, labels, theirs, kind="centroid")[0]
+
+
+@query(
+    "bakeoff_centroid",
+    sql(
+        ", t_present AS (SELECT * FROM t_pairs WHERE sampleID IN (SELECT sampleID FROM counts))"
+        + PANEL.format(m="means", t="t_pairs") + "UNION ALL" + PANEL.format(m="centroid", t="t_present"),
+        "t_pairs", "counts",
+    ),
+)
+def bakeoff_centroid(spark, sf):
+    """The stored kind of class means beside the one on long rows, which scores samples with counts only."""
+    train, test = splits(spark, sf)
+    return wf.bakeoff(stored_counts(spark, sf), train, test, {"means": {"kind": "centroid"}})[0]
+
+
+@query(
+    "centroid_model_info",
+    sql(
+        """SELECT 'centroid' AS kind, 'centroid ' || (SELECT COUNT(*) FROM taxa) || ' -> ' || (SELECT COUNT(*) FROM sizes) AS structure,
+                  'zscore' AS norm, (SELECT COUNT(*) FROM taxa)::INTEGER AS n_features, (SELECT COUNT(*) FROM sizes)::INTEGER AS n_classes""",
+        "taxa", "sizes",
+    ),
+)
+def centroid_model_info(spark, sf):
+    path = f"{shared_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    le.save_model(_centroid_model(spark, sf, "zscore")[0], path)
+    return le.model_info(spark, path).select("kind", "structure", "norm", "n_features", "n_classes")
+
+
+@query("kmeans_check", "SELECT COUNT(*) AS n, 0::BIGINT AS n_wrong, 3::BIGINT AS clusters, true AS same_inertia FROM embeddings")
+def kmeans_check(spark, sf):
+    """Every vector's cluster is that of its nearest centre, and the inertia is the sum of these distances."""
+    rows = materialise(vector_rows(spark, sf))
+    model = cl.fit_kmeans(rows, 3)
+    centres = F.lit([[float(v) for v in c] for c in model.clusterCenters()])
+    square = lambda c: F.aggregate(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    placed = model.transform(rows).select("cluster", F.transform(centres, square).alias("d"))
+    least = F.array_min("d")
+    wrong = F.get("d", F.col("cluster")) > least * (1 + 1e-9) + 1e-12
+    return placed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(wrong).alias("n_wrong"),
+        F.countDistinct("cluster").alias("clusters"),
+        (F.abs(F.sum(least) / F.lit(float(model.summary.trainingCost)) - 1) < 1e-6).alias("same_inertia"),
+    )
+
+
+@query("elbow_check", "SELECT 9::BIGINT AS n, true AS falls, true AS first_is_total FROM (SELECT 1)")
+def elbow_check(spark, sf):
+    """Inertia falls from one cluster to nine, from the total squared deviation on."""
+    rows = materialise(vector_rows(spark, sf))
+    curve = materialise(cl.elbow(rows))
+    total = cl.elbow(rows, range(1, 2)).select("inertia").scalar()
+    ends = curve.agg(
+        F.count(F.lit(1)).alias("n"), F.max("inertia").alias("top"), F.max_by("inertia", -F.col("k")).alias("first"), F.min_by("inertia", -F.col("k")).alias("last")
+    )
+    return ends.select("n", (F.col("last") < F.col("first")).alias("falls"), (F.col("top") == total).alias("first_is_total"))

@@ -125,7 +125,14 @@ def _nearest(name: str, features: str) -> dict[str, str]:
     }
 
 
-PARTS |= _nearest("t", "plain_features") | _nearest("z", "scaled_features")
+PARTS |= _nearest("t", "plain_features") | _nearest("z", "scaled_features") | _nearest("f", "focus_features")
+PARTS["focus_shares"] = """
+    SELECT sampleID, taxon, count / SUM(count) OVER (PARTITION BY sampleID) AS value FROM counts
+    WHERE lower(taxon) IN ('brand#1', 'brand#2', 'brand#3', 'brand#4')"""
+PARTS["focus_features"] = """
+    SELECT s.sampleID, t.taxon, COALESCE(v.value, 0.0::DOUBLE) AS x
+    FROM samples s CROSS JOIN (SELECT DISTINCT taxon FROM focus_shares) t
+    LEFT JOIN focus_shares v ON v.sampleID = s.sampleID AND v.taxon = t.taxon"""
 PARTS["t_universe"] = PARTS["universe"].replace("cells", "t_cells")
 PARTS["t_per_class"] = PARTS["per_class"].replace("cells", "t_cells")
 
@@ -144,6 +151,8 @@ NEEDS = {
     "scaled_features": ["full_shares", "train_moments"],
     "t_means": ["plain_features", "train"], "t_theta": ["t_means", "test"], "t_guess": ["t_theta"],
     "z_means": ["scaled_features", "train"], "z_theta": ["z_means", "test"], "z_guess": ["z_theta"],
+    "focus_shares": ["counts"], "focus_features": ["samples", "focus_shares"],
+    "f_means": ["focus_features", "train"], "f_theta": ["f_means", "test"], "f_guess": ["f_theta"],
     "t_pairs": ["test", "t_guess"], "t_cells": ["t_pairs"], "t_universe": ["t_cells"], "t_per_class": ["t_cells"],
 }
 

@@ -1,17 +1,21 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from biomeframe.operators import cluster as cl
 from biomeframe.operators import explain as ex
 from biomeframe.operators import learn as le
+from biomeframe.operators import stored as sd
+from biomeframe.operators import training as tr
 from biomeframe.operators import vectors as ve
 from biomeframe.operators.metrics import accuracy
 from biomeframe.operators.normalize import relative_abundance
 from biomeframe.operators.split import stratified_split
 from biomeframe.plans import workflows as wf
 from biomeframe.session import materialise
+from biomeframe.streaming.score import read_rows, score_stream
 
 
 @pytest.fixture(scope="module")
@@ -194,6 +198,45 @@ def test_silhouette_over_several_blocks(spark):
     assert sizes == {"a": 70, "b": 30, "c": 1}
 
 
+def test_silhouette_bounds_skip_clusters_that_cannot_be_nearest(spark):
+    rng = np.random.default_rng(6)
+    # Four clusters on a line: of the others only the neighbours can be nearest.
+    labels = [f"c{i % 4}" for i in range(160)]
+    x = rng.normal(size=(160, 3)) * 0.3 + np.array([[10.0 * (i % 4), 0, 0] for i in range(160)])
+    x[7] = x[3]
+    df = spark.createDataFrame([(i, labels[i], x[i].tolist()) for i in range(160)], "sampleID long, HC_subCST string, features array<double>")
+    for block_rows in (1000, 15):
+        got = {r["sampleID"]: r["silhouette"] for r in cl.silhouette_samples(df, block_rows=block_rows).collect()}
+        assert [got[i] for i in range(160)] == pytest.approx(silhouette_brute(x, labels))
+    work = cl.silhouette_work(df).first()
+    assert work["pairs"] == 160 * 160 and 0.3 < work["saved"] < 0.5
+    # Labels without meaning: every cluster may be nearest, nothing is saved, the result stays exact.
+    mixed = df.withColumn("HC_subCST", F.concat(F.lit("m"), F.pmod(F.xxhash64("sampleID"), F.lit(3)).cast("string")))
+    names = [r["HC_subCST"] for r in mixed.orderBy("sampleID").collect()]
+    got = {r["sampleID"]: r["silhouette"] for r in cl.silhouette_samples(mixed, block_rows=40).collect()}
+    assert [got[i] for i in range(160)] == pytest.approx(silhouette_brute(x, names))
+    assert cl.silhouette_work(mixed).first()["saved"] == 0.0
+    one = df.filter("sampleID = 5")
+    assert cl.silhouette_samples(one).first()["silhouette"] == 0.0 and cl.silhouette_samples(df.limit(0)).count() == 0
+    same = cl.silhouette_samples(df.filter("HC_subCST = 'c1'"))
+    assert same.count() == 40 and same.filter("silhouette <> 0").isEmpty()
+
+
+def test_bounds_hold_for_random_clusters():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        k, n = int(rng.integers(2, 7)), 60
+        own = rng.integers(0, k, n)
+        own[:k] = np.arange(k)
+        x = rng.normal(size=(n, 4)) * rng.uniform(0.05, 2) + rng.normal(size=(k, 4))[own] * 2
+        centres = np.array([x[own == c].mean(0) for c in range(k)])
+        spread = np.array([((x[own == c] - centres[c]) ** 2).sum(1).mean() for c in range(k)])
+        needed = cl.needed_clusters(x, own, centres, spread)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        means = np.array([[d[i, own == c].mean() if c != own[i] else np.inf for c in range(k)] for i in range(n)])
+        assert needed[np.arange(n), means.argmin(1)].all() and needed[np.arange(n), own].all()
+
+
 def test_clusters_elbow_and_axes(spark, community):
     rows, taxa = cl.cluster_rows(community[0])
     found = cl.cluster(rows, 3).join(community[1].withColumnRenamed("HC_subCST", "truth"), "sampleID")
@@ -272,3 +315,225 @@ def test_repeated_rows_are_made_in_parts(spark, monkeypatch):
     train = spark.createDataFrame(rows, "sampleID long, HC_subCST string")
     n = {r["HC_subCST"]: r["count"] for r in le.weighted_rows(train).groupBy("HC_subCST").count().collect()}
     assert n == {"big": 30, "rare": 30, "mid": 30}
+
+
+# ---------------------------------------------------------------- training in stages
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Overlapping classes: a network that is trained too long gets worse on held-out samples."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        k = i % 3
+        share = rng.dirichlet(np.where(np.arange(5) == k, 3.0, 1.6))
+        rows += [(i, f"t{j}", float(v)) for j, v in enumerate(share)]
+    counts = spark.createDataFrame(rows, "sampleID long, taxon string, count double")
+    labels = spark.createDataFrame([(i, f"C{i % 3}") for i in range(240)], "sampleID long, HC_subCST string")
+    both = stratified_split(labels, 60, seed=2)
+    train, test = (materialise(both.filter(F.col("split") == s).drop("split")) for s in ("train", "test"))
+    return tr.prepared(counts, train, counts, test), (counts, train, test)
+
+
+def figures(model, held):
+    scored = le.predict(model, held).collect()
+    index = {c: i for i, c in enumerate(model.labels)}
+    loss = np.mean([-np.log(r["scores"][index[r["HC_subCST"]]]) for r in scored])
+    return loss, 100 * np.mean([r["HC_subCST"] == r["subCST"] for r in scored])
+
+
+def test_the_best_stage_is_the_first_maximum(noisy):
+    rows, held, taxa, labels, _ = noisy[0]
+    model = tr.fit_best_stage(rows, held, taxa, labels, epochs=120, interval=10, seed=3)
+    lines = le.training_history(model).orderBy("epoch").collect()
+    scores = [r["accuracy"] for r in lines]
+    assert [r["chosen"] for r in lines].index(True) == scores.index(max(scores)) and sum(r["chosen"] for r in lines) == 1
+    assert [r["epoch"] for r in lines] == sorted({r["epoch"] for r in lines}) and lines[-1]["epoch"] <= 120
+    assert all(a["train_loss"] >= b["train_loss"] for a, b in zip(lines, lines[1:], strict=False))
+    # The kept weights are those of the chosen stage, not of the last one.
+    chosen = next(r for r in lines if r["chosen"])
+    assert figures(model, held) == pytest.approx((chosen["test_loss"], chosen["accuracy"]))
+
+
+def test_stages_come_to_the_loss_of_one_long_fit(noisy):
+    rows, held, taxa, labels, _ = noisy[0]
+    staged = tr.fit_best_stage(rows, held, taxa, labels, epochs=200, interval=25, seed=3)
+    long = le.fit_rows(rows, taxa, labels, "mlp", seed=3, maxIter=200)
+    ends = [le.training_history(m).orderBy(F.desc("epoch")).first()["train_loss"] for m in (staged, long)]
+    start = le.training_history(long).orderBy("epoch").first()["train_loss"]
+    assert ends[0] < start and ends[0] == pytest.approx(ends[1], rel=0.1)
+    # A single stage is a plain fit.
+    one = tr.fit_best_stage(rows, held, taxa, labels, epochs=30, interval=30, seed=3)
+    plain = le.fit_rows(rows, taxa, labels, "mlp", seed=3, maxIter=30)
+    assert np.allclose(one.model.weights.toArray(), plain.model.weights.toArray())
+
+
+def test_rates_fall_on_a_plateau_and_end_training(noisy):
+    rows, held, taxa, labels, _ = noisy[0]
+    run = tr.Run(rows, held, [len(taxa), 4, len(labels)], rate=1e-4, patience=1)
+    run._stale, before = 0, run.rate
+    run.history = [(1, -1.0, 0.0, 0.0)]  # no stage can have a smaller loss
+    while not run.done:
+        run.advance(1)
+    assert run.rate <= tr.LEAST_RATE < before and len(run.history) == 3
+    slow, fast = (tr.Run(rows, held, [len(taxa), 4, len(labels)], rate=r) for r in (1e-6, 0.5))
+    for each in (slow, fast):
+        each.advance(15)
+        each.advance(15)
+    assert fast.history[-1][1] < slow.history[-1][1]
+
+
+def test_staged_models_are_stored_with_their_history(spark, noisy, tmp_path):
+    (rows, held, taxa, labels, _), _ = noisy
+    model = tr.fit_best_stage(rows, held, taxa, labels, epochs=20, interval=10, class_weighted=True)
+    le.save_model(model, str(tmp_path / "m"))
+    again = le.load_model(spark, str(tmp_path / "m"), taxa)
+    assert le.training_history(again).collect() == le.training_history(model).collect()
+    assert figures(again, held) == pytest.approx(figures(model, held))
+    empty = tr.fit_best_stage(rows, held.limit(0), taxa, labels, epochs=10, interval=5)
+    assert np.isnan(le.training_history(empty).first()["accuracy"])
+    with pytest.raises(ValueError):
+        tr.fit_best_stage(rows, held, taxa, labels, epochs=0)
+
+
+def test_halving_goes_on_with_the_better_half(noisy):
+    _, (counts, train, test) = noisy
+    # Without a tolerance a stage takes all its steps.
+    grid = [{"hidden": h, "rate": r, "tol": 0.0} for h in (3, 6) for r in (1e-3, 0.3)]
+    got = tr.halving_search(counts, train, counts, test, grid, ["none", "zscore"], epochs=40, rounds=3).collect()
+    assert [r["position"] for r in got] == list(range(8))
+    assert sorted(r["round"] for r in got) == [1, 1, 1, 1, 2, 2, 3, 3]
+    assert {r["round"]: r["epochs"] for r in got} == {1: 10, 2: 20, 3: 40}
+    last, first = [[r["accuracy"] for r in got if r["round"] == k] for k in (3, 1)]
+    assert max(last) >= max(first)
+    # Keeping all cells is the full grid, whose figures do not depend on the rounds.
+    whole = tr.halving_search(counts, train, counts, test, grid[:2], epochs=20, rounds=1, keep=1.0).collect()
+    rows, held, taxa, labels, _ = noisy[0]
+    for r, cell in zip(whole, grid, strict=False):
+        run = tr.Run(rows, held, [len(taxa), cell["hidden"], len(labels)], rate=cell["rate"], tol=0.0)
+        run.advance(20)
+        assert r["accuracy"] == pytest.approx(run.history[0][3]) and r["epochs"] == 20
+
+
+# ---------------------------------------------------------------- balanced samples
+
+
+def test_balanced_rows_keep_the_size(spark):
+    sizes = {"big": 900, "mid": 90, "rare": 1, "two": 2}
+    rows = [(f"{c}{i}", c) for c, n in sizes.items() for i in range(n)] + [("none", None)]
+    df = spark.createDataFrame(rows, "sampleID string, HC_subCST string").withColumn("_times", F.lit(7))
+    for seed in range(4):
+        got = le.balanced_rows(df, seed=seed)
+        assert got.columns == df.columns
+        per = {r["HC_subCST"]: r["count"] for r in got.groupBy("HC_subCST").count().collect()}
+        assert sum(per.values()) == 993 and all(abs(n - 993 / 4) <= 1 for n in per.values())
+        each = [r["count"] for r in got.filter("HC_subCST = 'mid'").groupBy("sampleID").count().collect()]
+        assert len(each) == 90 and set(each) <= {2, 3}
+    small = {r["HC_subCST"]: r["count"] for r in le.balanced_rows(df, size=40).groupBy("HC_subCST").count().collect()}
+    assert small == {"big": 10, "mid": 10, "rare": 10, "two": 10}
+    assert sorted(le.balanced_rows(df).collect()) == sorted(le.balanced_rows(df.repartition(9)).collect())
+    assert le.balanced_rows(df.limit(0)).count() == 0
+
+
+def test_samples_of_a_class_are_drawn_alike(spark):
+    """Over many seeds each sample is taken as often as its share says."""
+    rows = [(i, "big") for i in range(30)] + [(100 + i, "small") for i in range(10)]
+    df = spark.createDataFrame(rows, "sampleID long, HC_subCST string")
+    taken = dict.fromkeys([r[0] for r in rows], 0)
+    for seed in range(1, 25):
+        for r in le.balanced_rows(df, seed=seed).collect():
+            taken[r["sampleID"]] += 1
+    means = {c: np.mean([taken[i] for i, k in rows if k == c]) / 24 for c in ("big", "small")}
+    assert means == {"big": pytest.approx(20 / 30, abs=0.02), "small": pytest.approx(2.0, abs=0.02)}
+    assert min(taken[i] for i in range(30)) >= 6
+
+
+def test_a_rare_class_does_not_grow_the_table(community, halves):
+    counts, _ = community
+    one = halves[0].filter("HC_subCST = 'C0'").limit(1).union(halves[0].filter("HC_subCST <> 'C0'"))
+    rows, taxa, labels = le.fit_table(counts, one)
+    n = rows.count()
+    assert le.network_rows(rows).count() == n < le.network_rows(rows, copies=True).count()
+    model = le.fit_rows(materialise(rows), taxa, labels, "mlp", class_weighted=True, maxIter=20)
+    held = le.fit_table(counts, halves[1], taxa, labels)[0]
+    assert accuracy(le.predict(model, held)).first()["accuracy"] > 85
+
+
+# ---------------------------------------------------------------- one folder per model
+
+
+@pytest.mark.parametrize(
+    "kind,norm,options",
+    [("centroid", "tmm", {}), ("linear", "zscore", {"maxIter": 10}), ("forest", "minmax", {"numTrees": 5}), ("mlp", "none", {"maxIter": 10})],
+)
+def test_a_pipeline_model_scores_as_classify(community, halves, tmp_path, kind, norm, options):
+    counts, _ = community
+    train, test = halves
+    model = le.fit(counts, train, kind, norm=norm, regex_remove=["n1"], **options)
+    mine = counts.join(test.select("sampleID"), "sampleID", "left_semi")
+    sd.save_pipeline(model, str(tmp_path / "m"))
+    sd.save_pipeline(model, str(tmp_path / "m"))  # again, over the first
+    again = PipelineModel.load(str(tmp_path / "m"))
+    key = lambda df: {r["sampleID"]: (r["subCST"], r["scores"]) for r in df.collect()}
+    got, want = key(again.transform(mine)), key(le.classify(model, mine))
+    assert again.transform(mine).columns == le.classify(model, mine).columns
+    assert got.keys() == want.keys() and len(got) == test.count()
+    for i in want:
+        assert got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-12)
+    one = mine.filter(F.col("sampleID") == next(iter(want)))
+    assert key(again.transform(one)) == {k: (v[0], pytest.approx(v[1])) for k, v in want.items() if k == one.first()["sampleID"]}
+
+
+# ---------------------------------------------------------------- streams
+
+
+@pytest.mark.parametrize("kind,options", [("centroid", {}), ("forest", {"numTrees": 5})])
+def test_a_stream_scores_as_a_batch_also_after_a_restart(spark, community, halves, tmp_path, kind, options):
+    counts, _ = community
+    train, test = halves
+    model = le.fit(counts, train, kind, **options)
+    rows = materialise(ve.features(counts, model.taxa, test.select("sampleID"), scaling=model.scaling))
+    source, sink, place = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    seen = []
+    for low in (0, 50, 100):
+        rows.filter((F.col("sampleID") >= low) & (F.col("sampleID") < low + 50)).write.mode("append").parquet(source)
+        stream = read_rows(spark, source, rows.schema, files_a_batch=1)
+        score_stream(model, stream, sink, place).awaitTermination()
+        seen.append(spark.read.parquet(sink).count())
+    assert seen == sorted(seen) and seen[0] < seen[-1] == rows.count()
+    key = lambda df: {r["sampleID"]: (r["subCST"], tuple(r["scores"])) for r in df.collect()}
+    assert key(spark.read.parquet(sink)) == key(le.classify(model, counts, test.select("sampleID")))
+
+
+# ---------------------------------------------------------------- coordinates by landmarks
+
+
+def test_landmark_coordinates(spark):
+    rng = np.random.default_rng(3)
+    angle = rng.uniform(0, 2 * np.pi, 150)
+    ring = np.where(np.arange(150) % 2 == 0, 1.0, 4.0)
+    x = np.column_stack([ring * np.cos(angle), ring * np.sin(angle), rng.normal(size=150) * 0.05])
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(150)], "sampleID long, features array<double>")
+
+    def coordinates(**how):
+        return np.array([(r["x"], r["y"]) for r in sorted(cl.landmark_coords(df, **how).collect())])
+
+    square = ((x[:, None] - x[None]) ** 2).sum(-1)
+    kernel = np.exp(-square / np.median(square[np.triu_indices(150, 1)]))
+    middle = np.eye(150) - 1 / 150
+    values, axes = np.linalg.eigh(middle @ kernel @ middle)
+    want = axes[:, ::-1][:, :2] * np.sqrt(values[::-1][:2])
+    exact = coordinates()
+    assert np.abs(exact * np.sign((exact * want).sum(0)) - want).max() < 1e-8
+    few = coordinates(landmarks=40)
+    assert len(few) == 150 and (few == coordinates(landmarks=40)).all()
+
+    def neighbours(c):
+        return [set(np.argsort(((c - p) ** 2).sum(1))[1:11]) for p in c]
+
+    agree = np.mean([len(a & b) / 10 for a, b in zip(neighbours(few), neighbours(exact), strict=True)])
+    assert agree > 0.6
+    assert cl.landmark_coords(df.limit(0)).count() == 0
+    same = df.withColumn("features", F.array(*[F.lit(1.0)] * 3))
+    assert {(r["x"], r["y"]) for r in cl.landmark_coords(same).collect()} == {(0.0, 0.0)}
