@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import random
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,28 +16,25 @@ from biomeframe.session import materialise
 METRICS = ("f1", "recall", "precision", "accuracy")
 
 
+def shift_of(feature: int, n: int, seed: int = 0) -> int:
+    """How many places feature ``feature`` moves among ``n`` samples: 1 to n - 1 by a hash, the same in any SQL engine."""
+    drawn = int(hashlib.md5(f"{seed}|{feature}".encode()).hexdigest()[:13], 16)
+    return 1 + drawn % (n - 1) if n > 1 else 0
+
+
 def permuted_columns(rows: DataFrame, n_features: int, seed: int = 0) -> DataFrame:
     """Add ``permuted``: every feature permuted on its own across the samples.
 
-    Samples are placed in hash order. Feature f moves from position s to
-    (c_f s + b_f) mod n with c_f coprime to n, a different permutation for each
-    feature, so the values are shuffled once for all features together.
+    Samples are placed in hash order, which has nothing to do with their classes. Feature f moves from
+    place s to (s + b_f) mod n, with b_f from a hash: no sample keeps its value unless another has the same,
+    and the values are shuffled once for all features together.
     """
     placed = with_position(
         rows.withColumn("_h", hash_order(seed, "sampleID")), ["_h", "sampleID"]
     ).drop("_h")
     n = placed.count()
-    draw = random.Random(seed)
-    limit = max(2, min(n, 2**62 // max(n, 1)))
-    moves = []
-    for _ in range(n_features):
-        c = draw.randrange(1, limit)
-        while math.gcd(c, n) != 1:
-            c = draw.randrange(1, limit)
-        moves.append((c, draw.randrange(max(n, 1))))
-    factor = F.array(*[F.lit(c).cast("long") for c, _ in moves])
-    shift = F.array(*[F.lit(b).cast("long") for _, b in moves])
-    target = F.pmod(factor[F.col("f")] * F.col("position") + shift[F.col("f")], F.lit(n))
+    shift = F.lit([shift_of(f, n, seed) for f in range(n_features)] or [0])
+    target = F.pmod(F.col("position") + F.get(shift, F.col("f")), F.lit(max(n, 1)))
     moved = (
         placed.select("position", F.posexplode("features").alias("f", "v"))
         .groupBy(target.alias("position"))
@@ -77,10 +73,10 @@ def perturbation(
     score = per_class_metrics if by_class else weighted_metrics
     key = ["HC_subCST"] if by_class else []
     stacked = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics]))
-    # At most classes x metrics rows; the class count is checked when a model is fitted.
+    # At most classes x metrics rows, written so that the planner sees how few.
     before = score(base).select(*key, stacked).withColumnRenamed("v", "v0")
     after = score(moved, ["taxon"]).select("taxon", *key, stacked)
-    return after.join(F.broadcast(before), [*key, "metric"]).select(
+    return after.join(materialise(before), [*key, "metric"]).select(
         "taxon", *key, "metric", (F.col("v0") - F.col("v")).alias("effect")
     )
 

@@ -616,3 +616,49 @@ def elbow_check(spark, sf):
         F.count(F.lit(1)).alias("n"), F.max("inertia").alias("top"), F.max_by("inertia", -F.col("k")).alias("first"), F.min_by("inertia", -F.col("k")).alias("last")
     )
     return ends.select("n", (F.col("last") < F.col("first")).alias("falls"), (F.col("top") == total).alias("first_is_total"))
+
+
+def _centroid_effects(spark, sf, by_class=False):
+    model, counts, test = _centroid_model(spark, sf)
+    rows = le.fit_table(counts, test, model.taxa, model.labels)[0]
+    return ex.perturbation(model, rows, by_class=by_class).withColumn("effect", r6("effect"))
+
+
+@query(
+    "centroid_importance",
+    sql("SELECT taxon, ROUND(effect * 100, 6) + 0 AS effect FROM t_effects WHERE metric = 'accuracy'", "t_effects"),
+)
+def centroid_importance(spark, sf):
+    model, counts, test = _centroid_model(spark, sf)
+    rows = le.fit_table(counts, test, model.taxa, model.labels)[0]
+    return ex.permutation_importance(model, rows).withColumn("effect", r6("effect"))
+
+
+@query("centroid_perturbation", sql("SELECT taxon, metric, ROUND(effect, 6) + 0 AS effect FROM t_effects", "t_effects"))
+def centroid_perturbation(spark, sf):
+    return _centroid_effects(spark, sf)
+
+
+@query(
+    "centroid_perturbation_by_class",
+    sql(
+        """, k AS (SELECT taxon, truth AS HC_subCST, AVG((truth = guess)::INTEGER) AS r FROM t_all_pairs GROUP BY 1, 2),
+             m AS (SELECT taxon, HC_subCST, r AS recall, r AS accuracy, (r > 0)::INTEGER::DOUBLE AS precision, 2 * r / (1 + r) AS f1 FROM k),
+             u AS (UNPIVOT m ON f1, recall, precision, accuracy INTO NAME metric VALUE v)
+           SELECT a.taxon, a.HC_subCST, a.metric, ROUND(b.v - a.v, 6) + 0 AS effect FROM u a
+           JOIN u b ON b.taxon = '' AND a.taxon <> '' AND a.metric = b.metric AND a.HC_subCST = b.HC_subCST""",
+        "t_all_pairs",
+    ),
+)
+def centroid_perturbation_by_class(spark, sf):
+    return _centroid_effects(spark, sf, by_class=True)
+
+
+@query("centroid_simplified", sql("SELECT sampleID, subCST, ROUND(score, 6) + 0 AS score FROM s_guess", "s_guess"))
+def centroid_simplified(spark, sf):
+    """Class means of the taxa whose permutation does not help."""
+    model, counts, test = _centroid_model(spark, sf)
+    train = splits(spark, sf)[0]
+    small, _ = wf.fit_simplified(model, counts, train, (counts, test), threshold=-1e-7)
+    scored = le.classify(small, counts, test.select("sampleID"))
+    return scored.select("sampleID", "subCST", r6(F.array_max("scores")).alias("score"))

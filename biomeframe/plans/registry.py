@@ -133,6 +133,52 @@ PARTS["focus_features"] = """
     SELECT s.sampleID, t.taxon, COALESCE(v.value, 0.0::DOUBLE) AS x
     FROM samples s CROSS JOIN (SELECT DISTINCT taxon FROM focus_shares) t
     LEFT JOIN focus_shares v ON v.sampleID = s.sampleID AND v.taxon = t.taxon"""
+PARTS |= {
+    # Every feature moved on its own: the sample at place p has the value of place p - b.
+    "t_places": "SELECT sampleID, ROW_NUMBER() OVER (ORDER BY md5('0|' || sampleID), sampleID) - 1 AS p, COUNT(*) OVER () AS n FROM test",
+    "t_moves": """
+        SELECT taxon, CASE WHEN n > 1 THEN 1 + ('0x' || substr(md5('0|' || f), 1, 13))::BIGINT % (n - 1) ELSE 0 END AS b
+        FROM (SELECT taxon, ROW_NUMBER() OVER (ORDER BY lower(taxon)) - 1 AS f FROM taxa), (SELECT COUNT(*) AS n FROM test)""",
+    "t_moved": """
+        SELECT a.sampleID, m.taxon, o.x AS x2, s.x AS x1 FROM t_places a CROSS JOIN t_moves m
+        JOIN t_places q ON q.p = (a.p - m.b + a.n) % a.n
+        JOIN plain_features o ON o.sampleID = q.sampleID AND o.taxon = m.taxon
+        JOIN plain_features s ON s.sampleID = a.sampleID AND s.taxon = m.taxon""",
+    "t_moved_guess": """
+        SELECT taxon, sampleID, cls AS subCST FROM (
+            SELECT v.taxon, v.sampleID, k.cls, k.ab - v.x1 * m.c + v.x2 * m.c AS ab, k.aa - v.x1 * v.x1 + v.x2 * v.x2 AS aa, k.bb
+            FROM t_moved v JOIN t_means m ON m.taxon = v.taxon
+            JOIN (SELECT x.sampleID, m.cls, SUM(x.x * m.c) AS ab, SUM(x.x * x.x) AS aa, SUM(m.c * m.c) AS bb
+                  FROM plain_features x JOIN test s ON s.sampleID = x.sampleID JOIN t_means m ON m.taxon = x.taxon
+                  GROUP BY 1, 2) k ON k.sampleID = v.sampleID AND k.cls = m.cls)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY taxon, sampleID ORDER BY ab / (aa + bb - ab) DESC, cls) = 1""",
+    # Pairs of the unmoved table have no taxon.
+    "t_all_pairs": """
+        SELECT lower(g.taxon) AS taxon, s.HC_subCST AS truth, g.subCST AS guess FROM t_moved_guess g JOIN test s ON s.sampleID = g.sampleID
+        UNION ALL SELECT '', HC_subCST, subCST FROM t_pairs""",
+    "t_all_classes": """
+        SELECT taxon, c, support, CASE WHEN guessed > 0 THEN tp / guessed::DOUBLE ELSE 0 END AS p,
+               CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0 END AS r
+        FROM (SELECT taxon, c, SUM(s) AS support, SUM(g) AS guessed, SUM(h) AS tp FROM (
+                  SELECT taxon, truth AS c, 1 AS s, 0 AS g, (truth = guess)::INTEGER AS h FROM t_all_pairs
+                  UNION ALL SELECT taxon, guess, 0, 1, 0 FROM t_all_pairs) GROUP BY 1, 2)""",
+    "t_effects": """
+        SELECT a.taxon, a.metric, b.v - a.v AS effect
+        FROM (UNPIVOT t_scored ON f1, recall, precision, accuracy INTO NAME metric VALUE v) a
+        JOIN (UNPIVOT t_scored ON f1, recall, precision, accuracy INTO NAME metric VALUE v) b
+          ON b.taxon = '' AND a.taxon <> '' AND a.metric = b.metric""",
+    "t_scored": """
+        SELECT taxon, SUM(support * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / SUM(support) AS f1,
+               SUM(support * r) / SUM(support) AS recall, SUM(support * p) / SUM(support) AS precision,
+               SUM(support * r) / SUM(support) AS accuracy FROM t_all_classes GROUP BY 1""",
+    "s_taxa": "SELECT taxon FROM t_effects WHERE metric = 'accuracy' AND effect > -1e-9",
+    "s_shares": """
+        SELECT sampleID, lower(taxon) AS taxon, count / SUM(count) OVER (PARTITION BY sampleID) AS value FROM counts
+        WHERE lower(taxon) IN (SELECT taxon FROM s_taxa)""",
+    "s_features": """
+        SELECT s.sampleID, t.taxon, COALESCE(v.value, 0.0::DOUBLE) AS x FROM samples s CROSS JOIN s_taxa t
+        LEFT JOIN s_shares v ON v.sampleID = s.sampleID AND v.taxon = t.taxon""",
+} | _nearest("s", "s_features")
 PARTS["t_universe"] = PARTS["universe"].replace("cells", "t_cells")
 PARTS["t_per_class"] = PARTS["per_class"].replace("cells", "t_cells")
 
@@ -151,6 +197,11 @@ NEEDS = {
     "scaled_features": ["full_shares", "train_moments"],
     "t_means": ["plain_features", "train"], "t_theta": ["t_means", "test"], "t_guess": ["t_theta"],
     "z_means": ["scaled_features", "train"], "z_theta": ["z_means", "test"], "z_guess": ["z_theta"],
+    "t_places": ["test"], "t_moves": ["taxa", "test"], "t_moved": ["t_places", "t_moves", "plain_features"],
+    "t_moved_guess": ["t_moved", "t_means", "test"], "t_all_pairs": ["t_moved_guess", "t_pairs"],
+    "t_all_classes": ["t_all_pairs"], "t_scored": ["t_all_classes"], "t_effects": ["t_scored"],
+    "s_taxa": ["t_effects"], "s_shares": ["counts", "s_taxa"], "s_features": ["samples", "s_shares"],
+    "s_means": ["s_features", "train"], "s_theta": ["s_means", "test"], "s_guess": ["s_theta"],
     "focus_shares": ["counts"], "focus_features": ["samples", "focus_shares"],
     "f_means": ["focus_features", "train"], "f_theta": ["f_means", "test"], "f_guess": ["f_theta"],
     "t_pairs": ["test", "t_guess"], "t_cells": ["t_pairs"], "t_universe": ["t_cells"], "t_per_class": ["t_cells"],
