@@ -24,7 +24,7 @@ Defined results: documents without a word have an empty set, link with nothing a
 their own component; fewer words than n make one n-gram of the whole sequence; null
 ids belong to no component and link nothing; each row is a document, and
 rows of one id are in the component of all of them only if their texts link; n-grams and sets are compared by
-64-bit hashes; only id and text are read, so other columns cannot clash; an empty
+64-bit hashes; a very long text is one row of hashes; 100 * shared = percent * joint links; only id and text are read, so other columns cannot clash; an empty
 table gives no rows.
 """
 

@@ -13,7 +13,8 @@ language, chosen by a hash of id and text. Prediction reads every whole text.
 
 Defined results: null text, or text without a letter, gives ``und`` and score 0, and so
 does everything if no row has a language; with one language all others give it with
-score 1; rows are predicted one by one, so repeated rows agree; only id and text
+score 1; rows are predicted one by one, so repeated rows agree; whole texts count, however
+long; of languages at equal distance the first by name is given; only id and text
 are read (training: the language too), so other columns cannot clash; an empty
 table gives no rows.
 """

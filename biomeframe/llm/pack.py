@@ -8,7 +8,8 @@ Pools are bounded, so a task's memory does not depend on its input, nothing is
 shuffled, and a lost task is simply run again.
 
 Defined results: null text is the empty text (one end id); repeated rows are
-packed once per row; an empty table gives no pieces; only the id and the text
+packed once per row; a very long text is cut at every full window; of equal remainders the one
+put into the pool last is taken first; an empty table gives no pieces; only the id and the text
 column are read, so other columns cannot clash.
 """
 

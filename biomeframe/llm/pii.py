@@ -18,7 +18,7 @@ Texts are read once; what is written and joined are spans and mentions.
 Defined results: null text is the empty text without spans; offsets count code
 points, ends are exclusive; each row is a document, so repeated rows each get their
 spans, while the graph counts distinct instances; ties between kinds go to the
-first of ``KINDS``; only id and text are read, so other columns cannot clash; an
+first of ``KINDS``; whole texts are searched, however long; only id and text are read, so other columns cannot clash; an
 empty table gives no rows.
 """
 

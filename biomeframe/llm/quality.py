@@ -10,7 +10,8 @@ overconfident.
 
 Defined results: null text is the empty text, and empty texts get a score like all
 others; a label given more than once counts by its mean, at least one half being
-1; null labels are left out; with only one label in the training rows its share
+1; null labels are left out; whole texts count, however long; a score of exactly the
+threshold counts as label 1; with only one label in the training rows its share
 (1 or 0) is the score of all, with none 0.5; rows are scored one by one, so repeated
 rows agree; only id and text are read, so other columns cannot clash; an empty
 table gives no rows.

@@ -537,3 +537,76 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     want = con.execute(sql.LINES).fetchall()
     key = lambda r: str(tuple(r))
     assert sorted(map(key, got)) == sorted(map(key, want)) and sum(r["n_dropped"] for r in got) == 11
+
+
+# ---------------------------------------------------------------- decoding and graph scores by brute force
+
+
+def test_decoding_equals_a_search_for_the_nearest_codeword():
+    rng = np.random.default_rng(11)
+    for languages in (2, 3, 5):
+        bits = 2 ** (languages - 1) - 1
+        codes = np.where(rng.random((languages, bits)) < 0.5, -1, 1)
+        codes[0] = -codes[1]
+        model = language.Model([f"l{i}" for i in range(languages)], codes, rng.normal(size=(6, bits)), rng.random(bits))
+        x = rng.normal(size=(40, 6))
+        got, score, close = language.decode(model, x)
+        for row, best, share, unsure in zip(x, got, score, close, strict=True):
+            losses = []
+            for code in codes:
+                loss = 0.0
+                for j in range(bits):
+                    margin = language.SCALE * sum(row[f] * model.weights[f, j] for f in range(6))
+                    loss += model.trust[j] * np.log1p(np.exp(-margin * code[j]))
+                losses.append(loss)
+            shares = [1 / sum(np.exp(a - b) for b in losses) for a in losses]
+            assert shares[best] == pytest.approx(max(shares)) and share == pytest.approx(max(shares))
+            assert best == min(i for i, s in enumerate(shares) if s == pytest.approx(max(shares)))
+            assert unsure == (sorted(shares)[-2] > language.AMBIGUOUS * max(shares))
+
+
+def brute_bootstrap(edges, min_support, min_context, min_instance):
+    seeds = {(i, k) for _, i, k in edges if k}
+    members = defaultdict(set)
+    for context, instance, _ in edges:
+        members[context].add(instance)
+    wide = {c for c, m in members.items() if len(m) >= min_support}
+    unseen = {i for _, i, _ in edges} - {i for i, _ in seeds}
+    found = {}
+    while True:
+        scores = dict.fromkeys(seeds, 1.0) | found
+        sure = {}
+        for c in wide:
+            for k in {k for _, k in scores}:
+                total = sum(s for (i, kind), s in scores.items() if kind == k and i in members[c])
+                if total >= min_support and total / (len(members[c]) + 1) >= min_context:
+                    sure[c, k] = total / (len(members[c]) + 1)
+        new = {}
+        for i in unseen:
+            for k in {k for _, k in sure}:
+                miss = [1 - p for (c, kind), p in sure.items() if kind == k and i in members[c]]
+                if miss:
+                    new[i, k] = 1 - np.prod(miss)
+        still = all(s - found.get(x, 0.0) <= pii.STILL for x, s in new.items())
+        found = new
+        if still:
+            break
+    best = {}
+    for (i, k), s in found.items():
+        if s >= min_instance:
+            best[i] = max(best.get(i, (0.0, 0, "")), (round(s, 12), -pii.KINDS.index(k), k))
+    return {i: b[2] for i, b in best.items()}
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    accepted = 0
+    for _ in range(4):
+        kinds = {f"i{n}": str(rng.choice(pii.KINDS[:2])) if rng.random() < 0.5 else None for n in range(30)}
+        edges = {(f"c{rng.integers(0, 14)}", i, kinds[i]) for i in rng.choice(list(kinds), 130)}
+        table = spark.createDataFrame([tuple(map(lambda v: None if v is None else str(v), e)) for e in edges], "context string, instance string, kind string")
+        how = {"min_support": 2.0, "min_context": 0.3, "min_instance": 0.5}
+        got = {r["instance"]: r["kind"] for r in pii.bootstrapped(table, **how).collect()}
+        assert got == brute_bootstrap(edges, **how)
+        accepted += len(got)
+    assert accepted > 10
