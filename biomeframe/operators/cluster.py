@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -20,7 +22,7 @@ from biomeframe.functions.scores import ratio
 from biomeframe.operators.keyed import attach, hash_order
 from biomeframe.operators.normalize import PSEUDO
 from biomeframe.operators.vectors import arrays, index_labels, merged_shares, taxa_list, with_vector
-from biomeframe.session import concurrently, materialise
+from biomeframe.session import LARGE_ROWS, arrow_rows, concurrently, materialise
 
 BLOCK_ROWS = 2048
 LANDMARKS = 500
@@ -115,17 +117,97 @@ def _requests(rows: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
     return materialise(rows.mapInPandas(run, schema)), names, sizes
 
 
-def _pair_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums of the asking samples to one block of a cluster."""
-    left, right = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"sampleID": [], "cluster": [], "t": [], "s": []})
-    a, b = np.stack(left["features"].to_numpy()), np.stack(right["features"].to_numpy())
+def _packed(asked: DataFrame, sizes: np.ndarray, block_rows: int) -> DataFrame:
+    """Samples as blocks of at most ``block_rows`` rows of one cluster, written: own, block, part, ids, x (doubles),
+    mask (samples x clusters: which sums they need) and asks, the clusters that any of them needs."""
+    id_type, k = asked.schema["sampleID"].dataType.simpleString(), len(sizes)
+
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        out = []
+        for part, start in enumerate(range(0, group.num_rows, block_rows)):
+            rows = group.slice(start, block_rows).combine_chunks()
+            ids, x, targets = (rows.column(c).combine_chunks() for c in ("sampleID", "features", "targets"))
+            mask = np.zeros((len(rows), k), bool)
+            counts = np.diff(targets.offsets.to_numpy())
+            mask[np.repeat(np.arange(len(rows)), counts), targets.flatten().to_numpy()] = True
+            x = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float)
+            out.append((part, ids.to_pylist(), x.tobytes(), mask.tobytes(), np.flatnonzero(mask.any(0)).tolist()))
+        part, ids, x, mask, asks = zip(*out, strict=True)
+        return pa.table(
+            {
+                "own": pa.array([key[0].as_py()] * len(out), pa.int32()),
+                "block": pa.array([key[1].as_py()] * len(out), pa.int64()),
+                "part": pa.array(part, pa.int32()),
+                "ids": pa.array(ids, pa.list_(group.schema.field("sampleID").type)),
+                "x": pa.array(x, pa.binary()),
+                "mask": pa.array(mask, pa.binary()),
+                "asks": pa.array(asks, pa.list_(pa.int32())),
+            }
+        )
+
+    lanes = F.lit([max(1, math.ceil(n / block_rows)) for n in sizes] or [1])
+    lane = F.pmod(F.xxhash64("sampleID", "features"), F.get(lanes, F.col("own")).cast("long"))
+    rows = asked.select("sampleID", "features", "targets", "own", lane.alias("block"))
+    return materialise(
+        rows.groupBy("own", "block").applyInArrow(
+            pack, f"own int, block long, part int, ids array<{id_type}>, x binary, mask binary, asks array<int>"
+        ),
+        **LARGE_ROWS,
+    )
+
+
+def _distances(a: np.ndarray, b: np.ndarray, a_ids: pa.Array, b_ids: pa.Array) -> np.ndarray:
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    dist = np.sqrt(np.maximum(square, 0.0))
-    # A sample's distance to itself is zero, also after rounding.
-    dist[left["sampleID"].to_numpy()[:, None] == right["sampleID"].to_numpy()[None, :]] = 0.0
-    return pd.DataFrame({"sampleID": left["sampleID"], "cluster": left["cluster"], "t": left["t"], "s": dist.sum(1)})
+    dist = np.sqrt(np.maximum(square, 0.0, out=square), out=square)
+    known = a_ids.unique().drop_null()
+    there = pc.index_in(b_ids, known).fill_null(-2).to_numpy(zero_copy_only=False)
+    if (there >= 0).any():
+        # A sample's distance to itself is zero, also after rounding.
+        here = pc.index_in(a_ids, known).fill_null(-1).to_numpy(zero_copy_only=False)
+        dist[here[:, None] == there[None, :]] = 0.0
+    return dist
+
+
+def _block_sums(blocks: DataFrame, n_clusters: int) -> DataFrame:
+    """sampleID, own, t and the distance sum s of every sample to the members of each cluster t that it needs.
+
+    Every block meets those of the clusters that it asks for. Blocks are read, not shuffled, as often as they meet others;
+    what is shuffled are sums, added up per block while its pairs pass.
+    """
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    left = blocks.select("own", "block", "part", "ids", "x", "mask", "asks")
+    right = blocks.select(F.col("own").alias("t"), F.col("ids").alias("t_ids"), F.col("x").alias("t_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sums, mask = None, None, {}, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for t, s in sums.items():
+                need = np.flatnonzero(mask[:, t])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(need)), pa.array(np.full(len(need), at[0], np.int32)), pa.array(np.full(len(need), t, np.int32)), pa.array(s)],
+                    names=["sampleID", "own", "t", "s"],
+                )
+
+        for batch in batches:
+            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                me = tuple(c[name][i].as_py() for name in ("own", "block", "part"))
+                if me != at:
+                    yield from done()
+                    at, ids, sums = me, c["ids"][i].values, {}
+                    mask = np.frombuffer(c["mask"][i].as_py(), bool).reshape(len(ids), n_clusters)
+                    x = np.frombuffer(c["x"][i].as_py(), float).reshape(len(ids), -1)
+                t, t_ids = c["t"][i].as_py(), c["t_ids"][i].values
+                need = np.flatnonzero(mask[:, t])
+                other = np.frombuffer(c["t_x"][i].as_py(), float).reshape(len(t_ids), -1)
+                sums[t] = sums.get(t, 0.0) + _distances(x[need], other, ids.take(pa.array(need)), t_ids).sum(1)
+        yield from done()
+
+    pairs = left.join(right, F.array_contains("asks", F.col("t"))).drop("asks")
+    # A pair of blocks at a time between Spark and its Python workers.
+    with arrow_rows(blocks.sparkSession, 1):
+        return materialise(pairs.mapInArrow(run, f"sampleID {id_type}, own int, t int, s double").groupBy("sampleID", "own", "t").agg(F.sum("s").alias("s")))
 
 
 def _keyed(rows: DataFrame, cluster: str) -> DataFrame:
@@ -136,33 +218,17 @@ def silhouette_samples(rows: DataFrame, cluster: str = "HC_subCST", block_rows:
     """Exact Euclidean silhouette per sample.
 
     Bounds from the clusters' centres and spreads tell which clusters can be nearest (:func:`needed_clusters`);
-    only to those, and to its own, a sample's distances are summed. Samples that ask for a cluster meet its
-    members block by block; a task holds two blocks and returns one sum per sample. The work is quadratic where
-    clusters overlap, as the measure is; :func:`silhouette_work` tells how much of it the bounds save, and
-    ``silhouette`` with ``exact=False`` is linear.
+    only to those, and to its own, a sample's distances are summed. Samples lie in blocks, which are shuffled
+    once; each meets the blocks of the clusters that its samples ask for (:func:`_block_sums`), and a task
+    holds two of them at a time. The work is quadratic where clusters overlap, as the measure is, what is written and
+    shuffled is not; :func:`silhouette_work` tells how much of the work the bounds save, and ``silhouette`` with
+    ``exact=False`` is linear.
     """
-    keyed = _keyed(rows, cluster)
-    id_type = rows.schema["sampleID"].dataType.simpleString()
-    asked, names, sizes = _requests(keyed)
-    by_target = dict(asked.select(F.explode("targets").alias("t")).groupBy("t").count().collect())
-    members = F.lit([max(1, math.ceil(n / block_rows)) for n in sizes] or [1])
-    lanes = F.lit([max(1, math.ceil(by_target.get(i, 0) / block_rows)) for i in range(len(names))] or [1])
-    h = F.xxhash64("sampleID")
-    place = lambda counts, i: F.pmod(h, F.get(counts, i).cast("long")).cast("int")
-    every = lambda counts, i: F.explode(F.sequence(F.lit(0), F.get(counts, i) - 1))
-    columns = ("sampleID", "cluster", "features")
-    asking = asked.select(*columns, F.explode("targets").alias("t")).select(
-        *columns, "t", every(members, F.col("t")).alias("i"), place(lanes, F.col("t")).alias("j"), F.lit(True).alias("asks")
-    )
-    inside = asked.select(
-        *columns, F.col("own").alias("t"), place(members, F.col("own")).alias("i"), every(lanes, F.col("own")).alias("j"), F.lit(False).alias("asks")
-    )
-    parts = asking.unionByName(inside).groupBy("t", "i", "j").applyInPandas(
-        _pair_sums, f"sampleID {id_type}, cluster string, t int, s double"
-    )
-    sums = parts.groupBy("sampleID", "cluster", "t").agg(F.sum("s").alias("s"))
+    asked, names, sizes = _requests(_keyed(rows, cluster))
+    sums = _block_sums(_packed(asked, sizes, block_rows), len(names))
+    sums = sums.withColumn("cluster", F.get(F.lit(names or [""]), F.col("own")))
     size = F.get(F.lit([float(n) for n in sizes] or [0.0]), F.col("t"))
-    own = F.col("cluster") == F.get(F.lit(names or [""]), F.col("t"))
+    own = F.col("own") == F.col("t")
     per_sample = sums.groupBy("sampleID", "cluster").agg(
         F.max(F.when(own & (size > 1), F.col("s") / (size - 1))).alias("a"),
         F.min(F.when(~own, F.col("s") / size)).alias("b"),
@@ -207,7 +273,9 @@ def silhouette(rows: DataFrame, ks: range = range(2, 10), exact: bool = True, se
         found.unpersist()
         return k, value
 
-    return rows.sparkSession.createDataFrame(concurrently(mean, ks), "k int, silhouette double")
+    # Exact ones take the whole cluster each, and set the batches of their session.
+    found = concurrently(mean, ks, threads=1 if exact else 4)
+    return rows.sparkSession.createDataFrame(found, "k int, silhouette double")
 
 
 def coords(rows: DataFrame, keep: list[str] = ("sampleID",)) -> DataFrame:

@@ -198,6 +198,28 @@ def test_silhouette_over_several_blocks(spark):
     assert sizes == {"a": 70, "b": 30, "c": 1}
 
 
+def test_silhouette_blocks_hold_every_sample_once(spark):
+    """What is shuffled are the samples and sums; as blocks get smaller, samples are not copied more often."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 90 if i else None, f"c{i % 3}", rng.normal(size=2).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "sampleID long, cluster string, features array<double>")
+    asked, names, sizes = cl._requests(df)
+    blocks = cl._packed(asked, sizes, 10)
+    found = [r for r in blocks.collect()]
+    assert max(len(r["ids"]) for r in found) <= 10
+    assert sorted(map(str, (i for r in found for i in r["ids"]))) == sorted(str(r[0]) for r in rows)
+    sums = cl._block_sums(blocks, len(names))
+    x, ids, own = np.array([r[2] for r in rows]), np.array([-1 if r[0] is None else r[0] for r in rows]), np.arange(100) % 3
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) * (ids[:, None] != ids[None])
+    want = {}
+    for i in range(100):
+        for t in range(3):
+            key = (rows[i][0], int(own[i]), t)
+            want[key] = want.get(key, 0.0) + dist[i, own == t].sum()
+    got = {(r["sampleID"], r["own"], r["t"]): r["s"] for r in sums.collect()}
+    assert got == pytest.approx({k: want[k] for k in got}, abs=1e-6) and len(got) >= 2 * 90
+
+
 def test_silhouette_bounds_skip_clusters_that_cannot_be_nearest(spark):
     rng = np.random.default_rng(6)
     # Four clusters on a line: of the others only the neighbours can be nearest.
