@@ -52,10 +52,12 @@ def evaluate(model: Classifier, counts: DataFrame, samples: DataFrame, seed: int
 
 
 def important_taxa(importance: DataFrame, threshold: float = 0.5, absolute: bool = False) -> list[str]:
-    """Taxa whose accuracy drop reaches the threshold in percent points."""
+    """Taxa whose accuracy drop reaches the threshold in percent points; if none does, those of the largest drop."""
     effect = F.abs("effect") if absolute else F.col("effect")
     # At most one row per feature of the model.
-    return sorted(r["taxon"] for r in importance.filter(effect >= threshold).select("taxon").collect())
+    effects = {r["taxon"]: r["e"] for r in importance.select("taxon", effect.alias("e")).collect() if r["e"] is not None}
+    least = min(threshold, max(effects.values(), default=threshold))
+    return sorted(t for t, e in effects.items() if e >= least)
 
 
 def fit_focus(
@@ -87,12 +89,15 @@ def fit_simplified(
     seed: int = 0,
     **options: Any,
 ) -> tuple[Classifier, DataFrame]:
-    """Refit on the taxa whose permutation costs at least ``threshold`` percent points."""
+    """Refit on the taxa whose permutation costs at least ``threshold`` percent points, or the most where none does.
+
+    With many samples and features that stand in for one another no single taxon may reach the threshold.
+    """
     held = fit_table(*test, model.taxa, model.labels, model.norm, model.regex_remove, model.scaling)[0]
     importance = materialise(permutation_importance(model, held, seed))
     taxa = important_taxa(importance, threshold)
     if not taxa:
-        raise ValueError("no taxon reaches the importance threshold")
+        raise ValueError("no taxon has an importance")
     return fit_focus(counts, train, taxa, test, norm=model.norm, kind=model.kind, **options), importance
 
 

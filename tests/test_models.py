@@ -137,6 +137,15 @@ def test_importance_finds_the_marker_taxa(community, halves, linear):
     assert {t: 100 * e for t, e in whole.items()} == pytest.approx(effects)
 
 
+def test_simplified_model_without_a_taxon_at_the_threshold(spark, community, halves, linear):
+    train, test = halves
+    effects = spark.createDataFrame([("a", 0.2), ("b", -0.9), ("c", 0.2), ("d", None)], "taxon string, effect double")
+    assert wf.important_taxa(effects) == ["a", "c"] and wf.important_taxa(effects, absolute=True) == ["b"]
+    assert wf.important_taxa(effects, 0.1) == ["a", "c"] and wf.important_taxa(effects.limit(0)) == []
+    small, importance = wf.fit_simplified(linear, community[0], train, (community[0], test), threshold=101.0, maxIter=5)
+    assert small.taxa == wf.important_taxa(importance, importance.agg(F.max("effect")).first()[0])
+
+
 def test_simplified_focus_best_and_grid(community, halves, linear):
     train, test = halves
     small, _ = wf.fit_simplified(linear, community[0], train, (community[0], test), threshold=5.0, maxIter=20)
