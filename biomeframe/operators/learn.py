@@ -287,7 +287,9 @@ def fit_best(
     train: DataFrame, test: DataFrame, taxa: list[str], labels: list[str], seeds: list[int], **options: Any
 ) -> tuple[Classifier, DataFrame]:
     """One fit per seed; the first with the highest held-out accuracy, and all results."""
-    train, test = materialise(train), materialise(test)
+    same = test is train
+    train = materialise(train)
+    test = train if same else materialise(test)
     models = concurrently(lambda s: fit_rows(train, taxa, labels, seed=s, **options), seeds)
     scores = [held_out_accuracy(m, test) for m in models]
     best = scores.index(max(scores))

@@ -109,11 +109,14 @@ def transfer_labels(
     seed: int = 0,
     **options: Any,
 ) -> tuple[DataFrame, Classifier]:
-    """Label a new cohort by a model on the shared taxa, split it, and fit its own model."""
+    """Label a new cohort by a model on the shared taxa, split it, and fit its own model.
+
+    The labels and the split are written, one row per sample: the split and the fit read them several times.
+    """
     shared = names_on_driver(common_taxa(ref_counts, new_counts))
     focus = fit_focus(ref_counts, ref_samples, shared, **options)
-    labelled = classify(focus, new_counts).select("sampleID", F.col("subCST").alias("HC_subCST"))
-    splits = stratified_split(labelled, train, seed=seed)
+    labelled = materialise(classify(focus, new_counts).select("sampleID", F.col("subCST").alias("HC_subCST")))
+    splits = materialise(stratified_split(labelled, train, seed=seed))
     own = fit(new_counts, splits.filter(F.col("split") == "train"), **options)
     return splits, own
 

@@ -174,6 +174,9 @@ def test_workflows(community, halves):
     splits, own = wf.transfer_labels(counts.filter("sampleID < 90"), samples.filter("sampleID < 90"), new, kind="linear", maxIter=20)
     truth = samples.withColumnRenamed("HC_subCST", "t").join(splits, "sampleID")
     assert splits.count() == 60 and truth.filter("t = HC_subCST").count() > 54 and len(own.taxa) == 5
+    # What the caller gets is stored: reading it classifies nothing anew.
+    plan = splits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "Join" not in plan and "Project" not in plan
     found, gates, panel = wf.discover_classes(counts, 3, kind="linear", maxIter=20)
     assert {r[0] for r in found.select("HC_subCST").distinct().collect()} == {"CST0", "CST1", "CST2"}
     assert gates.count() == 6 and panel.count() == 2
