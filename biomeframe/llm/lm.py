@@ -36,13 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biomeframe.llm.common import arrow_rows
-from biomeframe.session import materialise
+from biomeframe.session import LARGE_ROWS, materialise
 
 ORDER, STRENGTH = 2, 200.0
 # Sizes that bound a task's memory: an automaton takes about 250 bytes per n-gram of a block, a shard 100 per key.
-BLOCK_TOKENS = 400_000
-SHARD_KEYS = 1_000_000
-BATCH_TEXTS = 512
+BLOCK_TOKENS = 64_000
+SHARD_KEYS = 2_000_000
+BATCH_TEXTS, BATCH_BLOCKS = 512, 8
 END, START = 0, 1
 BITS = 32
 
@@ -117,6 +117,8 @@ def coded(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                 pa.array([int(lengths.sum())], pa.int64()),
             ]
             made += 1
+            # The dictionary and its factory hold each other: without this all words stay until a garbage collection.
+            local.default_factory = None
             names = ["block", "ids", "training", "lengths", "tokens", "words", "train_tokens", "n_tokens"]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -331,13 +333,13 @@ def score(
         f"doc_id {id_type}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     with arrow_rows(spark, BATCH_TEXTS):
-        blocks = materialise(coded(rows, block_tokens))
+        blocks = materialise(coded(rows, block_tokens), **LARGE_ROWS)
     size = blocks.agg(F.sum("n_tokens").alias("all"), F.sum("train_tokens").alias("train")).first()
     if not size["all"]:
         return spark.createDataFrame([], schema)
     shards = max(1, -(-size["all"] * order // shard_keys))
-    # One block at a time between Spark and its Python workers.
-    with arrow_rows(spark, 1):
+    # Few blocks, or requests of blocks, at a time between Spark and its Python workers.
+    with arrow_rows(spark, BATCH_BLOCKS):
         requests = asked(blocks, order, shards)
         told = materialise(
             requests.groupBy("shard").applyInArrow(_answers, "block long, m long, shard long, totals binary, types long")

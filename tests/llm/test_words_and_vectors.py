@@ -1,11 +1,14 @@
 """Spelling variants, the backoff automaton and whitening against brute force."""
 
+import gc
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +175,25 @@ def test_scores_equal_brute_force(spark, order):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
 
 
+def test_coding_keeps_one_dictionary(monkeypatch):
+    """A block's words go when it is done, without waiting for a garbage collection."""
+    docs = mock.MagicMock()
+    monkeypatch.setattr(lm, "F", mock.MagicMock())
+    monkeypatch.setattr(lm, "TaskContext", mock.MagicMock(**{"get.return_value.partitionId.return_value": 2}))
+    lm.coded(docs, 5)
+    run = docs.select.return_value.mapInArrow.call_args[0][0]
+    texts = [f"a{i} b{i} c{i} d".encode() for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "training": [True] * 40, "text": texts})
+    gc.collect()
+    gc.disable()
+    try:
+        blocks = [b.column("block")[0].as_py() for b in run(iter([batch]))]
+        held = [x for x in gc.get_objects() if isinstance(x, defaultdict) and b"a7" in x]
+    finally:
+        gc.enable()
+    assert blocks == [(2 << 32) + i for i in range(40)] and held == []
+
+
 def test_probabilities_add_up(spark):
     """Over all words and one unknown, what follows any history has probability one."""
     rows = [(i, t) for i, t in enumerate(["a b a b c", "b b a", "c a", "", "a c c b"] * 3)]
