@@ -40,9 +40,9 @@ from biomeframe.session import LARGE_ROWS, materialise
 
 ORDER, STRENGTH = 2, 200.0
 # Sizes that bound a task's memory: an automaton takes about 250 bytes per n-gram of a block, a shard 100 per key.
-BLOCK_TOKENS = 64_000
-SHARD_KEYS = 2_000_000
-BATCH_TEXTS, BATCH_BLOCKS = 512, 8
+BLOCK_TOKENS = 200_000
+SHARD_KEYS = 1_000_000
+BATCH_TEXTS, BATCH_BLOCKS = 512, 4
 END, START = 0, 1
 BITS = 32
 
