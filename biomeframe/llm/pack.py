@@ -15,12 +15,15 @@ column are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from array import array
+import os
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +32,55 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 WINDOW = 2048
 POOL_TOKENS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
-# Words kept per Python worker; a full cache is emptied.
-CACHED_WORDS = 400_000
+# Bytes of text whose distinct words are looked for together.
+SLICE = 16_000_000
+# Bytes of parts of words and their ids kept per Python worker; a full store is emptied.
+KNOWN_BYTES = 24_000_000
+# Parts of words per call of the tokenizer.
+CALL = 20_000
+# White space other than blanks.
+SPACES = r"[\x09-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# Words whose lower case or composition may not be that of single characters.
+WIDE = r"[^\x00-\x{24f}]|İ"
+# The vocabulary's parts of a word other than runs of letters.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+class Remembered:
+    """The ids that ``make`` gives for distinct keys, made once and kept up to KNOWN_BYTES. An empty key has none."""
+
+    def __init__(self, make: Callable[[pa.Array], pa.Array]):
+        self.make = make
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
+
+    def __call__(self, keys: pa.Array) -> pa.Array:
+        at = pc.index_in(keys, value_set=self.keys)
+        new = at.is_null()
+        fresh = keys.filter(new)
+        ids = pa.concat_arrays([self.ids, self.make(fresh)])
+        out = ids.take(pc.replace_with_mask(at, new, pa.array(np.arange(len(self.keys), len(ids)), pa.int32())))
+        self.keys, self.ids = pa.concat_arrays([self.keys, fresh]), ids
+        if self.keys.nbytes + self.ids.nbytes > KNOWN_BYTES:
+            self.forget()
+        return out
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space separated words as little-endian uint32 bytes.
 
     The vocabulary's own splitting never crosses white space, so a text's ids
-    are those of its words. Words of Latin letters go straight to the merge
-    table; all others take the whole tokenizer.
+    are those of its words. Arrow finds the distinct words of many texts and cuts
+    them into the vocabulary's parts; only distinct parts go to the merge table, many in
+    one call. Words with other than Latin letters take the whole tokenizer.
     """
 
     def __init__(self, path: str | None):
-        import regex
-        from tokenizers import Tokenizer
+        # Spark deals the cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -51,46 +88,93 @@ class WordIds(dict):
             path = public_tokenizers.path(VOCABULARY)
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.known: dict[str, bytes] = {}
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        # Printable bytes stand for themselves, the others for code points from 256 on.
+        # The same merges for parts between blanks. Printable bytes stand for themselves, the others for code points from 256 on.
+        self.merges = Tokenizer(self.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() or (max(word) < "ɐ" and "İ" not in word):
-            out = self.merged(word.lower())
-        else:
-            out = self.encoded(word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = out
-        return out
-
-    def merged(self, word: str) -> bytes:
-        if word.isalpha():
-            return self.part(word)
-        return b"".join(map(self.part, self.parts.findall(word)))
-
-    def part(self, part: str) -> bytes:
-        out = self.known.get(part)
-        if out is None:
-            plain = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
-            out = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[part] = out
-        return out
+        rest = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)} | {32: " "}
+        self.letters = "".join(rest.get(b, chr(b)) for b in range(256))
+        # The last token of a part bears the suffix, and no other: parts hold no "<" beside a letter.
+        vocabulary, suffix = self.whole.get_vocab(), self.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.part_ids = Remembered(self.merged)
+        self.wide_ids = Remembered(lambda words: pa.array([self.encoded(w) for w in words.to_pylist()], pa.large_binary()))
+
+    def merged(self, parts: pa.Array) -> pa.Array:
+        made = [pa.array([], pa.large_binary())]
+        for start in range(0, len(parts), CALL):
+            some, _ = charmap_decode(" ".join(parts[start : start + CALL].to_pylist()).encode(), "strict", self.letters)
+            (found,) = self.merges.encode_batch_fast([some], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != some.count(" ") + 1:
+                # A vocabulary without a suffix does not tell where a part ends.
+                each = [[t.id for t in self.model.tokenize(part)] for part in some.split(" ")]
+                ids, ends = np.array([i for e in each for i in e], "<u4"), np.cumsum([len(e) for e in each])
+            made.append(binary(np.concatenate([[0], ends]) * 4, pa.py_buffer(ids)))
+        return pa.concat_arrays(made)
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def of_words(self, words: pa.Array) -> pa.Array:
+        words = words.cast(pa.large_string())
+        wide = pc.match_substring_regex(words, WIDE)
+        lower = pc.utf8_lower(pc.if_else(wide, "", words))
+        out = joined(lists_of(pc.replace_substring_regex(lower, PARTS, r" \0 "), self.part_ids))
+        if pc.any(wide).as_py():
+            out = pc.replace_with_mask(out, wide, self.wide_ids(words.filter(wide)))
+        return out
+
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; a null one has none."""
+        texts = texts.fill_null("")
+        # Texts that may hold special strings.
+        whole = pc.match_substring(texts, "<|")
+        ids = joined(lists_of(pc.replace_substring_regex(pc.if_else(whole, "", texts), SPACES, " "), self.of_words))
+        for i, alone in enumerate(whole.to_pylist()):
+            yield self.encoded(texts[i].as_py()) if alone else ids[i].as_py()
+
     def of(self, text: str) -> bytes:
-        # Special strings and separators that only Python takes for white space.
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return next(self.of_texts(pa.array([text])))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str | None) -> WordIds:
+    """One per Python worker: its next tasks go on with the vocabulary and the parts it knows."""
+    return WordIds(path)
+
+
+def lists_of(texts: pa.Array, ids_of: Callable[[pa.Array], pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """For the words between blanks of each text: where its words begin and end, and the ids of all words."""
+    # Not utf8_split_whitespace: it reads on behind the last text and at times leaves that one's blanks.
+    words = pc.split_pattern(texts, " ")
+    coded = words.values.dictionary_encode()
+    return words.offsets.to_numpy(), ids_of(coded.dictionary).take(coded.indices)
+
+
+def joined(lists: tuple[np.ndarray, pa.Array]) -> pa.Array:
+    """The ids of each text in one piece: those of its words follow one another as they are."""
+    offsets, ids = lists
+    _, ends, data = ids.buffers()
+    return binary(np.frombuffer(ends, "<i8", len(ids) + 1)[offsets] if len(ids) else offsets * 0, data)
+
+
+def binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    buffers = [None, pa.py_buffer(offsets.astype("<i8")), data]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text."""
+    total = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype("i8") + 1)
+    start = 0
+    while start < len(total):
+        before = total[start - 1] if start else 0
+        stop = max(int(np.searchsorted(total, before + size, "right")), start + 1)
+        yield start, stop
+        start = stop
 
 
 def best_fill(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
@@ -230,15 +314,18 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         kinds: list = []
 
         def texts() -> Iterator[tuple]:
             for batch in batches:
                 kinds[:] = [batch.schema.field(0).type]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield doc, words.of(text.as_py() or "") + end
+                docs, column = batch.columns
+                for start, stop in slices(column, SLICE):
+                    ids = words.of_texts(column[start:stop])
+                    for doc, found in zip(docs[start:stop].to_pylist(), ids, strict=True):
+                        yield doc, found + end
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
             types = [kinds[0], pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

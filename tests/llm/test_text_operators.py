@@ -158,6 +158,66 @@ def test_word_ids_equal_the_whole_tokenizer():
         assert words.of(text) == words.encoded(text), ascii(text)
 
 
+def word_texts():
+    """Texts of many words in many spellings, with every kind of white space at both ends and null, special and wide ones."""
+    rng = np.random.default_rng(31)
+    stems = ["".join(rng.choice(list("abcdeéßñ'.!1"), rng.integers(1, 7))) for _ in range(300)]
+    stems += ["don't", "İstanbul", "ΣΑΣ", "日本語", "“quoted”", "Ⱥb", "x\x1cy", "e\u0301", "</w>", "#</w>a"]
+    gaps = [" ", "  ", "\n", "\t\x0b", "\x85", "\xa0", "\u2003", "\u2028 ", "\u3000"]
+    texts = [None, "", " ", "\n.", ". ", "a<|endoftext|>b", "<|", "\u3000", "!\u3000"]
+    for _ in range(400):
+        words = [str(w).upper() if rng.random() < 0.3 else str(w) for w in rng.choice(stems, rng.integers(0, 40))]
+        texts.append("".join(w + str(rng.choice(gaps)) for w in words) + str(rng.choice(["", "z", "! "])))
+    return texts
+
+
+def test_word_ids_of_many_texts_make_each_part_once(monkeypatch):
+    texts, words = word_texts(), pack.WordIds(None)
+    made = []
+    make = words.part_ids.make
+    words.part_ids.make = lambda parts: made.extend(parts.to_pylist()) or make(parts)
+    expected = [words.encoded(t or "") for t in texts]
+    for kind in (pack.pa.string(), pack.pa.large_string()):
+        column = pack.pa.array(texts, kind)
+        found = [i for a, b in pack.slices(column, 2_000) for i in words.of_texts(column[a:b])]
+        assert found == expected
+    assert len(made) == len(set(made)) and "" not in made and len(made) > 200
+    known = len(words.part_ids.keys)
+    # A store that is full is emptied, and short calls change nothing.
+    monkeypatch.setattr(pack, "KNOWN_BYTES", 500)
+    monkeypatch.setattr(pack, "CALL", 3)
+    assert [i for a, b in pack.slices(column, 2_000) for i in words.of_texts(column[a:b])] == expected
+    more = pack.pa.array(["Unseen%s words" % chr(97 + i % 26) * 3 for i in range(40)])
+    assert list(words.of_texts(more)) == [words.encoded(t) for t in more.to_pylist()]
+    assert len(words.part_ids.keys) == 1 < known
+    assert [b - a for a, b in pack.slices(column, 1)] == [1] * len(texts) and not list(pack.slices(column[:0], 1))
+
+
+def test_blanks_at_the_end_of_the_last_text():
+    """What lies in memory behind the texts of a batch plays no part."""
+    words = pack.WordIds(None)
+    data = "on . \n".encode() + b"\xff\xfe\xff"
+    offsets = pack.np.array([0, 3, len(data) - 3], "<i4")
+    texts = pack.pa.StringArray.from_buffers(2, pack.pa.py_buffer(offsets), pack.pa.py_buffer(data))
+    assert list(words.of_texts(texts)) == [words.encoded("on "), words.encoded(". \n")]
+    behind = pack.pa.LargeStringArray.from_buffers(1, pack.pa.py_buffer(pack.np.array([0, 2], "<i8")), pack.pa.py_buffer(b". \xff\xff"))
+    assert pack.lists_of(behind, lambda w: w.cast(pack.pa.large_binary()))[1].to_pylist() == [b".", b""]
+
+
+def test_word_ids_of_a_vocabulary_without_suffix(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(pack.VOCABULARY), encoding="utf-8") as file:
+        vocabulary = json.load(file)
+    vocabulary["model"]["end_of_word_suffix"] = None
+    path = tmp_path / "plain.json"
+    path.write_text(json.dumps(vocabulary), encoding="utf-8")
+    words, texts = pack.WordIds(str(path)), word_texts()[:60]
+    assert list(words.of_texts(pack.pa.array(texts))) == [words.encoded(t or "") for t in texts]
+
+
 def test_equal_lengths_are_cut_to_fit():
     """A pool of one length cannot fill windows by whole pieces alone."""
     docs = [(i, bytes(4 * 1500)) for i in range(400)]
