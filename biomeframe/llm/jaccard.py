@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biomeframe.llm.common import arrow_rows
+from biomeframe.llm.common import arrow_rows, give_back
 from biomeframe.session import materialise
 
 WORDS, PERCENT = 5, 80
@@ -122,7 +122,7 @@ def rows_of(docs: DataFrame, fn: Callable[[list, list], Iterator[tuple]], kinds:
                 )
             # Else each worker keeps the buffers of its largest batch.
             del whole, batch, out, columns
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -29,9 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from biomeframe.llm.common import arrow_rows, give_back
+from biomeframe.session import materialise
+
 WINDOW = 2048
 POOL_TOKENS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
+# Texts that ``stored`` sends to a Python worker at a time; the JVM holds a batch two or three times outside its heap.
+BATCH_ROWS = 1000
 # Bytes of text whose distinct words are looked for together.
 SLICE = 16_000_000
 # Bytes of parts of words and their ids kept per Python worker; a full store is emptied.
@@ -143,7 +148,9 @@ class WordIds:
 @lru_cache(maxsize=1)
 def word_ids(path: str | None) -> WordIds:
     """One per Python worker: its next tasks go on with the vocabulary and the parts it knows."""
-    return WordIds(path)
+    words = WordIds(path)
+    give_back()
+    return words
 
 
 def lists_of(texts: pa.Array, ids_of: Callable[[pa.Array], pa.Array]) -> tuple[np.ndarray, pa.Array]:
@@ -326,6 +333,7 @@ def pack(
                     ids = words.of_texts(column[start:stop])
                     for doc, found in zip(docs[start:stop].to_pylist(), ids, strict=True):
                         yield doc, found + end
+                    give_back()
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
             types = [kinds[0], pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -354,3 +362,9 @@ def digests(pieces: DataFrame) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+def stored(docs: DataFrame, *columns: str, **how) -> DataFrame:
+    """``digests`` of ``pack``, written once: only a job run here has small batches of texts."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return materialise(digests(pack(docs, *columns, **how)))

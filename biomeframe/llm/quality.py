@@ -28,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biomeframe.llm.common import arrow_rows, give_back
 from biomeframe.session import materialise
 
 THRESHOLD = 0.3
+# Texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
 SHRINK, RIDGE, TEMPER = 0.1, 0.05, 0.5
 # Words of ordinary text that every document is taken to hold besides its own.
 PRIOR_WORDS = 20
@@ -104,6 +107,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **k
         for batch in batches:
             x = pa.array([statistics(t.as_py()) for t in batch.column(len(kept))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], x], names=[*kept, "x"])
+            del batch, x
+            give_back()
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     return rows.mapInArrow(run, f"{head}, x array<double>")
@@ -111,7 +116,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **k
 
 def stored(docs: DataFrame, *columns: str, **keep) -> DataFrame:
     """``measure``, written once: training and scoring both read it, and no text is read twice."""
-    return materialise(measure(docs, *columns, **keep))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return materialise(measure(docs, *columns, **keep))
 
 
 def fit(
@@ -204,5 +210,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(scores(model, x) >= threshold))
+            del batch, x
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

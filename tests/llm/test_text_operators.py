@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from biomeframe.llm import jaccard, language, lines, mix, pack, pii, quality, rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -149,6 +150,27 @@ def test_packing_round_trip(spark, edges):
     assert pack.pack(docs.limit(4)).filter("doc_id = 0").count() == 1
 
 
+@pytest.mark.parametrize("packed", [pack.stored, lambda docs: corpus_pipeline.pack_sequences(docs.sparkSession, docs, "")])
+def test_packing_sends_few_texts_at_a_time(spark, monkeypatch, tmp_path, packed):
+    """A Python worker gets the rows in small batches, also when the caller's session has large ones."""
+    rows = 2 * pack.BATCH_ROWS + 500
+    docs = spark.range(rows).selectExpr("id doc_id", "concat('word ', id) text").coalesce(1)
+    log, whole = tmp_path / "batches", pack.slices
+
+    def seen(texts, size):
+        with log.open("a") as file:
+            print(len(texts), file=file)
+        yield from whole(texts, size)
+
+    monkeypatch.setattr(pack, "slices", seen)
+    pieces = packed(docs).collect()
+    batches = [int(n) for n in log.read_text().split()]
+    assert max(batches) <= pack.BATCH_ROWS and sum(batches) == rows
+    monkeypatch.undo()
+    assert sorted(pieces) == sorted(pack.digests(pack.pack(docs)).collect())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_word_ids_equal_the_whole_tokenizer():
     rng = np.random.default_rng(12)
     pool = [chr(i) for i in range(1, 0x250)] + list(" \n\t'.-1a" * 20) + list("\u0301日ﬁΣ\u2003\x00𝄞")
