@@ -9,7 +9,9 @@ serve drop out by the same bound; for the others the inner product
 over the leading axes of an SVD rotation plus the product of the residual lengths
 bounds the score, and only candidates whose bound reaches the threshold are
 scored exactly. A block pair returns at most k rows per query, so nothing grows
-with a query's matches. What tasks are told about the lanes is at most ``LANES`` numbers.
+with a query's matches; thresholds rise while a task's blocks pass. What tasks are told about the lanes
+is at most ``LANES`` numbers. Queries and blocks meet by being read, ``GROUPS_A_TASK`` groups of queries and one file part of
+blocks at a time: neither is copied per lane, in an exchange or in a broadcast. The driver gets the head and numbers per block.
 
 Defined results: null vectors, vectors with null, NaN or infinite components and
 rows with a null id take no part; shorter vectors count as padded with zeros;
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biomeframe.session import materialise
+from biomeframe.session import LARGE_ROWS, arrow_rows, materialise
 
 TOP, SCALE = 5, 256
 BLOCK, QUERY_BLOCK, HEAD = 2048, 1024, 4096
 BLOCKS_A_LANE, LANES, LEADING = 2, 65_536, 24
 QUERIES_TOGETHER = 128
+GROUPS_A_TASK, PAIRS_A_BATCH, DENSE = 32, 8, 0.05
 log = logging.getLogger(__name__)
 EXACT = 2.0**53
 LONG_MAX = 2**63 - 1
@@ -49,18 +52,17 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, norms, dims = [], [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = v.values.to_numpy(zero_copy_only=False).astype(float)
-                if not np.isfinite(x).all():
-                    continue
-                n = np.clip(np.floor(SCALE * x), -(2.0**62), 2.0**62)
-                ids.append(i)
-                out.append(n.astype("<i8").tobytes())
-                norms.append(float(np.sqrt(np.square(n).sum())))
-                dims.append(len(n))
+            at = batch.column(1).offsets.to_numpy().astype(np.int64)
+            x = batch.column(1).values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype(float)
+            dims, row = np.diff(at), np.repeat(np.arange(batch.num_rows), np.diff(at))
+            ok = np.bincount(row[~np.isfinite(x)], minlength=batch.num_rows) == 0
+            x, dims, row = x[ok[row]], dims[ok], row[ok[row]]
+            n = np.clip(np.floor(SCALE * x), -(2.0**62), 2.0**62)
+            norms = np.sqrt(np.bincount(row, np.square(n), minlength=batch.num_rows))[ok]
+            ends = np.concatenate([[0], np.cumsum(8 * dims)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(dims), [None, pa.py_buffer(ends), pa.py_buffer(n.astype("<i8"))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(norms, pa.float64()), pa.array(dims, pa.int32())],
+                [batch.column(0).filter(pa.array(ok)), packed, pa.array(norms, pa.float64()), pa.array(dims, pa.int32())],
                 names=["vec_id", "v", "norm", "dim"],
             )
 
@@ -165,11 +167,10 @@ def reaches(lengths: np.ndarray, floors: np.ndarray, norms: np.ndarray) -> np.nd
     return np.searchsorted(-norms, -least, side="right")
 
 
-def thresholds(queries: DataFrame, head: list[tuple], dim: int, k: int, norms: np.ndarray) -> DataFrame:
+def thresholds(queries: DataFrame, head: tuple[np.ndarray, np.ndarray], dim: int, k: int, norms: np.ndarray) -> DataFrame:
     """Queries with their k-th best score among the head (-2^63 where that has fewer), in small groups
     that reach the first ``reach`` lanes."""
-    head_ids = np.array([h[0] for h in head], np.int64)
-    head_vectors = padded([bytes(h[1]) for h in head], dim)
+    head_ids, head_vectors = head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,22 +196,55 @@ def thresholds(queries: DataFrame, head: list[tuple], dim: int, k: int, norms: n
     return queries.mapInArrow(run, "q_ids binary, q_vectors binary, floors binary, reach long")
 
 
-def candidates(q: np.ndarray, floors: np.ndarray, c: np.ndarray, norm: float, axes: np.ndarray) -> Iterator[tuple]:
-    """(query row, candidate rows) that the bounds leave."""
+def longest(stored: DataFrame, size: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the ``size`` longest rows: of the first blocks, whose places are looked up as numbers."""
+    first = stored.select("at", "n").orderBy("at").limit(size).collect()
+    enough = int(np.searchsorted(np.cumsum([r["n"] for r in first]), size))
+    last = first[min(enough, len(first) - 1)]["at"]
+    found = sorted(map(tuple, stored.filter(F.col("at") <= last).select("at", "ids", "vectors").collect()))
+    ids = np.concatenate([np.frombuffer(r[1], "<i8") for r in found])
+    return ids[:size], np.concatenate([unpacked(r[2], dim) for r in found])[:size]
+
+
+def rotated(c: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading axes, lengths of the rest and whole lengths of rows turned to ``axes``."""
+    r = c.astype(float) @ axes
+    return r[:, :LEADING], np.sqrt(np.square(r[:, LEADING:]).sum(1)), np.sqrt(np.square(r).sum(1))
+
+
+def candidates(
+    q: np.ndarray, floors: np.ndarray, c: np.ndarray, norm: float, axes: np.ndarray, turned: tuple | None = None
+) -> Iterator[tuple]:
+    """(query row, candidate rows) that the bounds leave. ``turned`` is ``rotated(c, axes)`` where that is known."""
     lengths = np.sqrt(np.square(q.astype(float)).sum(1))
     alive = np.flatnonzero(lengths * norm * (1 + 1e-9) + 1 >= floors)
     if not len(alive):
         return
-    qr, cr = q[alive].astype(float) @ axes, c.astype(float) @ axes
-    residual = lambda x: np.sqrt(np.square(x[:, LEADING:]).sum(1))
-    size = lengths[alive, None] * np.sqrt(np.square(cr).sum(1))
-    bound = qr[:, :LEADING] @ cr[:, :LEADING].T + np.outer(residual(qr), residual(cr)) + 1e-9 * size + 1
-    for row, reach in zip(alive, bound >= floors[alive, None], strict=True):
+    q_lead, q_rest, _ = rotated(q[alive], axes)
+    c_lead, c_rest, c_size = turned or rotated(c, axes)
+    bound = q_lead @ c_lead.T
+    bound += np.outer(q_rest, c_rest)
+    bound += np.outer(1e-9 * lengths[alive], c_size)
+    for row, reach in zip(alive, bound + 1 >= floors[alive, None], strict=True):
         found = np.flatnonzero(reach)
         if len(found):
             yield row, found
 
 
+def small(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether inner products of these rows are exact in doubles."""
+    return float(np.abs(q).max()) * float(np.abs(c).max()) * max(1, q.shape[1]) < EXACT
+
+
+def scored_candidates(q: np.ndarray, c: np.ndarray, found: list[tuple]) -> Iterator[tuple]:
+    """(query row, candidate rows, their exact scores): in one product where the bounds leave many."""
+    rows = [row for row, _ in found]
+    if rows and sum(len(at) for _, at in found) >= DENSE * len(rows) * len(c) and small(q[rows], c):
+        yield from ((row, at, s[at]) for (row, at), s in zip(found, products(q[rows], c), strict=True))
+    else:
+        yield from ((row, at, products(q[row : row + 1], c[at])[0]) for row, at in found)
+
+
 def top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -233,32 +267,48 @@ def top_k(
     dim = max(1, got["dim"])
     axes = rotation(rows, dim)
     by_length = rows.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    stored = materialise(blocks(by_length, dim, BLOCK).withColumn("at", F.monotonically_increasing_id()))
+    stored = materialise(blocks(by_length, dim, BLOCK).withColumn("at", F.monotonically_increasing_id()), **LARGE_ROWS)
     stored, norms = lanes_of(stored, max(BLOCKS_A_LANE, -(-got["n"] // (BLOCK * LANES))))
-    head = [tuple(r) for r in rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v").collect()]
+    head = longest(stored, HEAD, dim)
     once = rows.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("_one"))
     query_rows = once.select("vec_id", "_one.*").repartition(-(-got["q"] // QUERY_BLOCK))
-    queries = materialise(thresholds(blocks(query_rows, dim, QUERY_BLOCK).select("ids", "vectors"), head, dim, k, norms))
+    asked = thresholds(blocks(query_rows, dim, QUERY_BLOCK).select("ids", "vectors"), head, dim, k, norms)
+    queries = materialise(asked, **LARGE_ROWS)
     sent = queries.agg(F.sum("reach").alias("sent"), F.count(F.lit(1)).alias("groups")).first()
     log.info("%d of %d pairs of query groups and lanes are joined", sent["sent"], sent["groups"] * len(norms))
-    lanes = queries.filter("reach > 0").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reach") - 1)))
-    pairs = lanes.join(stored, "lane").select("q_ids", "q_vectors", "floors", "ids", "vectors", "norm")
+    # The right side of a Cartesian product is what a task keeps; the hint rules out a broadcast of it.
+    kept = queries.filter("reach > 0").repartition(-(-sent["groups"] // GROUPS_A_TASK)).hint("shuffle_replicate_nl")
+    pairs = stored.join(kept, F.col("lane") < F.col("reach")).select("at", "ids", "vectors", "norm", "q_ids", "q_vectors", "floors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best_of = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                q_ids, q, floors, ids, c, norm = (x[i].as_py() for x in batch.columns)
-                q_ids, floors, ids = (np.frombuffer(x, "<i8") for x in (q_ids, floors, ids))
-                q, c = unpacked(q, dim), unpacked(c, dim)
+                here, norm = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+                q_ids, q, floors = (np.frombuffer(x[i].as_buffer(), "<i8") for x in batch.columns[4:])
+                q = q.reshape(-1, dim)
+                if here != at:
+                    at, ids = here, np.array(np.frombuffer(batch.column(1)[i].as_buffer(), "<i8"))
+                    c = np.array(unpacked(batch.column(2)[i].as_buffer(), dim))
+                    turned = rotated(c, axes)
+                # The k best scores of this task so far raise what the head told.
+                seen = best_of.setdefault(q_ids[0], np.full((len(q_ids), k), -LONG_MAX - 1))
+                floors = np.maximum(floors, seen[:, 0])
                 out: list[tuple] = []
-                for row, found in candidates(q, floors, c, norm, axes):
-                    scores = products(q[row : row + 1], c[found])[0]
-                    for at in best(ids[found], scores, q_ids[row], k):
-                        out.append((q_ids[row], ids[found[at]], scores[at]))
-                columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                for row, found, scores in scored_candidates(q, c, list(candidates(q, floors, c, norm, axes, turned))):
+                    enough = scores >= floors[row]
+                    if enough.any():
+                        found, scores = found[enough], scores[enough]
+                        top = best(ids[found], scores, q_ids[row], k)
+                        out.append((np.full(len(top), q_ids[row]), ids[found[top]], scores[top]))
+                        seen[row] = np.sort(np.concatenate([seen[row], scores[top]]))[-k:]
+                if out:
+                    columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
     scored = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    # A few pairs at a time between Spark and its Python workers.
+    with arrow_rows(spark, PAIRS_A_BATCH):
+        return materialise(ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

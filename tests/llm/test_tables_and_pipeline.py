@@ -14,6 +14,7 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from biomeframe.llm import jaccard, lines, mix, pack, quality, topk, urls
 from biomeframe.llm.queries import QUERIES
+from biomeframe.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -230,6 +231,52 @@ def test_top_k_edge_cases(spark):
     assert search(spark, long) == brute_top(long, lambda i: i % 3 == 0)
 
 
+def test_queries_are_not_copied_per_lane_in_a_broadcast(spark, monkeypatch):
+    """The driver gets neither the pairs of queries and lanes nor the head's vectors from every task."""
+    for name, value in (("BLOCK", 8), ("QUERY_BLOCK", 8), ("HEAD", 16), ("QUERIES_TOGETHER", 4), ("GROUPS_A_TASK", 2)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    plans = []
+
+    def kept(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, **options)
+
+    monkeypatch.setattr(topk, "materialise", kept)
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, lambda i: i % 3 == 0)
+    assert not any("Broadcast" in p for p in plans) and any("CartesianProduct" in p for p in plans)
+
+
+def test_longest_rows_come_from_the_first_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(90)] + [(500 + i, [1.0, 2.0, 2.0]) for i in range(9)]
+    df = topk.materialise(topk.integers(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v"))
+    ordered = df.repartitionByRange(4, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
+    stored = topk.materialise(topk.blocks(ordered, 3, 7).withColumn("at", F.monotonically_increasing_id()))
+    for size in (1, 7, 20, 98, 99, 400):
+        ids, vectors = topk.longest(stored, size, 3)
+        want = df.orderBy(F.desc("norm"), "vec_id").limit(size).collect()
+        assert ids.tolist() == [r["vec_id"] for r in want]
+        assert vectors.tolist() == [np.frombuffer(r["v"], "<i8").tolist() for r in want]
+
+
+def test_one_product_scores_as_single_rows_do():
+    rng = np.random.default_rng(7)
+    q, c = rng.integers(-300, 300, (6, 8)), rng.integers(-300, 300, (40, 8))
+    few = [(1, np.array([3])), (4, np.array([0, 39]))]
+    for found in ([(i, np.arange(40)) for i in range(6)], few, []):
+        got = list(topk.scored_candidates(q, c, found))
+        assert [(row, s.tolist()) for row, _, s in got] == [(row, (c[at] @ q[row]).tolist()) for row, at in found]
+    # Beyond doubles the products stay exact.
+    q[0, 0] = c[0, 0] = 2**40
+    (_, _, s), = topk.scored_candidates(q, c, [(0, np.arange(40))])
+    assert s[0] == 2**63 - 1 and s[1] == sum(int(a) * int(b) for a, b in zip(q[0], c[1], strict=True))
+
+
 def test_bounds_never_exclude_a_hit():
     rng = np.random.default_rng(3)
     q, c = rng.integers(-300, 300, (20, 64)), rng.integers(-300, 300, (50, 64))
