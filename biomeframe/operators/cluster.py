@@ -24,7 +24,7 @@ from biomeframe.operators.normalize import PSEUDO
 from biomeframe.operators.vectors import arrays, index_labels, merged_shares, taxa_list, with_vector
 from biomeframe.session import LARGE_ROWS, arrow_rows, concurrently, materialise
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, STRIPE_ROWS, PART_BYTES = 2048, 256, 128 << 20
 LANDMARKS = 500
 
 
@@ -157,7 +157,9 @@ def _packed(asked: DataFrame, sizes: np.ndarray, block_rows: int) -> DataFrame:
 
 
 def _distances(a: np.ndarray, b: np.ndarray, a_ids: pa.Array, b_ids: pa.Array) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+    square = (-2 * a) @ b.T
+    square += (a * a).sum(1)[:, None]
+    square += (b * b).sum(1)[None, :]
     dist = np.sqrt(np.maximum(square, 0.0, out=square), out=square)
     known = a_ids.unique().drop_null()
     there = pc.index_in(b_ids, known).fill_null(-2).to_numpy(zero_copy_only=False)
@@ -263,9 +265,194 @@ def mean_silhouette(rows: DataFrame, cluster: str = "HC_subCST", exact: bool = T
     return rows.sparkSession.createDataFrame([(float(evaluator.evaluate(data)),)], "silhouette double")
 
 
+def _joint_blocks(rows: DataFrame, models: list[KMeansModel], block_rows: int) -> tuple[DataFrame, int]:
+    """Samples with the clusters that every model gives them, as blocks, written: at, ids, x (doubles), labels (samples x
+    models), again (samples whose id may come again), asks (which sums those need, as in :func:`_requests`) and counts
+    (members of all models' clusters). Also the bytes of the vectors.
+
+    Samples lie in the order of their ids, so an id that comes again does so next to itself, or at an end of its partition.
+    """
+    names = [f"_cluster{i}" for i in range(len(models))]
+    for model, name in zip(models, names, strict=True):
+        rows = model.setPredictionCol(name).transform(rows)
+    rows = rows.select("sampleID", "features", F.array(*names).alias("labels"))
+    id_type = rows.schema["sampleID"].dataType.simpleString()
+    starts, width = _columns(models)
+    several = not rows.groupBy("sampleID").count().filter("count > 1").isEmpty()
+    shapes = [_shapes(rows.select("features", F.col("labels")[i].cast("string").alias("cluster"))) for i in range(len(models) * several)]
+
+    def asked(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), width), bool)
+        for start, own, (found, _, centres, spread) in zip(starts, labels.T, shapes, strict=True):
+            found = np.array(found).astype(int)
+            place = np.zeros(width, int)
+            place[found] = np.arange(len(found))
+            out[:, start + found] = needed_clusters(x, place[own], centres, spread)
+        return out
+
+    def block(part: pa.Table, again: np.ndarray) -> pa.RecordBatch:
+        ids, x, labels = (c.combine_chunks() for c in part.columns)
+        labels = labels.flatten().to_numpy().astype(np.int32).reshape(len(ids), -1)
+        counts = np.bincount((labels + starts).ravel(), minlength=width)
+        x = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float)
+        asks = asked(x.reshape(len(ids), -1)[again], labels[again]).tobytes() if again.any() else b""
+        columns = (pa.array([ids.to_pylist()], pa.list_(ids.type)), [x.tobytes()], [labels.tobytes()], [again.tobytes()], [asks], [counts.tolist()])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ids", "x", "labels", "again", "asks", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, first = None, None, None
+        for batch in batches:
+            if batch.num_rows:
+                if first is None:
+                    first = batch.column(0)[0]
+                held = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
+                while held.num_rows > block_rows:
+                    part, held = held.slice(0, block_rows), held.slice(block_rows)
+                    yield block(part, repeated(part, last, held.column(0)[0], first))
+                    last = part.column(0)[-1]
+        if held is not None:
+            # The last id of a partition may go on in the next one.
+            yield block(held, repeated(held, last, held.column(0)[-1], first))
+
+    def repeated(part: pa.Table, before, after, first) -> np.ndarray:
+        if not several:
+            return np.zeros(part.num_rows, bool)
+        ids = part.column(0).combine_chunks()
+        code = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy()
+        same = code[1:] == code[:-1]
+        again = np.append(same, ids[-1] == after) | np.append(before is not None and ids[0] == before, same)
+        return again | (code == code[0] if ids[0] == first else False)
+
+    by = [F.col("sampleID"), F.xxhash64("features")]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    schema = f"ids array<{id_type}>, x binary, labels binary, again binary, asks binary, counts array<long>"
+    blocks = materialise(ordered.mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id()), **LARGE_ROWS)
+    return blocks, blocks.agg(F.coalesce(F.sum(F.length("x")), F.lit(0)).alias("b")).first()["b"]
+
+
+def _columns(models: list[KMeansModel]) -> tuple[np.ndarray, int]:
+    """Where each model's clusters begin among those of all models, and how many these are."""
+    sizes = [len(m.clusterCenters()) for m in models]
+    return np.cumsum([0, *sizes[:-1]]), sum(sizes)
+
+
+def _joint_sums(blocks: DataFrame, size: int, starts: np.ndarray, width: int) -> DataFrame:
+    """at and s: sums of the distances of a block's samples to the members of every model's clusters (samples x clusters), in
+    parts to be added up.
+
+    Each pair of blocks is met once, in the task of its two partitions, and its distances serve both blocks and all models.
+    A task keeps the blocks of one partition and their sums, one block of the other and a stripe of distances.
+    """
+    spark = blocks.sparkSession
+    parts = max(math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)), -(-size // PART_BYTES))
+    left = blocks.select("at", "ids", "x", "labels").repartition(parts)
+    right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns)).hint("shuffle_replicate_nl")
+    n_models = len(starts)
+
+    def members(labels: bytes) -> np.ndarray:
+        found = np.frombuffer(labels, np.int32).reshape(-1, n_models) + starts
+        out = np.zeros((len(found), width))
+        np.put_along_axis(out, found, 1.0, 1)
+        return out
+
+    def row(at: int, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["at", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine, others = None, None, {}
+        for batch in batches:
+            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                here, there = c["at"][i].as_py(), c["r_at"][i].as_py()
+                if here != at:
+                    if at is not None:
+                        yield row(at, mine)
+                    at, ids, a_in = here, c["ids"][i].values, members(c["labels"][i].as_buffer())
+                    a = np.array(np.frombuffer(c["x"][i].as_buffer(), float)).reshape(len(ids), -1)
+                    mine = np.zeros(a_in.shape)
+                r_ids, b_in = c["r_ids"][i].values, members(c["r_labels"][i].as_buffer())
+                b = np.frombuffer(c["r_x"][i].as_buffer(), float).reshape(len(r_ids), -1)
+                theirs = None if here == there else others.setdefault(there, np.zeros(b_in.shape))
+                for start in range(0, len(a), STRIPE_ROWS):
+                    rows = slice(start, start + STRIPE_ROWS)
+                    dist = _distances(a[rows], b, ids.slice(start, STRIPE_ROWS), r_ids)
+                    mine[rows] += dist @ b_in
+                    if theirs is not None:
+                        theirs += dist.T @ a_in[rows]
+        if at is not None:
+            yield row(at, mine)
+        for there, s in others.items():
+            yield row(there, s)
+
+    pairs = left.join(right, F.col("at") <= F.col("r_at"))
+    # A pair of blocks at a time between Spark and its Python workers.
+    with arrow_rows(spark, 1):
+        return materialise(pairs.mapInArrow(run, "at long, s binary"), **LARGE_ROWS)
+
+
+def mean_silhouettes(rows: DataFrame, models: list[KMeansModel], block_rows: int = BLOCK_ROWS) -> list[float | None]:
+    """Exact mean silhouette of each model's clusters, as :func:`silhouette_samples` defines them, from one pass over all
+    pairs of samples (:func:`_joint_sums`)."""
+    blocks, size = _joint_blocks(rows, models, block_rows)
+    starts, width = _columns(models)
+    counted = blocks.select(F.posexplode("counts").alias("t", "n")).groupBy("t").agg(F.sum("n").alias("n")).collect()
+    sizes = np.zeros(width)
+    for r in counted:
+        sizes[r["t"]] = r["n"]
+    ends = [*starts[1:], width]
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def score(sums: pa.Table, block: pa.Table) -> pa.Table:
+        ids = block.column("ids")[0].values
+        s = sum(np.frombuffer(x.as_buffer(), float) for x in sums.column("s")).reshape(len(ids), width)
+        again = np.frombuffer(block.column("again")[0].as_buffer(), bool)
+        labels = np.frombuffer(block.column("labels")[0].as_buffer(), np.int32).reshape(len(ids), -1)
+        asks = np.zeros(s.shape, bool)
+        asks[again] = np.frombuffer(block.column("asks")[0].as_buffer(), bool).reshape(-1, width)
+        out = []
+        for i, (start, end) in enumerate(zip(starts, ends, strict=True)):
+            own, n, part = labels[:, i], sizes[start:end], s[:, start:end]
+            mine = np.arange(end - start)[None, :] == own[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a = part[mine] / np.where(n[own] > 1, n[own] - 1, np.nan)
+                b = np.fmin.reduce(np.where(mine | (n == 0), np.nan, part / n), axis=1)
+                value = np.nan_to_num((b - a) / np.maximum(a, b), nan=0.0, posinf=0.0, neginf=0.0)
+            out.append((i, None, None, None, int((~again).sum()), float(value[~again].sum())))
+            for j in np.flatnonzero(again):
+                needed = [float(v) if ask else None for v, ask in zip(part[j], asks[j, start:end], strict=True)]
+                out.append((i, ids[j].as_py(), int(own[j]), needed, 0, 0.0))
+        kinds = (pa.int32(), ids.type, pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.float64())
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["i", "sampleID", "own", "s", "n", "total"])
+
+    sums = _joint_sums(blocks, size, starts, width).groupBy("at").cogroup(blocks.select("at", "ids", "labels", "again", "asks").groupBy("at"))
+    scored = materialise(sums.applyInArrow(score, f"i int, sampleID {id_type}, own int, s array<double>, n long, total double"))
+    # Rows of one id are one sample of its cluster: their sums are added up.
+    lit = lambda values: F.lit([float(v) for v in values])
+    ofs = F.get(F.lit([int(v) for v in starts]), F.col("i"))
+    single = scored.filter("own IS NOT NULL").select("i", "sampleID", "own", F.posexplode("s").alias("t", "s")).filter("s IS NOT NULL")
+    single = single.groupBy("i", "sampleID", "own", "t").agg(F.sum("s").alias("s")).withColumn("size", F.get(lit(sizes), ofs + F.col("t")))
+    mine = F.col("own") == F.col("t")
+    single = single.groupBy("i", "sampleID", "own").agg(
+        F.max(F.when(mine & (F.col("size") > 1), F.col("s") / (F.col("size") - 1))).alias("a"),
+        F.min(F.when(~mine & (F.col("size") > 0), F.col("s") / F.col("size"))).alias("b"),
+    )
+    value = F.coalesce(F.nanvl(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)), F.lit(0.0))
+    every = scored.filter("own IS NULL").select("i", "n", "total").unionAll(single.select("i", F.lit(1).cast("long"), value))
+    found = {r["i"]: r for r in every.groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    return [found[i]["total"] / found[i]["n"] if i in found and found[i]["n"] else None for i in range(len(models))]
+
+
 def silhouette(rows: DataFrame, ks: range = range(2, 10), exact: bool = True, seed: int = 0) -> DataFrame:
-    """Mean silhouette per number of clusters."""
+    """Mean silhouette per number of clusters.
+
+    Of two clusters a sample's silhouette needs both, so an exact one takes the distances of all pairs of samples. Where ``ks``
+    has 2, the other numbers are served by the same distances; else each takes those that its bounds leave.
+    """
     rows = materialise(rows)
+    if exact and 2 in ks and len(ks) > 1:
+        models = concurrently(lambda k: fit_kmeans(rows, k, seed), ks, threads=2)
+        values = mean_silhouettes(rows, models)
+        return rows.sparkSession.createDataFrame(list(zip(ks, values, strict=True)), "k int, silhouette double")
 
     def mean(k: int) -> tuple[int, float]:
         found = fit_kmeans(rows, k, seed).transform(rows).drop("vector").persist()

@@ -256,6 +256,47 @@ def test_silhouette_bounds_skip_clusters_that_cannot_be_nearest(spark):
     assert same.count() == 40 and same.filter("silhouette <> 0").isEmpty()
 
 
+def test_silhouettes_of_all_ks_take_each_distance_once(spark, monkeypatch):
+    """One pass over the pairs of blocks serves every number of clusters, also where ids come again or are null."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(60, 3)) + 4 * np.eye(3)[c] for c in range(3)])
+    ids = [None if i % 31 == 0 else i // 2 if i < 20 else i for i in range(len(x))]
+    ids[170:] = [500] * 10
+    rows = cl.with_vector(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "sampleID long, features array<double>")).repartition(3)
+    rows = cl.materialise(rows)
+    models = [cl.fit_kmeans(rows, k) for k in (2, 3, 5)]
+    want = [cl.mean_silhouette(m.transform(rows).drop("vector"), "cluster").first()[0] for m in models]
+    for block_rows in (1000, 7):
+        assert cl.mean_silhouettes(rows, models, block_rows) == pytest.approx(want)
+    met = []
+    sums = cl._joint_sums
+    monkeypatch.setattr(cl, "_joint_sums", lambda blocks, *a: met.append(blocks.count()) or sums(blocks, *a))
+    monkeypatch.setattr(cl, "_block_sums", lambda *a: pytest.fail("distances are taken again for a number of clusters"))
+    found = {r["k"]: r["silhouette"] for r in cl.silhouette(rows, range(2, 6)).collect()}
+    assert len(met) == 1 and [found[k] for k in (2, 3, 5)] == pytest.approx(want)
+
+
+def test_joint_sums_add_up_to_all_distances(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50, 2))
+    rows = cl.with_vector(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sampleID long, features array<double>"))
+    models = [cl.fit_kmeans(rows, k) for k in (2, 4)]
+    labels = [{r["sampleID"]: r["cluster"] for r in m.transform(rows).collect()} for m in models]
+    blocks, size = cl._joint_blocks(rows, models, 8)
+    assert size == 50 * 2 * 8
+    starts, width = cl._columns(models)
+    got = {}
+    at = {r["at"]: r["ids"] for r in blocks.collect()}
+    assert max(map(len, at.values())) <= 8 and sorted(i for b in at.values() for i in b) == list(range(50))
+    for r in cl._joint_sums(blocks, size, starts, width).collect():
+        for i, s in zip(at[r["at"]], np.frombuffer(r["s"]).reshape(-1, width), strict=True):
+            got[i] = got.get(i, 0) + s
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i in range(50):
+        want = [sum(dist[i, j] for j in range(50) if found[j] == c) for found, k in zip(labels, (2, 4)) for c in range(k)]
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
 def test_bounds_hold_for_random_clusters():
     rng = np.random.default_rng(1)
     for _ in range(30):
