@@ -24,7 +24,7 @@ from biomeframe.operators.normalize import PSEUDO
 from biomeframe.operators.vectors import arrays, index_labels, merged_shares, taxa_list, with_vector
 from biomeframe.session import LARGE_ROWS, arrow_rows, concurrently, materialise
 
-BLOCK_ROWS, STRIPE_ROWS, PART_BYTES = 2048, 256, 128 << 20
+BLOCK_ROWS, STRIPE_ROWS, PART_BYTES = 2048, 1024, 128 << 20
 LANDMARKS = 500
 
 
@@ -343,8 +343,8 @@ def _joint_sums(blocks: DataFrame, size: int, starts: np.ndarray, width: int) ->
     Each pair of blocks is met once, in the task of its two partitions, and its distances serve both blocks and all models.
     A task keeps the blocks of one partition and their sums, one block of the other and a stripe of distances.
     """
-    spark = blocks.sparkSession
-    parts = max(math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)), -(-size // PART_BYTES))
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(math.sqrt(2 * cores)), -(-size // PART_BYTES))
     left = blocks.select("at", "ids", "x", "labels").repartition(parts)
     right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns)).hint("shuffle_replicate_nl")
     n_models = len(starts)
@@ -384,10 +384,7 @@ def _joint_sums(blocks: DataFrame, size: int, starts: np.ndarray, width: int) ->
         for there, s in others.items():
             yield row(there, s)
 
-    pairs = left.join(right, F.col("at") <= F.col("r_at"))
-    # A pair of blocks at a time between Spark and its Python workers.
-    with arrow_rows(spark, 1):
-        return materialise(pairs.mapInArrow(run, "at long, s binary"), **LARGE_ROWS)
+    return left.join(right, F.col("at") <= F.col("r_at")).mapInArrow(run, "at long, s binary")
 
 
 def mean_silhouettes(rows: DataFrame, models: list[KMeansModel], block_rows: int = BLOCK_ROWS) -> list[float | None]:
@@ -424,8 +421,11 @@ def mean_silhouettes(rows: DataFrame, models: list[KMeansModel], block_rows: int
         kinds = (pa.int32(), ids.type, pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.float64())
         return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["i", "sampleID", "own", "s", "n", "total"])
 
-    sums = _joint_sums(blocks, size, starts, width).groupBy("at").cogroup(blocks.select("at", "ids", "labels", "again", "asks").groupBy("at"))
-    scored = materialise(sums.applyInArrow(score, f"i int, sampleID {id_type}, own int, s array<double>, n long, total double"))
+    # A pair of blocks at a time between Spark and its Python workers.
+    with arrow_rows(blocks.sparkSession, 1):
+        sums = _joint_sums(blocks, size, starts, width).groupBy("at")
+        both = sums.cogroup(blocks.select("at", "ids", "labels", "again", "asks").groupBy("at"))
+        scored = materialise(both.applyInArrow(score, f"i int, sampleID {id_type}, own int, s array<double>, n long, total double"))
     # Rows of one id are one sample of its cluster: their sums are added up.
     lit = lambda values: F.lit([float(v) for v in values])
     ofs = F.get(F.lit([int(v) for v in starts]), F.col("i"))
